@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callgauge.session import prepare
 
-AREAS = ("metrics",)
+AREAS = ("metrics", "redaction")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
