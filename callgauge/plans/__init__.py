@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callgauge.session import prepare
 
-AREAS = ("metrics", "redaction")
+AREAS = ("metrics", "redaction", "transcript", "calls", "chunks")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

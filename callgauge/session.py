@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a repeated JSON key keeps its last value instead of making the text unparseable
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 #: State of the streaming jobs lives in RocksDB, so that it may outgrow the heap.

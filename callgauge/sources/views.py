@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from callgauge.operators.chunks import join_text
 from callgauge.operators.hotkeys import next_value
 from callgauge.sources.tables import table
 
@@ -118,3 +119,105 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
         .selectExpr("conv_id * 100 + turn as call_id", "posexplode(split(text, ' ')) as (seq, w)")
         .selectExpr("call_id", "seq", "if(seq = 0, w, concat(' ', w)) as delta")
     )
+
+
+def raw_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls in the shape :mod:`callgauge.operators.calls` reads."""
+    return calls(spark, folder).selectExpr(
+        "request_id",
+        "call_id",
+        "conv_id as conversation_id",
+        "cast(null as string) as message_id",
+        "case conv_id % 4 when 0 then 'anthropic' when 1 then 'openai' when 2 then 'gemini' else 'mock' end as provider",
+        "case when turn % 4 < 2 then 'large' else 'small' end as model",
+        "call_id % 3 <> 0 as streaming",
+        "array(named_struct('role', 'system', 'content', 'answer briefly'),"
+        " named_struct('role', 'user', 'content', last_user)) as messages",
+        "output",
+        "err_name",
+        "cast(null as string) as err_code",
+        "case when err_name = 'Error' and http_status is null then concat('lost connection: ', last_user) end as err_message",
+        "http_status",
+        "case when http_status is not null then last_user end as err_body",
+        "case call_id % 3 when 0 then 'stop' when 1 then 'length' end as finish_reason",
+        "if(call_id % 20 = 7, 0, usage_prompt) as usage_prompt",
+        "if(call_id % 20 = 7, 0, usage_completion) as usage_completion",
+        "usage_total",
+        "case when call_id % 20 = 15 then true end as usage_estimated",
+        "started_at",
+        "case when output is not null then started_at + make_dt_interval(0, 0, 0, (72 + 40 * (call_id % 5)) / 1000) end"
+        " as first_delta_at",
+        "ended_at",
+        "case when call_id % 6 = 0 then '{\"surface\":\"chat\",\"finishReason\":\"mine\"}' else '{\"surface\":\"chat\"}' end"
+        " as metadata",
+    )
+
+
+def timed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Deltas with their arrival, 18 ms apart."""
+    return chunks(spark, folder).withColumn(
+        "arrived_at", F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, call_id - 1 + (72 + 18 * seq) / 1000)")
+    )
+
+
+def completion_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The deltas as ``data`` lines of the completions dialect: noise, deltas, finish, usage, end marker, leftovers."""
+    words = chunks(spark, folder)
+    delta = words.selectExpr(
+        "call_id", "seq + 1 as seq",
+        "to_json(named_struct('choices', array(named_struct('delta', named_struct('content', delta))))) as data",
+    )
+    tail = words.groupBy("call_id").agg((F.max("seq") + 2).alias("end")).selectExpr(
+        "call_id",
+        """inline(array(
+          struct(0L as seq, '{broken' as data),
+          struct(end as seq, '{"choices":[{"delta":{},"finish_reason":"stop"}]}' as data),
+          struct(end + 1 as seq, concat('{"choices":[],"usage":{"prompt_tokens":', call_id, ',"completion_tokens":', end,
+            ',"total_tokens":', call_id + end, '}}') as data),
+          struct(end + 2 as seq, '[DONE]' as data),
+          struct(end + 3 as seq, '{"choices":[{"delta":{"content":"late"}}]}' as data)))""",
+    )
+    return delta.union(tail)
+
+
+def message_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same deltas as typed events of the messages dialect."""
+    words = chunks(spark, folder)
+    delta = words.selectExpr(
+        "call_id", "seq + 1 as seq",
+        "to_json(named_struct('type', 'content_block_delta', 'delta', named_struct('type', 'text_delta', 'text', delta))) as data",
+    )
+    tail = words.groupBy("call_id").agg((F.max("seq") + 2).alias("end")).selectExpr(
+        "call_id",
+        """inline(array(
+          struct(0L as seq, concat('{"type":"message_start","message":{"usage":{"input_tokens":', call_id, '}}}') as data),
+          struct(end as seq, 'ping' as data),
+          struct(end + 1 as seq, concat('{"type":"message_delta","delta":{"stop_reason":"end_turn"},"usage":{"output_tokens":',
+            end, '}}') as data),
+          struct(end + 2 as seq, '{"type":"message_stop"}' as data)))""",
+    )
+    return delta.union(tail)
+
+
+def captured_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole response bodies as captured text, each ending in an unfinished line."""
+    lines = completion_lines(spark, folder).selectExpr("call_id", "seq", "concat('data: ', data, '\\r\\n\\n') as line")
+    return join_text(lines, "call_id", "seq", "line", "", "body").selectExpr(
+        "call_id", "concat(': stream\\n', body, 'data: {\"unfinished\"') as body"
+    )
+
+
+def event_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Browser-side event streams: a meta frame, one delta per word, a frame without JSON, and done."""
+    words = chunks(spark, folder)
+    frame = words.selectExpr(
+        "call_id", "seq + 1 as seq", "concat('event: delta\\ndata: ', to_json(named_struct('text', delta)), '\\n\\n') as frame"
+    )
+    ends = words.groupBy("call_id").agg((F.max("seq") + 2).alias("end")).selectExpr(
+        "call_id",
+        """inline(array(
+          struct(0L as seq, 'event: meta\\ndata: {"model":"m",\\ndata: "provider":"p"}\\n\\n' as frame),
+          struct(end as seq, 'data: no json\\n\\nevent: empty\\n\\n' as frame),
+          struct(end + 1 as seq, 'data: {"text":"plain"}\\n\\nevent: done\\ndata: {}' as frame)))""",
+    )
+    return join_text(frame.union(ends), "call_id", "seq", "frame", "", "body")
