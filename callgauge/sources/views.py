@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.operators.chunks import join_text
 from callgauge.operators.hotkeys import next_value
+from callgauge.sources.envelopes import to_payload
 from callgauge.sources.tables import table
 
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -221,3 +222,71 @@ def event_frames(spark: SparkSession, folder: str) -> DataFrame:
           struct(end + 1 as seq, 'data: {"text":"plain"}\\n\\nevent: done\\ndata: {}' as frame)))""",
     )
     return join_text(frame.union(ends), "call_id", "seq", "frame", "", "body")
+
+
+def uuid_of(number: str) -> str:
+    """A UUID spelling of a whole number."""
+    return f"concat('00000000-0000-4000-8000-', lpad(lower(hex({number})), 12, '0'))"
+
+
+def sent_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs as the producer sends them: typed rows with ``event_id``, personal data in some previews."""
+    return logs(spark, folder, "event_id").selectExpr(
+        "event_id",
+        "request_id",
+        f"{uuid_of('conversation_id')} as conversation_id",
+        "provider",
+        "model",
+        "streaming",
+        "status",
+        "error_type",
+        "latency_ms",
+        "ttft_ms",
+        "total_tokens",
+        "concat(input_preview, case event_id % 5 when 0 then ' from me@x.io' when 1 then ' at 8.8.8.8' else '' end) as input_preview",
+        "output_preview",
+        "requested_at",
+        "case when event_id % 3 <> 0 then requested_at + make_dt_interval(0, 0, 0, latency_ms / 1000) end as completed_at",
+        "metadata",
+    )
+
+
+def envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """``event_id`` and the envelope JSON of every log."""
+    sent = sent_logs(spark, folder)
+    return sent.select("event_id", "requested_at", to_payload(sent).alias("payload"))
+
+
+def delivered_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ninth envelope arrives twice; the second copy claims another latency."""
+    sent = sent_logs(spark, folder).withColumn("copy", F.expr("explode(if(event_id % 9 = 0, array(0, 7), array(0)))"))
+    sent = sent.withColumn("latency_ms", F.expr("latency_ms + copy"))
+    return sent.select("event_id", "requested_at", F.expr("event_id * 10 + copy as stream_seq"), to_payload(sent).alias("payload"))
+
+
+def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, str | None, str]]) -> DataFrame:
+    """Every envelope with one key set to another JSON value (None takes it out), going through ``faults`` in turn."""
+    listed = F.array(
+        *[F.struct(F.lit(key).alias("key"), F.lit(value).cast("string").alias("value")) for key, value, _ in faults]
+    )
+    turn = (F.col("event_id") % len(faults)).cast("int")
+    whole = F.try_variant_get(F.parse_json("payload"), "$", "map<string,variant>")
+    rest = F.map_filter("_whole", lambda k, _: k != F.col("_fault.key"))
+    changed = F.when(F.col("_fault.value").isNull(), rest).otherwise(
+        F.map_concat(rest, F.create_map("_fault.key", F.parse_json("_fault.value")))
+    )
+    broken = envelopes(spark, folder).withColumn("_fault", F.get(listed, turn)).withColumn("_whole", whole)
+    return broken.select("event_id", F.to_json(changed).alias("payload"))
+
+
+def batches(rows: DataFrame, size: int, *, cut: str | None = None) -> DataFrame:
+    """``size`` consecutive payloads as one batch text; ``cut`` shortens the list to that expression of ``batch_id``."""
+    listed = rows.groupBy(F.expr(f"event_id div {size}").alias("batch_id")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("event_id", "payload"))), lambda r: r["payload"]
+        ).alias("_logs")
+    )
+    if cut:
+        listed = listed.withColumn("_logs", F.expr(f"slice(_logs, 1, {cut})"))
+    body = F.concat(F.lit('{"logs":['), F.array_join("_logs", ","), F.lit("]}"))
+    return listed.select("batch_id", body.alias("body"))

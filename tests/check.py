@@ -19,6 +19,8 @@ spark = local_session("8")
 queries, oracle = entry.queries(), entry.oracle_sql()
 bad = 0
 for name in args or queries:
+    if name.startswith("-"):
+        continue
     start = time.time()
     try:
         if name in oracle:
