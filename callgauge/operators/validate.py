@@ -122,10 +122,10 @@ def strip_unknown(log: Column) -> Column:
     return F.to_json(F.struct(*known))
 
 
-def typed_columns(log: Column) -> list[Column]:
+def typed(log: Column) -> dict[str, Column]:
     """Stored columns with the defaults of absent keys. Whole numbers are BIGINT until their range is checked."""
     reads = {"str": "string", "uuid": "string", "status": "string", "bool": "boolean", "int": "bigint", "time": "string"}
-    columns = []
+    columns = {}
     for field in ENVELOPE:
         path = f"$.{field.name}"
         if field.kind == "object":
@@ -136,10 +136,14 @@ def typed_columns(log: Column) -> list[Column]:
             value = F.try_to_timestamp(value)
         if field.kind == "bool":
             value = F.coalesce(value, F.lit(False))
-        columns.append(value.alias(field.column))
+        columns[field.column] = value
     return columns
 
 
+def typed_columns(log: Column) -> list[Column]:
+    return [value.alias(column) for column, value in typed(log).items()]
+
+
 def out_of_range() -> Column:
     """Whole numbers an INT column cannot hold. The edge check lets them through, so they are set aside here."""
     bad = F.lit(False)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callgauge.session import prepare
 
-AREAS = ("metrics", "redaction", "transcript", "calls", "chunks", "validation")
+AREAS = ("metrics", "redaction", "transcript", "calls", "chunks", "validation", "ingest", "live")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

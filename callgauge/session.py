@@ -16,11 +16,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a repeated JSON key keeps its last value instead of making the text unparseable
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # state of the streaming jobs may outgrow the heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
-#: State of the streaming jobs lives in RocksDB, so that it may outgrow the heap.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -30,7 +31,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
