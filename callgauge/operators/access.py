@@ -13,24 +13,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from callgauge.operators.metrics import in_window
 
 
-def newest_first(logs: DataFrame) -> DataFrame:
-    return logs.orderBy(F.desc("requested_at"), "request_id")
+def newest_first(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    """All rows in order, or with a limit a top-k that sorts nothing in full."""
+    ordered = logs.orderBy(F.desc("requested_at"), "request_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def by_time(logs: DataFrame, as_of: datetime, minutes: float) -> DataFrame:
-    return newest_first(in_window(logs, as_of, minutes))
+def by_time(logs: DataFrame, as_of: datetime, minutes: float, limit: int | None = None) -> DataFrame:
+    return newest_first(in_window(logs, as_of, minutes), limit)
 
 
-def of_provider_model(logs: DataFrame, provider: str, model: str) -> DataFrame:
-    return newest_first(logs.where((F.col("provider") == provider) & (F.col("model") == model)))
+def of_provider_model(logs: DataFrame, provider: str, model: str, limit: int | None = None) -> DataFrame:
+    return newest_first(logs.where((F.col("provider") == provider) & (F.col("model") == model)), limit)
 
 
-def of_conversation(logs: DataFrame, conversation_id) -> DataFrame:
-    return newest_first(logs.where(F.col("conversation_id") == F.lit(conversation_id)))
+def of_conversation(logs: DataFrame, conversation_id, limit: int | None = None) -> DataFrame:
+    return newest_first(logs.where(F.col("conversation_id") == F.lit(conversation_id)), limit)
 
 
-def errors(logs: DataFrame) -> DataFrame:
-    return newest_first(logs.where(F.col("status") == "error"))
+def errors(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    return newest_first(logs.where(F.col("status") == "error"), limit)
 
 
 def metadata_value(metadata: Column, path: str, as_type: str) -> Column:

@@ -15,22 +15,21 @@ ALLOWED = {"logs": ("status", STATUSES), "messages": ("role", ROLES), "conversat
 UNIQUE = {"logs": ["request_id"], "messages": ["conversation_id", "turn"], "conversations": ["conv_id"]}
 
 
-def _row_rules(name: str, df: DataFrame) -> DataFrame:
-    """NOT NULL and CHECK rules in one pass over the table."""
+def _rules(name: str, df: DataFrame) -> DataFrame:
+    """NOT NULL, CHECK and UNIQUE rules from one scan: rows are counted by key, and the counts added up."""
     column, words = ALLOWED[name]
     rules: dict[str, Column] = {f"{c} not null": F.col(c).isNull() for c in REQUIRED[name] if c in df.columns}
     rules[f"{column} check"] = F.col(column).isNotNull() & ~F.col(column).isin(*words)
-    counted = df.agg(*[F.count_if(bad).alias(rule) for rule, bad in rules.items()])
-    pairs = F.explode(F.create_map(*[x for rule in rules for x in (F.lit(rule), F.col(rule))]))
-    return counted.select(F.lit(name).alias("table"), pairs.alias("rule", "violations"))
-
-
-def _unique(name: str, df: DataFrame) -> DataFrame:
-    copies = df.groupBy(*UNIQUE[name]).agg((F.count("*") - 1).alias("extra"))
-    rule = F.lit(f"{', '.join(UNIQUE[name])} unique")
-    return copies.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("violations")).select(
-        F.lit(name).alias("table"), rule.alias("rule"), "violations"
+    by_key = df.groupBy(*UNIQUE[name]).agg(
+        (F.count("*") - 1).alias("_copies"), *[F.count_if(bad).alias(rule) for rule, bad in rules.items()]
     )
+    unique = f"{', '.join(UNIQUE[name])} unique"
+    counted = by_key.agg(
+        *[F.coalesce(F.sum(F.col(f"`{rule}`")), F.lit(0)).alias(rule) for rule in rules],
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias(unique),
+    )
+    pairs = F.explode(F.create_map(*[x for rule in (*rules, unique) for x in (F.lit(rule), F.col(f"`{rule}`"))]))
+    return counted.select(F.lit(name).alias("table"), pairs.alias("rule", "violations"))
 
 
 def report(logs: DataFrame, messages: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -40,5 +39,5 @@ def report(logs: DataFrame, messages: DataFrame, conversations: DataFrame) -> Da
     orphans = messages.join(parent, "conversation_id", "left_anti").agg(F.count("*").alias("violations"))
     out = orphans.select(F.lit("messages").alias("table"), F.lit("conversation_id references").alias("rule"), "violations")
     for name, df in tables.items():
-        out = out.union(_row_rules(name, df)).union(_unique(name, df))
+        out = out.union(_rules(name, df))
     return out

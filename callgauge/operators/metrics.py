@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from callgauge.functions.numbers import WINDOW_PRESETS, error_tone, ratio, round_half_up
 from callgauge.functions.text import first_text, minute_label
+from callgauge.operators.percentiles import percentiles
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Columns of a histogram that add up, and the totals made of them.
+ADDITIVE = ("calls", "errors", "cancelled", "tokens", "ttft_sum", "ttft_calls")
+MEASURES = {"total": "calls", "errors": "errors", "cancelled": "cancelled", "tokens": "tokens"}
 
 RECENT_LIMIT = 30
 RECENT_COLUMNS = (
@@ -56,18 +60,19 @@ def latency_histogram(logs: DataFrame, *keys: str) -> DataFrame:
 
 def from_histogram(histogram: DataFrame, *keys: str) -> DataFrame:
     """Totals and exact interpolated percentiles per ``keys``; one row, even if empty, when there are no keys."""
-    wanted = F.array(*[F.lit(p) for p in PERCENTILES.values()])
-    pct = F.percentile("latency_ms", wanted, F.col("calls"))
-    totals = histogram.groupBy(*keys).agg(
-        F.coalesce(F.sum("calls"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
-        F.coalesce(F.sum("cancelled"), F.lit(0)).alias("cancelled"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
-        pct.alias("_pct"),
-        F.try_divide(F.sum("ttft_sum"), F.sum("ttft_calls")).alias("_ttft"),
-    )
-    columns = {f"{name}_ms": round_half_up(F.col("_pct")[i]) for i, name in enumerate(PERCENTILES)}
-    return totals.withColumns({**columns, "avg_ttft_ms": round_half_up(F.col("_ttft"))}).drop("_pct", "_ttft")
+    merged = _merge(histogram, *keys)
+    measures = {name: F.coalesce(F.sum(column), F.lit(0)) for name, column in MEASURES.items()}
+    ttft = F.try_divide(F.sum("ttft_sum"), F.sum("ttft_calls"))
+    found = percentiles(merged, list(keys), "latency_ms", "calls", PERCENTILES, **measures, avg_ttft=ttft)
+    rounded = [round_half_up(F.col(name)).alias(f"{name}_ms") for name in (*PERCENTILES, "avg_ttft")]
+    return found.select(*keys, *MEASURES, *rounded)
+
+
+def _merge(histogram: DataFrame, *keys: str) -> DataFrame:
+    """Histogram of coarser keys; one that has just these keys already is left alone."""
+    if set(histogram.columns) == {*keys, "latency_ms", *ADDITIVE}:
+        return histogram
+    return histogram.groupBy(*keys, "latency_ms").agg(*[F.sum(c).alias(c) for c in ADDITIVE])
 
 
 def summary(logs: DataFrame, minutes: float, *keys: str) -> DataFrame:
@@ -168,15 +173,31 @@ def ingest_lag(logs: DataFrame, unit: str = "minute") -> DataFrame:
     """Delay between request and storage per bucket: calls, p50, p95 and the worst, in ms."""
     stored, requested = (F.unix_millis(F.col(c).cast("timestamp")) for c in ("ingested_at", "requested_at"))
     counted = bucketed(logs, unit).groupBy("bucket", (stored - requested).alias("lag_ms")).agg(F.count("*").alias("calls"))
-    pct = F.percentile("lag_ms", F.array(F.lit(0.5), F.lit(0.95)), F.col("calls"))
-    return (
-        counted.groupBy("bucket")
-        .agg(F.sum("calls").alias("calls"), pct.alias("_pct"), F.max("lag_ms").alias("max_lag_ms"))
-        .select(
-            "bucket", "calls", round_half_up(F.col("_pct")[0]).alias("p50_lag_ms"),
-            round_half_up(F.col("_pct")[1]).alias("p95_lag_ms"), "max_lag_ms",
-        )
+    found = percentiles(
+        counted, ["bucket"], "lag_ms", "calls", {"p50": 0.5, "p95": 0.95}, calls=F.sum("calls"), max_lag_ms=F.max("lag_ms")
     )
+    return found.select(
+        "bucket", "calls", round_half_up(F.col("p50")).alias("p50_lag_ms"), round_half_up(F.col("p95")).alias("p95_lag_ms"), "max_lag_ms"
+    )
+
+
+def overview(logs: DataFrame, minutes: float) -> DataFrame:
+    """Summary, series and breakdown from a single scan, told apart by ``part``.
+
+    Calls are counted once by (minute, provider, model, latency); only these counts are repeated for the three groupings.
+    """
+    counted = latency_histogram(bucketed(logs), "bucket", "provider", "model")
+    no_time, no_text = F.lit(None).cast(logs.schema["requested_at"].dataType), F.lit(None).cast("string")
+    groupings = [
+        ("summary", no_time, no_text, no_text),
+        ("series", F.col("bucket"), no_text, no_text),
+        ("providers", no_time, F.col("provider"), F.col("model")),
+    ]
+    keys = ("part", "bucket", "provider", "model")
+    rows = F.array(*[F.struct(*[c.alias(k) for k, c in zip(keys, (F.lit(name), *group))]) for name, *group in groupings])
+    spread = counted.select("latency_ms", *ADDITIVE, F.explode(rows).alias("_g")).select("_g.*", "latency_ms", *ADDITIVE)
+    merged = spread.groupBy(*keys, "latency_ms").agg(*[F.sum(c).alias(c) for c in ADDITIVE])
+    return with_rates(from_histogram(merged, *keys), minutes)
 
 
 def document(logs: DataFrame, as_of: datetime, minutes: float) -> DataFrame:
@@ -185,24 +206,32 @@ def document(logs: DataFrame, as_of: datetime, minutes: float) -> DataFrame:
     The window holds at most a day of minutes, the recent list 30 rows and the breakdown one row per provider and
     model, so the lists that are collected into the row stay small whatever the number of calls.
     """
-    parts = dashboard(logs, as_of, minutes)
+    window = in_window(logs, as_of, minutes)
     stamp = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-    points = parts["series"].select(F.date_format("bucket", stamp).alias("t"), "requests", "errors", "p95")
-    newest = parts["recent"].withColumn("requested_at", F.date_format("requested_at", stamp))
-
-    def as_list(rows: DataFrame, *order: Column) -> Column:
-        entry = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.struct(*rows.columns).alias("row"))
-        return rows.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["row"])).scalar()
-
-    requests_desc, newest_desc = -F.col("requests"), -F.unix_micros(F.to_timestamp("requested_at"))
-    whole = parts["summary"].select(
+    requests, t = F.col("total").alias("requests"), F.date_format("bucket", stamp).alias("t")
+
+    def entries(part: str, order: list[Column], *columns: str | Column) -> Column:
+        """Rows of one part in order; other parts give null, which a list leaves out."""
+        entry = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.struct(*columns).alias("row"))
+        listed = F.array_sort(F.collect_list(F.when(F.col("part") == part, entry)))
+        return F.transform(listed, lambda e: e["row"]).alias(part)
+
+    kpis = ("total", "errors", "cancelled", "error_rate", "throughput_rpm", "tokens", "p50_ms", "p95_ms", "p99_ms", "avg_ttft_ms")
+    parts = overview(window, minutes).agg(
+        entries("summary", [F.lit(0)], *kpis),
+        entries("series", [t], t, requests, "errors", F.col("p95_ms").alias("p95")),
+        entries("providers", [-F.col("total"), F.col("provider"), F.col("model")], "provider", "model", requests, "errors", "p50_ms", "tokens"),
+    )
+    newest = recent(window).withColumn("requested_at", F.date_format("requested_at", stamp)).withColumn("part", F.lit("recent"))
+    newest_first = [-F.unix_micros(F.to_timestamp("requested_at")), F.col("request_id")]
+    latest_calls = newest.agg(entries("recent", newest_first, *RECENT_COLUMNS)).scalar()
+    counted = ("total", "errors", "cancelled", "error_rate", "throughput_rpm", "tokens")
+    empty = F.struct(*[F.lit(0 if c in counted else None).cast("bigint").alias(c) for c in kpis])
+    whole = parts.select(
         F.lit(minutes).alias("window_minutes"),
-        F.struct(
-            "total", "errors", "cancelled", "error_rate", "throughput_rpm", "tokens", "p50_ms", "p95_ms", "p99_ms",
-            "avg_ttft_ms",
-        ).alias("summary"),
-        as_list(points, F.col("t")).alias("series"),
-        as_list(parts["providers"], requests_desc, F.col("provider"), F.col("model")).alias("providers"),
-        as_list(newest, newest_desc, F.col("request_id")).alias("recent"),
+        F.coalesce(F.get("summary", F.lit(0)), empty).alias("summary"),
+        "series",
+        "providers",
+        latest_calls.alias("recent"),
     )
     return whole.select(F.to_json(F.struct(*whole.columns), {"ignoreNullFields": "false"}).alias("document"))

@@ -125,7 +125,8 @@ def logs_with_conversation(logs: DataFrame, conversations: DataFrame) -> DataFra
 
 
 def orphan_logs(logs: DataFrame, conversations: DataFrame) -> DataFrame:
-    return logs.join(conversations.select(F.col("conv_id").alias("conversation_id")), "conversation_id", "left_anti")
+    """Logs that name a conversation which is gone."""
+    return logs.where(F.col("conversation_id").isNotNull()).join(conversations.select(F.col("conv_id").alias("conversation_id")), "conversation_id", "left_anti")
 
 
 def partial_turns(logs: DataFrame, messages: DataFrame, preview: int = PREVIEW_LENGTH) -> DataFrame:
