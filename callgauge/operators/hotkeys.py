@@ -1,25 +1,58 @@
 """Ordered look-around that does not put a whole group into one task.
 
-A window ``PARTITION BY conversation`` hands every message of a conversation to one task, however long it is. Here a
-group is cut into blocks of its order column and windows run per (key, block). Rows from across the block border that a
-window needs are copied in beforehand, so results are those of the uncut window.
+A window ``PARTITION BY conversation`` hands every message of a conversation to one task, however long it is. The order
+column is an integer that is unique within its group, so a group whose numbers fall into one block of ``BLOCK`` has no
+more rows than that and may take the plain window. Longer groups are cut into blocks: windows run per (key, block), and
+the rows from across the border that a window needs are copied in beforehand, so that results are those of the uncut
+window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from callgauge.operators.dedupe import MAX_BROADCAST_KEYS
+
 #: Width of a block in units of the order column, hence the most rows of one key a window task holds.
 BLOCK = 4096
 
+#: Adds window columns to a table, given the columns to partition by.
+Compute = Callable[[DataFrame, list[str]], DataFrame]
+
 
-def with_neighbours(
-    df: DataFrame, key: str, order: str, k: int, *, ahead: bool = False, block: int = BLOCK
+def over_neighbours(
+    df: DataFrame, key: str, order: str, k: int, compute: Compute, *, ahead: bool = False, block: int = BLOCK
 ) -> DataFrame:
+    """``compute`` over the groups of ``key``, for windows that reach at most ``k`` rows back (or ``ahead``).
+
+    The long groups are looked for first, in a job over the two columns alone. Usually there are none, and the texts go
+    through a single shuffle. A few are told apart by broadcasting their keys; with too many for that, all groups are
+    cut.
+    """
+    span = F.floor(F.max(order) / block) > F.floor(F.min(order) / block)
+    long = df.groupBy(key).agg(span.alias("_long")).where("_long").select(key)
+    n_long = long.count()
+    if n_long == 0:
+        return compute(df, [key])
+    if n_long > MAX_BROADCAST_KEYS:
+        return _by_block(df, key, order, k, compute, ahead, block)
+    short = compute(df.join(F.broadcast(long), key, "left_anti"), [key])
+    cut = _by_block(df.join(F.broadcast(long), key, "left_semi"), key, order, k, compute, ahead, block)
+    return short.unionByName(cut)
+
+
+def _by_block(df: DataFrame, key: str, order: str, k: int, compute: Compute, ahead: bool, block: int) -> DataFrame:
+    near = with_neighbours(df, key, order, k, ahead=ahead, block=block)
+    return compute(near, [key, "_block"]).where(~F.col("_halo")).drop("_block", "_halo")
+
+
+def with_neighbours(df: DataFrame, key: str, order: str, k: int, *, ahead: bool, block: int) -> DataFrame:
     """``df`` plus, for every (key, ``_block``), the ``k`` rows next to it, marked by ``_halo``.
 
-    ``order`` is an integer, unique within ``key``. Only k rows per block travel across: each block keeps its k rows
-    nearest to the border, and as every listed block holds a row, the k nearest blocks always hold the k nearest rows.
+    Only k rows per block travel across: each block keeps its k rows nearest to the border, and as every listed block
+    holds a row, the k nearest blocks always hold the k nearest rows.
     """
     placed = df.withColumn("_block", F.floor(F.col(order) / block))
     toward = F.col(order).asc() if ahead else F.col(order).desc()
@@ -45,6 +78,8 @@ def with_neighbours(
 
 def next_value(df: DataFrame, key: str, order: str, value: str, alias: str, block: int = BLOCK) -> DataFrame:
     """``lead(value) OVER (PARTITION BY key ORDER BY order)``."""
-    near = with_neighbours(df, key, order, 1, ahead=True, block=block)
-    following = F.lead(value).over(W.partitionBy(key, "_block").orderBy(order))
-    return near.withColumn(alias, following).where(~F.col("_halo")).drop("_block", "_halo")
+
+    def lead(rows: DataFrame, groups: list[str]) -> DataFrame:
+        return rows.withColumn(alias, F.lead(value).over(W.partitionBy(*groups).orderBy(order)))
+
+    return over_neighbours(df, key, order, 1, lead, ahead=True, block=block)

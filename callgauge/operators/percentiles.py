@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 def percentiles(counted: DataFrame, keys: list[str], value: str, weight: str, wanted: dict[str, float], **totals: Column) -> DataFrame:
     """Per ``keys`` the continuous percentiles of ``value``, each row standing for ``weight`` equal values, and totals.
 
-    ``counted`` holds one row per (keys, value). A running count in value order finds the values at the two ranks a
+    A running count in value order finds the values at the two ranks a
     percentile lies between. The window sorts and spills, so a group may hold any number of distinct values, where an
     aggregate would keep all of them in a map on the heap. The aggregation on top needs no shuffle of its own. Null
     values count in the totals only.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from callgauge.functions.redact import redact
 from callgauge.functions.text import cut, strip
-from callgauge.operators.hotkeys import with_neighbours
+from callgauge.operators.hotkeys import BLOCK, over_neighbours
 
 # Fixed values.
 LIST_LIMIT = 200
@@ -73,17 +73,16 @@ def resume_view(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("role") != "system").select("conversation_id", "turn", "role", "content")
 
 
-def context_window(messages: DataFrame, n: int = CONTEXT_MESSAGES) -> DataFrame:
+def context_window(messages: DataFrame, n: int = CONTEXT_MESSAGES, block: int = BLOCK) -> DataFrame:
     """For every user turn the last ``n`` non-system messages up to and including it, oldest first."""
     spoken = messages.where(F.col("role") != "system").select("conversation_id", "turn", "role", "content")
-    near = with_neighbours(spoken, "conversation_id", "turn", n - 1)
-    span = W.partitionBy("conversation_id", "_block").orderBy("turn").rowsBetween(1 - n, 0)
-    context = F.collect_list(F.struct("role", "content")).over(span)
-    return (
-        near.withColumn("context", context)
-        .where((F.col("role") == "user") & ~F.col("_halo"))
-        .select("conversation_id", "turn", "context")
-    )
+
+    def gather(rows: DataFrame, groups: list[str]) -> DataFrame:
+        span = W.partitionBy(*groups).orderBy("turn").rowsBetween(1 - n, 0)
+        return rows.withColumn("context", F.collect_list(F.struct("role", "content")).over(span))
+
+    every = over_neighbours(spoken, "conversation_id", "turn", n - 1, gather, block=block)
+    return every.where(F.col("role") == "user").select("conversation_id", "turn", "context")
 
 
 def titles(messages: DataFrame) -> DataFrame:
