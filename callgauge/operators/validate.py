@@ -15,20 +15,40 @@ INVALID_TYPE, TOO_SMALL, TOO_BIG = "invalid_type", "too_small", "too_big"
 INVALID_STRING, INVALID_ENUM = "invalid_string", "invalid_enum_value"
 
 
-def _utf16_length(text: Column) -> Column:
-    """Length as the producer counts it: characters outside the basic plane count twice."""
-    return F.octet_length(F.encode(text, "UTF-16BE")) / F.lit(2)
+def _longer_than(text: Column, limit: int) -> Column:
+    """Whether the producer counts more than ``limit``: in UTF-16, where characters off the basic plane count twice.
 
+    A text never has more UTF-16 units than UTF-8 bytes, so only one with more bytes is recoded.
+    """
+    units = F.octet_length(F.encode(text, "UTF-16BE")) / F.lit(2)
+    return F.when(F.octet_length(text) > limit, units > limit).otherwise(F.lit(False))
+
+
+#: Every key of an envelope as VARIANT: null if it is absent, a VARIANT null if it is null.
+FIELDS = "struct<" + ", ".join(f"{f.column}: variant" for f in ENVELOPE) + ">"
+_KEYED = "struct<" + ", ".join(f"{f.name}: variant" for f in ENVELOPE) + ">"
+
+
+def _fields(log: Column) -> Column:
+    """All keys in one go, null if the envelope is no object. Reading them by path one by one costs several times more."""
+    return F.try_variant_get(log, "$", _KEYED).cast(FIELDS)
 
-def _reads(log: Column) -> Column:
+
+def _reads(fields: Column) -> Column:
     """What the checks look at, read once per key: the JSON type (null if absent) and the value."""
     reads = []
     for field in ENVELOPE:
-        path = f"$.{field.name}"
-        reads.append(F.schema_of_variant(F.try_variant_get(log, path, "variant")).alias(f"{field.column}_type"))
-        if field.kind not in ("bool", "object"):
-            reads.append(F.try_variant_get(log, path, "double" if field.kind == "int" else "string").alias(field.column))
-    return F.struct(F.schema_of_variant(log).alias("type"), *reads)
+        value = fields[field.column]
+        reads.append(F.schema_of_variant(value).alias(f"{field.column}_type"))
+        if field.kind == "object":
+            reads.append(F.to_json(value).alias(field.column))
+        else:
+            reads.append(F.try_variant_get(value, "$", READ_AS.get(field.kind, "string")).alias(field.column))
+    return F.struct(fields.isNotNull().alias("is_object"), *reads)
+
+
+#: Numbers are doubles, as they are to the producer.
+READ_AS = {"int": "double", "bool": "boolean"}
 
 
 def _codes(read: Column, field: Field) -> list[Column]:
@@ -53,8 +73,8 @@ def _codes(read: Column, field: Field) -> list[Column]:
             F.when(is_number & (value < 0), F.lit(TOO_SMALL)),
         ]
     if field.kind == "str":
-        size = _utf16_length(value)
-        code = F.when(size < field.shortest, F.lit(TOO_SMALL)).when(size > field.longest, F.lit(TOO_BIG))
+        empty = F.octet_length(value) < field.shortest
+        code = F.when(empty, F.lit(TOO_SMALL)).when(_longer_than(value, field.longest), F.lit(TOO_BIG))
     elif field.kind == "uuid":
         code = F.when(~value.rlike(UUID), F.lit(INVALID_STRING))
     elif field.kind == "status":
@@ -75,8 +95,7 @@ def _issues(read: Column, path: Column | None = None) -> Column:
         for code in _codes(read, field)
     ]
     not_object = F.array(F.struct(root.alias("path"), F.lit(INVALID_TYPE).alias("code")))
-    is_object = F.coalesce(read["type"].startswith("OBJECT"), F.lit(False))
-    return F.when(is_object, F.array_compact(F.array(*found))).otherwise(not_object)
+    return F.when(read["is_object"], F.array_compact(F.array(*found))).otherwise(not_object)
 
 
 def _batch_issues(logs: Column, held: Column) -> Column:
@@ -87,7 +106,7 @@ def _batch_issues(logs: Column, held: Column) -> Column:
     def at_root(code: Column) -> Column:
         return F.array(F.when(code.isNotNull(), F.struct(F.lit("logs").alias("path"), code.alias("code"))))
 
-    reads = F.transform(logs, _reads)
+    reads = F.transform(F.transform(logs, _fields), _reads)
     inner = F.flatten(F.transform(reads, lambda read, i: _issues(read, F.concat(F.lit("logs."), i.cast("string")))))
     return F.when(is_list, F.concat(F.array_compact(at_root(size_code)), inner)).otherwise(at_root(F.lit(INVALID_TYPE)))
 
@@ -97,10 +116,24 @@ def first_issues(issues: Column) -> Column:
     return F.slice(issues, 1, MAX_ISSUES)
 
 
-def check(envelopes: DataFrame) -> DataFrame:
-    """Adds ``issues`` to envelopes with the VARIANT column ``log``; the good ones have none."""
-    read = once(envelopes, _read=_reads(F.col("log")))
-    return once(read, issues=_issues(F.col("_read"))).drop("_read")
+def _read(envelopes: DataFrame) -> DataFrame:
+    return once(once(envelopes, _fields=_fields(F.col("log"))), _read=_reads(F.col("_fields"))).drop("_fields")
+
+
+def check(envelopes: DataFrame, with_columns: bool = False) -> DataFrame:
+    """Adds ``issues`` to envelopes with the VARIANT column ``log``; the good ones have none.
+
+    ``with_columns`` adds the stored columns too, out of the same reading.
+    """
+    read = _read(envelopes)
+    stored = typed(F.col("_read")) if with_columns else {}
+    return once(read, issues=_issues(F.col("_read")), **stored).drop("_read")
+
+
+def typed_rows(envelopes: DataFrame) -> DataFrame:
+    """Replaces ``log`` by the stored columns without any check: what does not read as its type is null."""
+    rest = [c for c in envelopes.columns if c != "log"]
+    return _read(envelopes).select(*rest, *[value.alias(c) for c, value in typed(F.col("_read")).items()])
 
 
 def check_batches(batches: DataFrame) -> DataFrame:
@@ -118,32 +151,26 @@ def check_batches(batches: DataFrame) -> DataFrame:
 
 def strip_unknown(log: Column) -> Column:
     """The envelope as JSON text with only the listed keys."""
-    known = [F.try_variant_get(log, f"$.{f.name}", "variant").alias(f.name) for f in ENVELOPE]
-    return F.to_json(F.struct(*known))
+    return F.to_json(F.try_variant_get(log, "$", _KEYED))
 
 
-def typed(log: Column) -> dict[str, Column]:
+def typed(read: Column) -> dict[str, Column]:
     """Stored columns with the defaults of absent keys. Whole numbers are BIGINT until their range is checked."""
-    reads = {"str": "string", "uuid": "string", "status": "string", "bool": "boolean", "int": "bigint", "time": "string"}
     columns = {}
     for field in ENVELOPE:
-        path = f"$.{field.name}"
-        if field.kind == "object":
-            value = F.coalesce(F.to_json(F.try_variant_get(log, path, "variant")), F.lit("{}"))
-        else:
-            value = F.try_variant_get(log, path, reads[field.kind])
-        if field.kind == "time":
+        value = read[field.column]
+        if field.kind == "int":
+            value = value.try_cast("bigint")
+        elif field.kind == "time":
             value = F.try_to_timestamp(value)
-        if field.kind == "bool":
+        elif field.kind == "bool":
             value = F.coalesce(value, F.lit(False))
+        elif field.kind == "object":
+            value = F.coalesce(value, F.lit("{}"))
         columns[field.column] = value
     return columns
 
 
-def typed_columns(log: Column) -> list[Column]:
-    return [value.alias(column) for column, value in typed(log).items()]
-
-
 def out_of_range() -> Column:
     """Whole numbers an INT column cannot hold. The edge check lets them through, so they are set aside here."""
     bad = F.lit(False)

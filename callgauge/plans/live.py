@@ -13,8 +13,7 @@ from callgauge.streaming import live, sink
 
 
 def _typed_stream(run: Run) -> DataFrame:
-    read = envelopes.parse(envelopes.entries_with_payload(run.entries()))
-    return read.select(*validate.typed_columns(F.col("log")))
+    return validate.typed_rows(envelopes.parse(envelopes.entries_with_payload(run.entries())))
 
 
 def _halves(rows: DataFrame) -> list[DataFrame]:

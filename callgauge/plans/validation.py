@@ -162,27 +162,27 @@ def parse_drop_corrupt(spark: SparkSession, folder: str) -> DataFrame:
 def publish_events(spark: SparkSession, folder: str) -> DataFrame:
     """Rows to bus records and back."""
     events = envelopes.to_events(views.sent_logs(spark, folder))
-    return envelopes.parse(events, "value").select("key", *validate.typed_columns(F.col("log")))
+    return validate.typed_rows(envelopes.parse(events, "value"))
 
 
 def columns_default(spark: SparkSession, folder: str) -> DataFrame:
     """Stored columns of envelopes without flag and, every fourth, without metadata."""
     sent = views.sent_logs(spark, folder).withColumn("metadata", F.expr("if(event_id % 4 = 0, null, metadata)"))
     read = envelopes.parse(sent.select(envelopes.to_payload(sent).alias("payload")))
-    return read.select(*validate.typed_columns(F.col("log"))).select(
+    return validate.typed_rows(read).select(
         "request_id", "conversation_id", "message_id", "error_message", "prompt_tokens", "tokens_estimated", "metadata", "completed_at"
     )
 
 
 def int_range_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Logs the edge accepts and an INT column refuses."""
-    good = _checked(spark, folder).where(F.size("issues") == 0)
-    return good.select("event_id", *validate.typed_columns(F.col("log"))).where(validate.out_of_range()).select("event_id", "latency_ms")
+    checked = validate.check(envelopes.parse(_faulty(spark, folder)), with_columns=True)
+    return checked.where((F.size("issues") == 0) & validate.out_of_range()).select("event_id", "latency_ms")
 
 
 def constraint_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rules of the three tables on rows that were never validated, against conversations without the cancelled ones."""
-    unchecked = envelopes.parse(_faulty(spark, folder)).select(*validate.typed_columns(F.col("log")))
+    unchecked = validate.typed_rows(envelopes.parse(_faulty(spark, folder)))
     open_only = state(views.conversation_events(spark, folder)).where("status = 'active'")
     return constraints.report(unchecked, views.messages(spark, folder), open_only)
 

@@ -28,9 +28,8 @@ def classify(entries: DataFrame) -> DataFrame:
     Text that is no JSON object, envelopes that break a rule and numbers the INT columns cannot hold are kept with
     their payload for the dead-letter folder. Entries without a payload are dropped.
     """
-    named = envelopes.entries_with_payload(entries)
-    parsed = once(named, log=F.try_parse_json(envelopes.PAYLOAD))
-    read = once(validate.check(parsed), **validate.typed(F.col("log")))
+    parsed = envelopes.parse(envelopes.entries_with_payload(entries), keep=True)
+    read = validate.check(parsed, with_columns=True)
     is_object = F.coalesce(F.schema_of_variant("log").startswith("OBJECT"), F.lit(False))
     reason = (
         F.when(~is_object, F.lit("corrupt"))
