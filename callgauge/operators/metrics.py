@@ -45,7 +45,7 @@ def in_window(logs: DataFrame, as_of: datetime, minutes: float, at: str = "reque
     return kept
 
 
-def latency_histogram(logs: DataFrame, *keys: str) -> DataFrame:
+def latency_histogram(logs: DataFrame, *keys: str | Column) -> DataFrame:
     """Additive measures per (keys, latency_ms). Histograms of finer keys add up to those of coarser ones."""
     streamed = F.when(F.col("streaming"), F.col("ttft_ms"))
     return logs.groupBy(*keys, "latency_ms").agg(
@@ -68,11 +68,16 @@ def from_histogram(histogram: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, *MEASURES, *rounded)
 
 
+def latency_histogram_sum(histogram: DataFrame, *keys: str) -> DataFrame:
+    """Histogram of coarser keys, or of several histograms put together."""
+    return histogram.groupBy(*keys, "latency_ms").agg(*[F.sum(c).alias(c) for c in ADDITIVE])
+
+
 def _merge(histogram: DataFrame, *keys: str) -> DataFrame:
-    """Histogram of coarser keys; one that has just these keys already is left alone."""
+    """One that has just these keys already is left alone."""
     if set(histogram.columns) == {*keys, "latency_ms", *ADDITIVE}:
         return histogram
-    return histogram.groupBy(*keys, "latency_ms").agg(*[F.sum(c).alias(c) for c in ADDITIVE])
+    return latency_histogram_sum(histogram, *keys)
 
 
 def summary(logs: DataFrame, minutes: float, *keys: str) -> DataFrame:
@@ -196,8 +201,7 @@ def overview(logs: DataFrame, minutes: float) -> DataFrame:
     keys = ("part", "bucket", "provider", "model")
     rows = F.array(*[F.struct(*[c.alias(k) for k, c in zip(keys, (F.lit(name), *group))]) for name, *group in groupings])
     spread = counted.select("latency_ms", *ADDITIVE, F.explode(rows).alias("_g")).select("_g.*", "latency_ms", *ADDITIVE)
-    merged = spread.groupBy(*keys, "latency_ms").agg(*[F.sum(c).alias(c) for c in ADDITIVE])
-    return with_rates(from_histogram(merged, *keys), minutes)
+    return with_rates(from_histogram(latency_histogram_sum(spread, *keys), *keys), minutes)
 
 
 def document(logs: DataFrame, as_of: datetime, minutes: float) -> DataFrame:

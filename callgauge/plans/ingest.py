@@ -22,7 +22,9 @@ class Run:
         self.topic, self.sink, self.dead, self.checkpoint = (f"{home}/{part}" for part in ("topic", "logs", "dead", "checkpoint"))
 
     def publish(self, rows: DataFrame, offset: str = "stream_seq") -> None:
-        bus.publish(bus.to_entries(rows, offset, F.col("payload")), self.topic)
+        """As a bus with as many partitions as the session has cores."""
+        entries = bus.to_entries(rows, offset, F.col("payload"))
+        bus.publish(entries.repartition(self.spark.sparkContext.defaultParallelism), self.topic)
 
     def entries(self) -> DataFrame:
         return bus.read_folder(self.spark, self.topic)

@@ -9,11 +9,11 @@ from callgauge.plans.ingest import Run
 from callgauge.plans.metrics import KPI, ORACLE as METRIC_SQL
 from callgauge.plans.sql_views import statement
 from callgauge.sources import envelopes, views
-from callgauge.streaming import live, sink
+from callgauge.streaming import ingest, live, sink
 
 
 def _typed_stream(run: Run) -> DataFrame:
-    return validate.typed_rows(envelopes.parse(envelopes.entries_with_payload(run.entries())))
+    return validate.typed_rows(envelopes.parse(envelopes.entries_with_payload(run.entries())).drop("fields"))
 
 
 def _halves(rows: DataFrame) -> list[DataFrame]:
@@ -23,43 +23,47 @@ def _halves(rows: DataFrame) -> list[DataFrame]:
     return [rows.where(F.col("requested_at") < middle), rows.where(F.col("requested_at") >= middle)]
 
 
-def _minute_table(spark: SparkSession, folder: str, name: str, trigger: dict | None = None) -> DataFrame:
-    """Minute counts after two deliveries, the second one continuing the state of the first."""
-    run = Run(spark, name)
-    for half in _halves(views.delivered_envelopes(spark, folder, exact=True)):
-        run.publish(half)
-        query = live.start(live.minute_histogram(_typed_stream(run)), run.sink, run.checkpoint, trigger)
-        if trigger:
-            query.processAllAvailable()
-            query.stop()
-        else:
-            query.awaitTermination()
-    counts = live.histogram(sink.read(spark, run.sink))
-    return counts.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+def _ntz(rows: DataFrame, column: str = "bucket") -> DataFrame:
+    return rows.withColumn(column, F.col(column).cast("timestamp_ntz"))
 
 
 def minute_tumbling(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.series_of(_minute_table(spark, folder, "minute_tumbling"))
+    """A windowed stream over entries that are not stored, in two deliveries: the second continues the first's state."""
+    run = Run(spark, "minute_tumbling")
+    for half in _halves(views.delivered_envelopes(spark, folder, exact=True)):
+        run.publish(half)
+        live.start(live.minute_histogram(_typed_stream(run)), run.sink, run.checkpoint).awaitTermination()
+    return metrics.series_of(_ntz(live.histogram(sink.read(spark, run.sink))))
 
 
 def poll_refresh(spark: SparkSession, folder: str) -> DataFrame:
-    """The same table refreshed on a clock instead of on demand."""
-    return metrics.series_of(_minute_table(spark, folder, "poll_refresh", {"processingTime": live.POLL}))
+    """The ingest job on a clock, the series read from the counts it keeps."""
+    run = Run(spark, "poll_refresh")
+    run.publish(views.delivered_envelopes(spark, folder))
+    query = ingest.start(run.entries(), run.sink, run.dead, run.checkpoint, {"processingTime": live.POLL})
+    query.processAllAvailable()
+    query.stop()
+    return metrics.series_of(_ntz(ingest.minute_counts(spark, run.sink)))
 
 
 def trailing_window(spark: SparkSession, folder: str) -> DataFrame:
-    counts = _minute_table(spark, folder, "trailing_window")
-    return live.trailing(counts, metrics.latest(views.logs(spark, folder)))
+    """The presets out of the kept counts."""
+    run = Run(spark, "trailing_window")
+    for half in _halves(views.delivered_envelopes(spark, folder)):
+        run.publish(half)
+        run.ingest()
+    return live.trailing(_ntz(ingest.minute_counts(spark, run.sink)), metrics.latest(views.logs(spark, folder)))
 
 
 def late_data(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest logs first, so that most are later than any watermark: the stored table still counts all of them."""
+    """Newest logs first, so that half of them are later than any watermark: kept counts and stored table have all."""
     run = Run(spark, "late_data")
     for half in reversed(_halves(views.delivered_envelopes(spark, folder))):
         run.publish(half)
         run.ingest()
-    logs = run.logs()
-    return metrics.series(logs).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    kept = metrics.series_of(ingest.minute_counts(spark, run.sink))
+    stored = metrics.series(run.logs()).selectExpr("bucket", "requests as stored_requests", "p95 as stored_p95")
+    return _ntz(kept.join(stored, "bucket", "full"))
 
 
 MESSAGE = "conversation_id BIGINT, turn BIGINT, role STRING, content STRING, token_count INT, created_at TIMESTAMP"
@@ -104,7 +108,7 @@ ORACLE = {
             for name, m in metrics.WINDOW_PRESETS.items()
         )
     ),
-    "late_data": METRIC_SQL["series_minute"],
+    "late_data": f"select *, requests as stored_requests, p95 as stored_p95 from ({METRIC_SQL['series_minute']}) s",
     "message_append": statement("""select conversation_id, turn, role, content, cast(null as int) as token_count, created_at,
         cast(created_at as date) as created_date from messages"""),
     "conversation_touch": statement("select conversation_id, max(created_at) as updated_at from messages group by conversation_id"),

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from callgauge.operators import redaction, validate
+from callgauge.operators import metrics, redaction, validate
 from callgauge.operators.dedupe import first_wins, not_stored
 from callgauge.operators.once import once
 from callgauge.schemas import INT_COLUMNS, LOG_TABLE
@@ -57,11 +57,22 @@ def counts(spark: SparkSession, sink: str) -> DataFrame:
     return files.read(spark, f"{sink}_counts")
 
 
+def minute_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """Counts per (minute, latency) of the stored table, kept by the job.
+
+    Every batch adds the counts of its new rows. They just add up, so late rows count like any others and no stream
+    state is needed.
+    """
+    return metrics.latency_histogram_sum(files.read(spark, f"{sink}_minutes"), "bucket")
+
+
 def write_new(
     batch: DataFrame, batch_id: int, sink: str, dead_letter: str, dedupe_scope: str = "all", on_batch: Listener | None = None
 ) -> None:
     """Stores the rows of one micro-batch whose request id is new, and counts what became of the others.
 
+    Next to the rows go their counts per minute, which the live dashboard is made of.
+
     ``all`` compares with every stored id, ``date`` only with those of the dates in the batch, which is right as long as
     a repeated log keeps its request time. ``state`` leaves it to the stream's own state.
     """
@@ -90,6 +101,10 @@ def write_new(
             fresh.drop("offset").observe(written, F.count("*").alias("rows")), batch_id, sink, "requested_date"
         )
         inserted = written.get["rows"]
+        # read back rather than computed again: one column-pruned scan of the new files
+        new_rows = spark.read.schema(LOG_TABLE).parquet(f"{sink}/{files.BATCH}={batch_id}")
+        minutes = metrics.latency_histogram(metrics.bucketed(new_rows), "bucket")
+        files.write_batch(minutes, batch_id, f"{sink}_minutes")
         row = [(batch_id, received, received - n_good, inserted, n_good - inserted)]
         files.write_batch(spark.createDataFrame(row, COUNTS).drop("batch_id"), batch_id, f"{sink}_counts")
         if on_batch:

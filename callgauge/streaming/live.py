@@ -1,8 +1,9 @@
 """Live tables: aggregates kept up to date by a stream.
 
-The per-minute table keeps counts per (minute, latency), as the batch aggregates do. Percentiles of a minute or of any
-run of minutes are exact and come from the counts when the table is read, and no stream state grows with the number of
-windows a call belongs to.
+The dashboard's numbers come from counts per (minute, latency), the same the batch aggregates start from. The ingest job
+keeps them next to the stored table (:func:`callgauge.streaming.ingest.minute_counts`); :func:`minute_histogram` keeps
+them for a stream that is not stored. Percentiles of a minute or of any run of minutes are exact and are taken when the
+counts are read, so the work per call does not depend on the number of windows it belongs to.
 """
 
 from __future__ import annotations
@@ -16,21 +17,33 @@ from callgauge.functions.numbers import WINDOW_PRESETS
 from callgauge.operators import metrics
 from callgauge.streaming import sink as files
 
-#: State is dropped this long after its minute: the widest window. Later rows still count in the batch aggregates.
+#: State is dropped this long after its minute: the widest window. Later rows still count in the stored table.
 LATENESS = "1440 minutes"
 
 POLL = "3 seconds"
 
 
-def distinct_logs(logs: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Drops repeated deliveries that arrive within ``lateness``."""
-    return logs.withWatermark("requested_at", lateness).dropDuplicatesWithinWatermark(["request_id"])
+#: Parts the copies of one id are spread over before they meet.
+SPREAD = 8
 
 
-def minute_histogram(logs: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def distinct_logs(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
+    """Drops repeated deliveries that arrive within ``lateness``.
+
+    An id that is delivered over and over would send all its copies to one task. They are first thinned out in
+    ``spread`` parts, by the order they were published in (``offset``); 1 leaves that step out and halves the state.
+    """
+    timed = logs.withWatermark("requested_at", lateness)
+    if spread > 1:
+        timed = timed.withColumn("_part", F.pmod(F.xxhash64("offset"), F.lit(spread)))
+        timed = timed.dropDuplicatesWithinWatermark(["request_id", "_part"]).drop("_part")
+    return timed.dropDuplicatesWithinWatermark(["request_id"])
+
+
+def minute_histogram(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
     """Streaming counts per (minute, latency)."""
     minute = F.window("requested_at", "1 minute")["start"].alias("bucket")
-    return metrics.latency_histogram(distinct_logs(logs, lateness), minute)
+    return metrics.latency_histogram(distinct_logs(logs, lateness, spread), minute)
 
 
 def touches(messages: DataFrame) -> DataFrame:
@@ -62,7 +75,7 @@ def append(rows: DataFrame, sink: str, checkpoint: str, *partitions: str, trigge
 
 
 def histogram(versions: DataFrame) -> DataFrame:
-    """Current counts of the per-minute table."""
+    """Current counts out of the groups every micro-batch changed."""
     return files.newest(versions, "bucket", "latency_ms")
 
 
