@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Characters per token, and tokens a chat message adds to its text.
@@ -9,13 +15,66 @@ CHARS_PER_TOKEN = 4
 MESSAGE_OVERHEAD = 4
 
 
+@dataclass(frozen=True)
+class Estimator:
+    """Counts the tokens of a text, and of a prompt held as an array of (role, content)."""
+
+    text: Callable[[Column], Column]
+    prompt: Callable[[Column], Column]
+
+
 def estimate_tokens(text: Column) -> Column:
     """Rough count from the length; 0 for null or empty text."""
     return F.coalesce(F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN)), F.lit(0)).cast("bigint")
 
 
-def estimate_prompt(messages: Column, tokens=estimate_tokens) -> Column:
-    """Estimate of a prompt held as an array of (role, content)."""
-    return F.aggregate(
-        messages, F.lit(0).cast("bigint"), lambda total, m: total + tokens(m["content"]) + F.lit(MESSAGE_OVERHEAD)
-    )
+def estimate_prompt(messages: Column) -> Column:
+    """Sum over the messages, each with its overhead."""
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(messages, zero, lambda n, m: n + estimate_tokens(m["content"]) + F.lit(MESSAGE_OVERHEAD))
+
+
+BY_LENGTH = Estimator(estimate_tokens, estimate_prompt)
+
+
+def by_vocabulary(spark, vocabulary_file: str, pattern: str, special: dict[str, int] | None = None) -> Estimator:
+    """Byte-pair counts with a vocabulary given as lines of base64 token and rank.
+
+    The vocabulary is a file of a megabyte or so, read here once and broadcast. Text that spells a special token cannot
+    be encoded and falls back to its length, as it does in the producer.
+    """
+    with open(vocabulary_file, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+    specials, per_token, overhead = dict(special or {}), CHARS_PER_TOKEN, MESSAGE_OVERHEAD
+
+    # everything the counter needs is in its closure, so that workers need not have this package
+    def counter() -> Callable[[str | None], int]:
+        import tiktoken
+
+        lines = (line.split() for line in shared.value.splitlines() if line)
+        ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+        encoding = tiktoken.Encoding("estimate", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
+
+        def count(text: str | None) -> int:
+            if not text:
+                return 0
+            try:
+                return len(encoding.encode(text))
+            except ValueError:
+                return math.ceil(len(text) / per_token)
+
+        return count
+
+    @F.pandas_udf("bigint")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = counter()
+        for texts in batches:
+            yield texts.map(count).astype("int64")
+
+    @F.pandas_udf("bigint")
+    def prompt_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = counter()
+        for prompts in batches:
+            yield prompts.map(lambda prompt: sum(count(text) + overhead for text in prompt)).astype("int64")
+
+    return Estimator(tokens, lambda messages: prompt_tokens(F.transform(messages, lambda m: m["content"])))

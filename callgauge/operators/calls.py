@@ -7,12 +7,10 @@ usage_completion, usage_total, usage_estimated, started_at, first_delta_at, ende
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callgauge.functions.text import cut
-from callgauge.functions.tokens import estimate_prompt, estimate_tokens
+from callgauge.functions.tokens import BY_LENGTH, Estimator
 from callgauge.operators import redaction
 
 # Fixed values.
@@ -20,8 +18,6 @@ PREVIEW_LENGTH = 500
 MESSAGE_LENGTH = 500
 BODY_LENGTH = 300
 
-Estimate = Callable[[Column], Column]
-
 
 def call_status() -> Column:
     aborted = (F.col("err_name") == "AbortError") | (F.col("err_code") == "ABORT_ERR")
@@ -83,7 +79,7 @@ def derive(
     calls: DataFrame,
     preview_length: int = PREVIEW_LENGTH,
     zero_usage_is_missing: bool = False,
-    tokens: Estimate = estimate_tokens,
+    tokens: Estimator = BY_LENGTH,
 ) -> DataFrame:
     """Log rows with previews as they were cut, not yet redacted. Calls without an end are left out.
 
@@ -98,8 +94,8 @@ def derive(
         return F.nullif(reported, F.lit(0).cast("bigint")) if zero_usage_is_missing else reported
 
     prompt, completion, total = (usage(f"usage_{part}") for part in ("prompt", "completion", "total"))
-    prompt_tokens = F.coalesce(prompt, estimate_prompt(F.col("messages"), tokens))
-    completion_tokens = F.coalesce(completion, tokens(output_text()))
+    prompt_tokens = F.coalesce(prompt, tokens.prompt(F.col("messages")))
+    completion_tokens = F.coalesce(completion, tokens.text(output_text()))
     extra_key = F.when(success, F.lit("finishReason")).when(failed, F.lit("status")).otherwise(F.lit("partial"))
     extra = (
         F.when(success, F.col("finish_reason").cast("variant"))
@@ -109,7 +105,7 @@ def derive(
     counted = ended.withColumns(
         {
             "prompt_tokens": F.when(success, prompt_tokens),
-            "completion_tokens": F.when(success, completion_tokens).when(cancelled, tokens(output_text())),
+            "completion_tokens": F.when(success, completion_tokens).when(cancelled, tokens.text(output_text())),
         }
     )
     return counted.select(
@@ -142,7 +138,7 @@ def call_to_log(
     calls: DataFrame,
     preview_length: int = PREVIEW_LENGTH,
     zero_usage_is_missing: bool = False,
-    tokens: Estimate = estimate_tokens,
+    tokens: Estimator = BY_LENGTH,
     redact_columns: tuple[str, ...] = redaction.PREVIEWS,
     redact_first: bool = False,
 ) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from callgauge.functions.tokens import estimate_prompt, estimate_tokens
+from callgauge.functions.tokens import Estimator, by_vocabulary, estimate_prompt, estimate_tokens
 from callgauge.operators import calls
 from callgauge.operators.chunks import first_delta_at
 from callgauge.plans.redaction import sql_all
@@ -42,6 +44,24 @@ def estimate_tokens_query(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
 
 
+def _vocabulary(spark: SparkSession) -> Estimator:
+    """The byte-pair vocabulary of the installed public files."""
+    import public_tokenizers
+
+    return by_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def estimate_tokens_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    count = _vocabulary(spark).text
+    return table(spark, folder, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
+
+
+def call_to_log_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Log rows whose missing usage is counted with a vocabulary."""
+    rows = calls.call_to_log(raw_calls(spark, folder), tokens=_vocabulary(spark))
+    return rows.select("request_id", "status", "prompt_tokens", "completion_tokens", "total_tokens", "tokens_estimated")
+
+
 def estimate_prompt_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return raw_calls(spark, folder).select("request_id", estimate_prompt(F.col("messages")).alias("prompt_tokens"))
 
@@ -74,6 +94,9 @@ QUERIES = {
     "dead_usage_check": dead_usage_check,
     "call_to_log": call_to_log,
 }
+if find_spec("public_tokenizers") and find_spec("tiktoken"):
+    QUERIES["estimate_tokens_bpe"] = estimate_tokens_bpe
+    QUERIES["call_to_log_bpe"] = call_to_log_bpe
 
 TOKENS = "cast(ceil(length({0}) / 4.0) as bigint)"
 

@@ -16,6 +16,10 @@ from callgauge.sources import envelopes
 from callgauge.streaming import sink as files
 
 SCOPES = ("all", "date", "state")
+MINUTES = (
+    "bucket TIMESTAMP, latency_ms INT, calls BIGINT, errors BIGINT, cancelled BIGINT, tokens BIGINT, ttft_sum BIGINT, "
+    "ttft_calls BIGINT, batch_id BIGINT"
+)
 COUNTS = "batch_id BIGINT, received BIGINT, rejected BIGINT, inserted BIGINT, duplicates BIGINT"
 
 #: Called with the batch id and "read" or "written".
@@ -54,7 +58,7 @@ def stored(spark: SparkSession, sink: str) -> DataFrame:
 
 def counts(spark: SparkSession, sink: str) -> DataFrame:
     """Received, rejected, inserted and duplicate entries per batch."""
-    return files.read(spark, f"{sink}_counts")
+    return files.read(spark, f"{sink}_counts", COUNTS)
 
 
 def minute_counts(spark: SparkSession, sink: str) -> DataFrame:
@@ -63,7 +67,7 @@ def minute_counts(spark: SparkSession, sink: str) -> DataFrame:
     Every batch adds the counts of its new rows. They just add up, so late rows count like any others and no stream
     state is needed.
     """
-    return metrics.latency_histogram_sum(files.read(spark, f"{sink}_minutes"), "bucket")
+    return metrics.latency_histogram_sum(files.read(spark, f"{sink}_minutes", MINUTES), "bucket")
 
 
 def write_new(
