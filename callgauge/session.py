@@ -39,10 +39,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on (the time zone) and switch adaptive execution on."""
+    """Pin what results depend on (the time zone) and switch adaptive execution on.
+
+    A local session that kept the default number of shuffle partitions gets as many as it has threads: streams do not
+    coalesce them, and each one is a state store. A cluster's number is left alone.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    if is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -55,6 +65,6 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/callgauge/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return os.path.join(tempfile.mkdtemp(prefix="callgauge-"), name)
