@@ -89,13 +89,18 @@ def _issues(read: Column, path: Column | None = None) -> Column:
     """Issues of one envelope as array of (path, code), in the order of the keys."""
     prefix = F.lit("") if path is None else F.concat(path, F.lit("."))
     root = F.lit("") if path is None else path
-    found = [
-        F.when(code.isNotNull(), F.struct(F.concat(prefix, F.lit(field.name)).alias("path"), code.alias("code")))
-        for field in ENVELOPE
-        for code in _codes(read, field)
-    ]
-    not_object = F.array(F.struct(root.alias("path"), F.lit(INVALID_TYPE).alias("code")))
-    return F.when(read["is_object"], F.array_compact(F.array(*found))).otherwise(not_object)
+    codes = [(field.name, code) for field in ENVELOPE for code in _codes(read, field)]
+    fine = F.coalesce(*[code for _, code in codes]).isNull()
+    found = F.array(*[_issue(F.concat(prefix, F.lit(name)), code) for name, code in codes])
+    return (
+        F.when(~read["is_object"], F.array(_issue(root, F.lit(INVALID_TYPE))))
+        .when(fine, F.array().cast("array<struct<path:string,code:string>>"))
+        .otherwise(F.filter(found, lambda issue: issue["code"].isNotNull()))
+    )
+
+
+def _issue(path: Column, code: Column) -> Column:
+    return F.struct(path.alias("path"), code.alias("code"))
 
 
 def _batch_issues(logs: Column, held: Column) -> Column:
@@ -104,7 +109,7 @@ def _batch_issues(logs: Column, held: Column) -> Column:
     size_code = F.when(F.size(logs) < 1, F.lit(TOO_SMALL)).when(F.size(logs) > MAX_BATCH, F.lit(TOO_BIG))
 
     def at_root(code: Column) -> Column:
-        return F.array(F.when(code.isNotNull(), F.struct(F.lit("logs").alias("path"), code.alias("code"))))
+        return F.array(F.when(code.isNotNull(), _issue(F.lit("logs"), code)))
 
     reads = F.transform(F.transform(logs, _fields), _reads)
     inner = F.flatten(F.transform(reads, lambda read, i: _issues(read, F.concat(F.lit("logs."), i.cast("string")))))

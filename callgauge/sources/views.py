@@ -272,12 +272,12 @@ def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, s
     )
     turn = (F.col("event_id") % len(faults)).cast("int")
     whole = F.try_variant_get(F.parse_json("payload"), "$", "map<string,variant>")
-    rest = F.map_filter("_whole", lambda k, _: k != F.col("_fault.key"))
-    changed = F.when(F.col("_fault.value").isNull(), rest).otherwise(
-        F.map_concat(rest, F.create_map("_fault.key", F.parse_json("_fault.value")))
-    )
-    broken = envelopes(spark, folder).withColumn("_fault", F.get(listed, turn)).withColumn("_whole", whole)
-    return broken.select("event_id", F.to_json(changed).alias("payload"))
+    without = F.to_json(F.map_filter(whole, lambda k, _: k != F.col("_fault.key")))
+    # of a repeated key the last value counts
+    ended = F.concat(F.lit(',"'), F.col("_fault.key"), F.lit('":'), F.col("_fault.value"), F.lit("}"))
+    changed = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), ended)
+    broken = envelopes(spark, folder).withColumn("_fault", F.get(listed, turn))
+    return broken.select("event_id", F.when(F.col("_fault.value").isNull(), without).otherwise(changed).alias("payload"))
 
 
 def batches(rows: DataFrame, size: int, *, cut: str | None = None) -> DataFrame:
