@@ -28,3 +28,23 @@ def not_stored(rows: DataFrame, stored: DataFrame, key: str, n_rows: int) -> Dat
     keys = rows.select(key)
     hits = stored.select(key).join(F.broadcast(keys) if small else keys, key, "left_semi")
     return rows.join(F.broadcast(hits) if small else hits, key, "left_anti")
+
+
+#: Parts the copies of one key are spread over before they meet.
+SPREAD = 8
+
+
+def unique_stream(stream: DataFrame, key: str, order: str, spread: int = SPREAD, within_watermark: bool = False) -> DataFrame:
+    """One row per ``key`` of a stream, whichever arrives first.
+
+    A key that is delivered over and over would send all its copies to one task. They are first thinned out in
+    ``spread`` parts by ``order``, which differs between copies; 1 leaves that step out and halves the state.
+    """
+
+    def drop(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.dropDuplicatesWithinWatermark(columns) if within_watermark else rows.dropDuplicates(columns)
+
+    if spread > 1:
+        parted = stream.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(spread)))
+        stream = drop(parted, [key, "_part"]).drop("_part")
+    return drop(stream, [key])

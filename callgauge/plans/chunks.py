@@ -78,7 +78,7 @@ ORACLE = {
         call_id + e as usage_total from {_REPLY}""",
     # line 0 is a comment; every data line is followed by a blank one
     "sse_data_lines": statement(f"""
-        select call_id, 1 + 2 * n as seq, data from (
+        select call_id, cast(1 + 2 * n as int) as seq, data from (
          select call_id, 0 as n, '{{broken' as data from {_ENDS}
          union all select call_id, seq + 1, to_json({{'choices': [{{'delta': {{'content': delta}}}}]}})::varchar from chunks
          union all select call_id, e, '{{"choices":[{{"delta":{{}},"finish_reason":"stop"}}]}}' from {_ENDS}
@@ -87,9 +87,10 @@ ORACLE = {
          union all select call_id, e + 2, '[DONE]' from {_ENDS}
          union all select call_id, e + 3, '{{"choices":[{{"delta":{{"content":"late"}}}}]}}' from {_ENDS}) x"""),
     "sse_event_frames": statement(f"""
+        select call_id, cast(seq as int) as seq, event, data from (
         select call_id, 0 as seq, 'meta' as event, '{{"model":"m","provider":"p"}}' as data from {_ENDS}
         union all select call_id, seq + 1, 'delta', {_JSON}::varchar from chunks
-        union all select call_id, e + 2, 'message', '{{"text":"plain"}}' from {_ENDS}"""),
+        union all select call_id, e + 2, 'message', '{{"text":"plain"}}' from {_ENDS}) x"""),
     "split_system": statement("""
         select conversation_id, nullif(string_agg(content, chr(10) order by turn) filter (where role = 'system'), '') as system
         from messages group by conversation_id"""),

@@ -144,9 +144,9 @@ _N = len(FAULTS)
 ORACLE = {
     "stream_source": statement("select stream_seq as offset, request_id from delivered"),
     "log_sink": statement(STORED),
-    "inserted_count": """select count(*) + count(*) filter (where event_id % 9 = 0) as received, 0 as rejected,
+    "inserted_count": """select count(*) + count(*) filter (where event_id % 9 = 0) as received, cast(0 as bigint) as rejected,
         count(*) as inserted, count(*) filter (where event_id % 9 = 0) as duplicates from events""",
-    "dedupe_first": statement("""select request_id, min(stream_seq) as stream_seq, min_by(latency_ms + stream_seq % 10, stream_seq) as latency_ms
+    "dedupe_first": statement("""select request_id, min(stream_seq) as stream_seq, cast(min_by(latency_ms + stream_seq % 10, stream_seq) as int) as latency_ms
         from delivered group by request_id"""),
     "commit_after_write": statement(STORED),
     "redeliver_stuck": statement(STORED),

@@ -111,7 +111,7 @@ ORACLE = {
     "scan_transcript": statement("select conversation_id, turn, role, created_at from messages"),
     "resume_view": statement("select conversation_id, turn, role, content from messages where role <> 'system'"),
     "context_window": statement("""
-        select conversation_id, turn, n_messages, prompt_tokens, md5(array_to_string(said, chr(10))) as context_md5 from (
+        select conversation_id, turn, cast(n_messages as int) as n_messages, prompt_tokens, md5(array_to_string(said, chr(10))) as context_md5 from (
          select conversation_id, turn, role, count(*) over w as n_messages,
           cast(sum(ceil(length(content) / 4.0) + 4) over w as bigint) as prompt_tokens, list(role || ':' || content) over w as said
          from messages where role <> 'system'

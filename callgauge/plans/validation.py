@@ -159,17 +159,21 @@ def parse_drop_corrupt(spark: SparkSession, folder: str) -> DataFrame:
     return envelopes.parse(texts).select("event_id", is_object.alias("kept"))
 
 
+def _plain_times(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("requested_at", "completed_at")})
+
+
 def publish_events(spark: SparkSession, folder: str) -> DataFrame:
     """Rows to bus records and back."""
     events = envelopes.to_events(views.sent_logs(spark, folder))
-    return validate.typed_rows(envelopes.parse(events, "value"))
+    return _plain_times(validate.typed_rows(envelopes.parse(events, "value")))
 
 
 def columns_default(spark: SparkSession, folder: str) -> DataFrame:
     """Stored columns of envelopes without flag and, every fourth, without metadata."""
     sent = views.sent_logs(spark, folder).withColumn("metadata", F.expr("if(event_id % 4 = 0, null, metadata)"))
     read = envelopes.parse(sent.select(envelopes.to_payload(sent).alias("payload")))
-    return validate.typed_rows(read).select(
+    return _plain_times(validate.typed_rows(read)).select(
         "request_id", "conversation_id", "message_id", "error_message", "prompt_tokens", "tokens_estimated", "metadata", "completed_at"
     )
 
@@ -261,7 +265,7 @@ ORACLE = {
         faults=SQL_FAULTS,
     ),
     "issues": statement(
-        f"""select b.batch_id, coalesce(n_issues, 0) as n_issues, coalesce(told, '') as told
+        f"""select b.batch_id, cast(coalesce(n_issues, 0) as int) as n_issues, coalesce(told, '') as told
         from (select distinct event_id // 50 as batch_id from events) b left join (
          select batch_id, max(n_all) as n_issues, string_agg(line, ' ' order by r) as told from (
           select batch_id, line, row_number() over w as r, count(*) over (partition by batch_id) as n_all from (
@@ -272,8 +276,8 @@ ORACLE = {
          where r <= {MAX_ISSUES} group by batch_id) i on i.batch_id = b.batch_id""",
         faults=SQL_FAULTS,
     ),
-    "batch_envelope": statement("select event_id // 50 as batch_id, event_id % 50 as position, request_id from logs"),
-    "batch_bounds": """select batch_id, n, case when n < 1 then 'too_small' when n > 500 then 'too_big' else 'ok' end as verdict
+    "batch_envelope": statement("select event_id // 50 as batch_id, cast(event_id % 50 as int) as position, request_id from logs"),
+    "batch_bounds": """select batch_id, cast(n as int) as n, case when n < 1 then 'too_small' when n > 500 then 'too_big' else 'ok' end as verdict
         from (select event_id // 501 as batch_id,
               least(count(*), case (event_id // 501) % 3 when 0 then 501 when 1 then 500 else 0 end) as n from events group by 1) b""",
     "batch_all_or_nothing": statement(
@@ -285,8 +289,9 @@ ORACLE = {
     "parse_drop_corrupt": "select event_id, event_id % 13 not in (5, 6) as kept from events",
     "publish_events": statement(f"""
         select request_id as key, request_id, {_UUID} as conversation_id, cast(null as varchar) as message_id, provider, model,
-         streaming, status, error_type, cast(null as varchar) as error_message, latency_ms, ttft_ms,
-         cast(null as bigint) as prompt_tokens, cast(null as bigint) as completion_tokens, total_tokens, false as tokens_estimated,
+         streaming, status, error_type, cast(null as varchar) as error_message,
+         cast(latency_ms as bigint) as latency_ms, cast(ttft_ms as bigint) as ttft_ms, cast(null as bigint) as prompt_tokens,
+         cast(null as bigint) as completion_tokens, cast(total_tokens as bigint) as total_tokens, false as tokens_estimated,
          input_preview || case event_id % 5 when 0 then ' from me@x.io' when 1 then ' at 8.8.8.8' else '' end as input_preview,
          output_preview, requested_at, {_COMPLETED} as completed_at, replace(metadata, ' ', '') as metadata from logs"""),
     "columns_default": statement(f"""

@@ -60,33 +60,26 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Create, message, meta and cancel events; ``seq`` orders them within a conversation."""
-    turns = table(spark, folder, "conversations")
-    opened = turns.where("turn = 0")
-    from_user = turns.where("role = 'user'")
-    shape = ("conv_id", "seq", "kind", "title", "provider")
+    """Create, message, meta and cancel events; ``seq`` orders them within a conversation.
 
-    created = opened.selectExpr(
-        "conv_id", "0L as seq", "'create' as kind", "cast(null as string) as title", "cast(null as string) as provider"
-    )
-    message = turns.selectExpr("conv_id", "turn * 10 + 1 as seq", "'message'", "cast(null as string)", "cast(null as string)")
-    titled = from_user.groupBy("conv_id").agg(
-        F.expr("min(turn) * 10 + 2").alias("seq"),
-        F.lit("meta").alias("kind"),
-        F.expr("substring(min_by(text, turn), 1, 60)").alias("title"),
-        F.lit(None).cast("string").alias("provider"),
-    )
-    routed = from_user.selectExpr(
-        "conv_id", "turn * 10 + 3 as seq", "'meta'", "cast(null as string)",
-        "case (conv_id + turn) % 3 when 0 then 'openai' when 1 then 'anthropic' else 'mock' end",
-    )
-    cancelled = opened.where("conv_id % 7 = 0").selectExpr(
-        "conv_id", "1000L as seq", "'cancel'", "cast(null as string)", "cast(null as string)"
+    One scan without the texts makes all events but the titles, which come from a second one.
+    """
+    turns = table(spark, folder, "conversations")
+    happened = turns.selectExpr(
+        "conv_id",
+        """inline(filter(array(
+          if(turn = 0, named_struct('seq', 0L, 'kind', 'create', 'provider', cast(null as string)), null),
+          named_struct('seq', turn * 10 + 1, 'kind', 'message', 'provider', cast(null as string)),
+          if(role = 'user', named_struct('seq', turn * 10 + 3, 'kind', 'meta', 'provider',
+            case (conv_id + turn) % 3 when 0 then 'openai' when 1 then 'anthropic' else 'mock' end), null),
+          if(turn = 0 and conv_id % 7 = 0, named_struct('seq', 1000L, 'kind', 'cancel', 'provider', cast(null as string)), null)
+        ), e -> e is not null))""",
+    ).selectExpr("conv_id", "seq", "kind", "cast(null as string) as title", "provider")
+    first = turns.where("role = 'user'").selectExpr("conv_id", "turn", "substring(text, 1, 60) as title")
+    titled = first.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by("title", "turn").alias("title")).selectExpr(
+        "conv_id", "turn * 10 + 2 as seq", "'meta' as kind", "title", "cast(null as string) as provider"
     )
-    every = created
-    for part in (message, titled, routed, cancelled):
-        every = every.union(part)
-    return every.toDF(*shape).withColumn(
+    return happened.union(titled).withColumn(
         "event_at", F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, conv_id * 3600 + seq)")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.operators import metrics, redaction, validate
-from callgauge.operators.dedupe import first_wins, not_stored
+from callgauge.operators.dedupe import first_wins, not_stored, unique_stream
 from callgauge.operators.once import once
 from callgauge.schemas import INT_COLUMNS, LOG_TABLE
 from callgauge.sources import envelopes
@@ -137,7 +137,7 @@ def start(
     if dedupe_scope == "state":
         # rejected entries have no id to compare
         key = F.when(F.col("reason").isNull(), F.col("request_id")).otherwise(F.concat(F.lit("#"), F.col("offset")))
-        rows = rows.withColumn("_id", key).dropDuplicates(["_id"]).drop("_id")
+        rows = unique_stream(rows.withColumn("_id", key), "_id", "offset").drop("_id")
     return (
         rows.writeStream.foreachBatch(lambda df, n: write_new(df, n, sink, dead_letter, dedupe_scope, on_batch))
         .option("checkpointLocation", checkpoint)

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.functions.numbers import WINDOW_PRESETS
 from callgauge.operators import metrics
+from callgauge.operators.dedupe import SPREAD, unique_stream
 from callgauge.streaming import sink as files
 
 #: State is dropped this long after its minute: the widest window. Later rows still count in the stored table.
@@ -23,21 +24,9 @@ LATENESS = "1440 minutes"
 POLL = "3 seconds"
 
 
-#: Parts the copies of one id are spread over before they meet.
-SPREAD = 8
-
-
 def distinct_logs(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
-    """Drops repeated deliveries that arrive within ``lateness``.
-
-    An id that is delivered over and over would send all its copies to one task. They are first thinned out in
-    ``spread`` parts, by the order they were published in (``offset``); 1 leaves that step out and halves the state.
-    """
-    timed = logs.withWatermark("requested_at", lateness)
-    if spread > 1:
-        timed = timed.withColumn("_part", F.pmod(F.xxhash64("offset"), F.lit(spread)))
-        timed = timed.dropDuplicatesWithinWatermark(["request_id", "_part"]).drop("_part")
-    return timed.dropDuplicatesWithinWatermark(["request_id"])
+    """Drops repeated deliveries that arrive within ``lateness``."""
+    return unique_stream(logs.withWatermark("requested_at", lateness), "request_id", "offset", spread, within_watermark=True)
 
 
 def minute_histogram(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
