@@ -7,6 +7,7 @@ task, and exact percentiles are then taken over counted values instead of over c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -135,28 +136,33 @@ def dashboard(logs: DataFrame, as_of: datetime, minutes: float) -> dict[str, Dat
     }
 
 
-def by_preset(logs: DataFrame, as_of: datetime, presets: dict[str, int] | None = None) -> DataFrame:
+def by_preset(
+    rows: DataFrame,
+    as_of: datetime,
+    presets: dict[str, int] | None = None,
+    at: str = "requested_at",
+    count: Callable[..., DataFrame] = latency_histogram,
+) -> DataFrame:
     """KPI rows of several windows ending at the same time, from one scan of the widest.
 
-    A call belongs to every preset at least as long as its age. Calls are first counted by (shortest preset, latency),
-    so only counts are repeated per preset, never calls.
+    A row belongs to every preset at least as long as its age. Rows are first counted by (shortest preset, latency), so
+    only counts are repeated per preset, never calls. ``count`` is :func:`latency_histogram_sum` for rows that are counts.
     """
     presets = presets or WINDOW_PRESETS
     ordered = sorted(presets.items(), key=lambda item: item[1])
-    widest = in_window(logs, as_of, ordered[-1][1])
-    dtype = logs.schema["requested_at"].dataType
+    widest = in_window(rows, as_of, ordered[-1][1], at)
     shortest = F.lit(len(ordered) - 1)
     for rank, (_, length) in reversed(list(enumerate(ordered))):
-        start = F.lit((as_of - timedelta(minutes=length)).isoformat(sep=" ")).cast(dtype)
-        shortest = F.when(F.col("requested_at") >= start, F.lit(rank)).otherwise(shortest)
-    counted = latency_histogram(widest.withColumn("_rank", shortest), "_rank")
-    rows = F.array(
+        start = F.lit((as_of - timedelta(minutes=length)).isoformat(sep=" ")).cast(rows.schema[at].dataType)
+        shortest = F.when(F.col(at) >= start, F.lit(rank)).otherwise(shortest)
+    counted = count(widest.withColumn("_rank", shortest), "_rank")
+    listed = F.array(
         *[F.struct(F.lit(i).alias("at"), F.lit(n).alias("preset"), F.lit(m).alias("minutes")) for i, (n, m) in enumerate(ordered)]
     )
-    covering = F.explode(F.filter(rows, lambda p: p["at"] >= F.col("_rank"))).alias("_p")
+    covering = F.explode(F.filter(listed, lambda p: p["at"] >= F.col("_rank"))).alias("_p")
     spread = counted.select("*", covering).select("*", "_p.preset", "_p.minutes").drop("_p", "_rank")
     # a count of zero for each preset keeps windows without calls in the result
-    empty = logs.sparkSession.range(1).select(F.inline(rows)).select("preset", "minutes", F.lit(0).cast("bigint").alias("calls"))
+    empty = rows.sparkSession.range(1).select(F.inline(listed)).select("preset", "minutes", F.lit(0).cast("bigint").alias("calls"))
     spread = spread.unionByName(empty, allowMissingColumns=True)
     return with_rates(from_histogram(spread, "preset", "minutes"), F.col("minutes"))
 

@@ -103,7 +103,7 @@ ORACLE = {
     "poll_refresh": METRIC_SQL["series_minute"],
     "trailing_window": statement(
         " union all ".join(
-            f"select '{name}' as preset, {', '.join(f'{sql} as {n}' for n, sql in KPI.items()).replace('cast(1440 as', f'cast({m} as')} from logs "
+            f"select '{name}' as preset, {m} as minutes, {', '.join(f'{sql} as {n}' for n, sql in KPI.items()).replace('cast(1440 as', f'cast({m} as')} from logs "
             f"where requested_at >= (select date_trunc('minute', max(requested_at)) from logs) - interval '{m}' minute"
             for name, m in metrics.WINDOW_PRESETS.items()
         )

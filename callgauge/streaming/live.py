@@ -8,12 +8,11 @@ counts are read, so the work per call does not depend on the number of windows i
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callgauge.functions.numbers import WINDOW_PRESETS
 from callgauge.operators import metrics
 from callgauge.operators.dedupe import SPREAD, unique_stream
 from callgauge.streaming import sink as files
@@ -25,8 +24,9 @@ POLL = "3 seconds"
 
 
 def distinct_logs(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
-    """Drops repeated deliveries that arrive within ``lateness``."""
-    return unique_stream(logs.withWatermark("requested_at", lateness), "request_id", "offset", spread, within_watermark=True)
+    """Drops repeated deliveries that arrive within ``lateness``, and rows without an id or a time."""
+    named = logs.where("request_id is not null and requested_at is not null")
+    return unique_stream(named.withWatermark("requested_at", lateness), "request_id", "offset", spread, within_watermark=True)
 
 
 def minute_histogram(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
@@ -70,14 +70,5 @@ def histogram(versions: DataFrame) -> DataFrame:
 
 def trailing(counts: DataFrame, as_of: datetime, presets: dict[str, int] | None = None) -> DataFrame:
     """KPI row per preset from minute counts. Windows start on a full minute."""
-    presets = presets or WINDOW_PRESETS
     minute = as_of.replace(second=0, microsecond=0)
-    parts = []
-    for name, length in presets.items():
-        since = F.lit((minute - timedelta(minutes=length)).isoformat(sep=" ")).cast(counts.schema["bucket"].dataType)
-        kpis = metrics.with_rates(metrics.from_histogram(counts.where(F.col("bucket") >= since)), length)
-        parts.append(kpis.withColumn("preset", F.lit(name)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every
+    return metrics.by_preset(counts, minute, presets, "bucket", metrics.latency_histogram_sum)
