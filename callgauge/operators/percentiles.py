@@ -14,11 +14,12 @@ def percentiles(counted: DataFrame, keys: list[str], value: str, weight: str, wa
     values count in the totals only.
     """
     weighed = counted.withColumn("_w", F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(F.lit(0)))
-    group = W.partitionBy(*keys)
+    # the same order for both frames makes it a single pass over the window
+    in_order = W.partitionBy(*keys).orderBy(value)
     ranked = weighed.withColumns(
         {
-            "_seen": F.sum("_w").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)),
-            "_all": F.sum("_w").over(group),
+            "_seen": F.sum("_w").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)),
+            "_all": F.sum("_w").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
         }
     )
 
