@@ -29,3 +29,29 @@ select doc_id, size, source_size, target,
        (size * (whole + case when middle <= target - whole * source_size then 1 else 0 end))::bigint as taken
 from q
 """
+
+DECONTAMINATE = """
+with t as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents
+), b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from benchmark
+), g as (
+  select distinct item_id, least(len(words), 10) as size, words[s.unnest : s.unnest + least(len(words), 10) - 1] as gram
+  from b, unnest(range(1, greatest(len(words) - 10, 0) + 2)) s where len(words) > 0
+), w as (
+  select doc_id, p.unnest as pos, words[p.unnest] as word, words from t, unnest(range(1, len(words) + 1)) p
+), m as (
+  select w.doc_id, g.item_id, w.pos, g.size from g join w on w.word = g.gram[1]
+  where w.words[w.pos : w.pos + g.size - 1] = g.gram
+), h as (
+  select doc_id, count(distinct pos + o.unnest) as n_hit from m, unnest(range(0, size)) o group by doc_id
+), i as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+  from (select distinct doc_id, item_id::varchar as item_id from m) group by doc_id
+)
+select t.doc_id, coalesce(len(t.words), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+       coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from t left join h using (doc_id) left join i using (doc_id)
+"""
