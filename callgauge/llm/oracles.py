@@ -55,3 +55,24 @@ select t.doc_id, coalesce(len(t.words), 0)::bigint as n_words, coalesce(n_hit, 0
        coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
 from t left join h using (doc_id) left join i using (doc_id)
 """
+
+CHAT = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, role || text as x, length(role || text) + 17
+         + (length(role) - length(replace(role, '\', ''))) + (length(text) - length(replace(text, '\', '')))
+         + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
+         + (length(text) - length(replace(text, '[INST]', ''))) // 6
+         + (length(text) - length(replace(text, '[/INST]', ''))) // 7 as chars
+  from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from e group by conv_id
+"""
