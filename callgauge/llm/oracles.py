@@ -76,3 +76,19 @@ select conv_id, count(*) as n_turns,
        sum(chars)::bigint as formatted_chars
 from e group by conv_id
 """
+
+WARC = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), d as (
+  select page_id, octet_length(payload) as payload_bytes, sha1(payload) as hex,
+         max(page_id) over (partition by sha1(payload)) as winner
+  from p
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+         (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))::bigint) & 31)::int, 1)), '') as payload_digest,
+       case when page_id = winner or winner is null then 'response' else 'revisit' end as record_type,
+       case when page_id = winner then null else winner end as refers_to
+from d
+"""
