@@ -116,7 +116,8 @@ def _lines(page: str) -> list[_Line]:
         if not closing and tag not in VOID and _is_aside(tag, attrs, depth > 0):
             if not attrs.endswith("/"):
                 dropped, nested = tag, 1
-            lines.append(_Line(region, False))
+            if tag in BLOCKS:
+                lines.append(_Line(region, False))
             continue
         if tag == "a":
             links = 0 if closing else 1
