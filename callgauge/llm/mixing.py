@@ -61,16 +61,16 @@ def targets(sources: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EP
     return sources.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def mix(
-    documents: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    budget: float = BUDGET,
-    max_epochs: int = MAX_EPOCHS,
-    seed: str = SEED,
-) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats, taken) of every document."""
+def placed(documents: DataFrame, seed: str = SEED) -> DataFrame:
+    """Adds size and place in the seeded order to the documents' ids and sources."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = keep(documents.select("doc_id", "source", words(F.col("text")).alias("size"), order.alias("place")), "mix")
+    return documents.select("doc_id", "source", words(F.col("text")).alias("size"), order.alias("place"))
+
+
+def plan(
+    rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS
+) -> DataFrame:
+    """Per source (``s``): its size and target, the whole repetitions, and where in the order the extra one ends."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aimed = keep(targets(keep(weighted(totals, weights), "mix-weights"), budget, max_epochs), "mix-targets")
     aimed = aimed.withColumn(
@@ -91,21 +91,26 @@ def mix(
         .agg(F.max(F.struct("place", "size")).alias("last"))
     )
     cuts = second.select("s", "cut").join(last, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
-    plan = keep(aimed.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest"), "mix-plan")
-    plan = plan.withColumnRenamed("source", "s")
+    planned = aimed.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
+    return keep(planned.withColumnRenamed("source", "s"), "mix-plan")
+
+
+def repeated(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """Joins the plan to the rows of ``placed`` and adds ``repeats`` and ``taken``."""
+    fine = F.substring("place", 1, 4)
     before = (fine < F.col("cut")) | ((fine == F.col("cut")) & (F.struct("place", "size") <= F.col("last")))
     repeats = F.col("whole") + F.coalesce(before, F.lit(False)).cast("long")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        repeats.alias("repeats"),
-        (F.col("size") * repeats).alias("taken"),
+    return rows.join(planned, F.col("source").eqNullSafe(F.col("s"))).select(
+        *rows.columns, "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
     )
 
 
+def mix(documents: DataFrame, seed: str = SEED, **how) -> DataFrame:
+    """(doc_id, source, size, place, source_size, target, repeats, taken) of every document; ``how`` goes to ``plan``."""
+    rows = keep(placed(documents, seed), "mix")
+    return repeated(rows, plan(rows, **how))
+
+
 def _inside(rows: DataFrame, cuts: DataFrame, level: Column) -> DataFrame:
     """Rows of the range in which their source is cut, with what is left for that range."""
     return rows.where("size > 0").join(cuts, F.col("source").eqNullSafe(F.col("s")) & (level == F.col("cut")))

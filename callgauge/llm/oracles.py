@@ -92,3 +92,26 @@ select page_id, payload_bytes,
        case when page_id = winner then null else winner end as refers_to
 from d
 """
+
+EMBEDDINGS = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as x from embeddings
+), ok as (
+  select vec_id, label, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) as norm from v
+  where vec_id is not null and label is not null and len(x) > 0 and list_count(x) = len(x)
+    and len(list_filter(x, lambda y: isfinite(y))) = len(x) and len(list_filter(x, lambda y: y <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id
+  where list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93
+), reach as (
+  select vec_id as node, vec_id as root from embeddings
+  union
+  select l.b, reach.root from reach join l on l.a = reach.node
+), c as (
+  select node, min(root) as component_id from reach group by node
+), n as (
+  select a, count(*) as n from l group by a
+)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, coalesce(e.vec_id = component_id, false) as kept
+from embeddings e left join c on c.node = e.vec_id left join n on n.a = e.vec_id
+"""
