@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callgauge.session import prepare
 
-AREAS = ("metrics", "redaction", "transcript", "calls", "chunks", "validation", "ingest", "live")
+AREAS = tuple(
+    f"callgauge.plans.{area}"
+    for area in ("metrics", "redaction", "transcript", "calls", "chunks", "validation", "ingest", "live")
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def queries() -> dict[str, Query]:
+def queries(areas: tuple[str, ...] = AREAS) -> dict[str, Query]:
+    """Queries of the modules named, each of which has QUERIES and ORACLE."""
     found: dict[str, Query] = {}
-    for area in AREAS:
-        found.update(import_module(f"callgauge.plans.{area}").QUERIES)
+    for area in areas:
+        found.update(import_module(area).QUERIES)
     return {name: _prepared(query) for name, query in found.items()}
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_sql(areas: tuple[str, ...] = AREAS) -> dict[str, str]:
     found: dict[str, str] = {}
-    for area in AREAS:
-        found.update(import_module(f"callgauge.plans.{area}").ORACLE)
+    for area in areas:
+        found.update(import_module(area).ORACLE)
     return found
 
 
