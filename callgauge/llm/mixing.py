@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from callgauge.llm.shared import keep
+from callgauge.llm.shared import fresh, keep
 
 WEIGHTS, BUDGET, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix"
 
@@ -61,10 +61,13 @@ def targets(sources: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EP
     return sources.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
+def order_of(seed: str = SEED) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def placed(documents: DataFrame, seed: str = SEED) -> DataFrame:
     """Adds size and place in the seeded order to the documents' ids and sources."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return documents.select("doc_id", "source", words(F.col("text")).alias("size"), order.alias("place"))
+    return documents.select("doc_id", "source", words(F.col("text")).alias("size"), order_of(seed).alias("place"))
 
 
 def plan(
@@ -95,20 +98,22 @@ def plan(
     return keep(planned.withColumnRenamed("source", "s"), "mix-plan")
 
 
-def repeated(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    """Joins the plan to the rows of ``placed`` and adds ``repeats`` and ``taken``."""
-    fine = F.substring("place", 1, 4)
-    before = (fine < F.col("cut")) | ((fine == F.col("cut")) & (F.struct("place", "size") <= F.col("last")))
-    repeats = F.col("whole") + F.coalesce(before, F.lit(False)).cast("long")
-    return rows.join(planned, F.col("source").eqNullSafe(F.col("s"))).select(
-        *rows.columns, "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
-    )
+def repeated(rows: DataFrame, planned: DataFrame, size: Column, place: Column, names: list[str]) -> DataFrame:
+    """Adds source_size, target, repeats and taken, under the names given (free ones), to rows that have a source."""
+    key, has = fresh(rows, "plan_source"), fresh(rows, "plan")
+    packed = planned.select(F.col("s").alias(key), F.struct(*[c for c in planned.columns if c != "s"]).alias(has))
+    fine, cut = F.substring(place, 1, 4), F.col(has)["cut"]
+    before = (fine < cut) | ((fine == cut) & (F.struct(place, size) <= F.col(has)["last"]))
+    repeats = F.col(has)["whole"] + F.coalesce(before, F.lit(False)).cast("long")
+    made = [F.col(has)["source_size"], F.col(has)["target"], repeats, size * repeats]
+    joined = rows.join(packed, F.col("source").eqNullSafe(F.col(key)))
+    return joined.select(*rows.columns, *[c.alias(name) for c, name in zip(made, names)])
 
 
 def mix(documents: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """(doc_id, source, size, place, source_size, target, repeats, taken) of every document; ``how`` goes to ``plan``."""
     rows = keep(placed(documents, seed), "mix")
-    return repeated(rows, plan(rows, **how))
+    return repeated(rows, plan(rows, **how), F.col("size"), F.col("place"), ["source_size", "target", "repeats", "taken"])
 
 
 def _inside(rows: DataFrame, cuts: DataFrame, level: Column) -> DataFrame:

@@ -61,19 +61,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are taken at all, with ``repeats`` and ``taken`` (words, repetitions counted) besides.
-
-    Id, source and size decide a document's repetitions, so they tell rows apart here as well.
-    """
-    mixed = mixing.mix(docs).where("repeats > 0").select("doc_id", "source", "size", "repeats", "taken").distinct()
-    added = [fresh(docs, c) for c in ("repeats", "taken")]
-    key = [fresh(docs, f"mixed_{c}") for c in ("doc_id", "source", "size")]
-    mixed = keep(mixed, "mixed").toDF(*key, *added)
-    tagged = docs.withColumn(size := fresh(docs, "size_in_words"), mixing.words(F.col("text")))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("source").eqNullSafe(F.col(key[1])) & (F.col(size) == F.col(key[2]))
-    )
-    return tagged.join(mixed, same).drop(*key, size)
+    """The documents that are taken at all, with ``repeats`` and ``taken`` (words, repetitions counted) besides."""
+    planned = mixing.plan(keep(mixing.placed(docs), "mix"))
+    size = fresh(docs, "size_in_words")
+    tagged = docs.withColumn(size, mixing.words(F.col("text")))
+    names = [fresh(docs, c) for c in ("source_size", "target", "repeats", "taken")]
+    mixed = mixing.repeated(tagged, planned, F.col(size), mixing.order_of(), names)
+    return mixed.where(F.col(names[2]) > 0).select(*docs.columns, *names[2:])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
