@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+from callgauge.functions.text import strip
+
 # The trailing window in minutes, its bounds, and the presets of the window switch.
 DEFAULT_MINUTES = 60
 MIN_MINUTES = 5
@@ -39,8 +41,10 @@ def clamp_minutes(raw: str | float | None) -> float:
 
 def clamp_minutes_col(raw: Column) -> Column:
     """Column form of :func:`clamp_minutes` over request arguments held as text."""
-    parsed = raw.try_cast("double")
-    finite = ~F.isnan(parsed) & (F.abs(parsed) != float("inf"))
+    text = strip(raw)
+    # a cast takes more spellings than numbers have: 100d, 90f
+    parsed = F.when(text == "", F.lit(0.0)).when(text.rlike(f"^(?:{_DECIMAL.pattern})$"), text.try_cast("double"))
+    finite = F.abs(parsed) != float("inf")
     clamped = F.greatest(F.lit(float(MIN_MINUTES)), F.least(F.lit(float(MAX_MINUTES)), parsed))
     return (
         F.when(raw.isNull(), F.lit(float(DEFAULT_MINUTES)))
@@ -68,6 +72,16 @@ def error_tone(error_rate: Column) -> Column:
 
 
 def compact_number(n: Column) -> Column:
-    """``999`` stays, ``12345`` becomes ``12.3k``."""
-    thousands = F.round(n / F.lit(1000), 1).cast("decimal(20,1)").cast("string")
-    return F.when(n >= 1000, F.concat(thousands, F.lit("k"))).otherwise(n.cast("string"))
+    """``999`` stays, ``12345`` becomes ``12.3k``. ``n`` is an integer.
+
+    Tenths are those of the binary value of n / 1000, which for a decimal half is a hair above or below it: 1150 is shown
+    as 1.1k, 1350 as 1.4k. The sign of that hair is taken exactly, by splitting the quotient in two halves whose products
+    have no rounding.
+    """
+    x, twentieths = n / F.lit(1000), F.round(n / F.lit(50)).cast("double")
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    above = (high * 20.0 - twentieths) + (x - high) * 20.0 >= 0
+    up = F.when(F.pmod(n, F.lit(100)) == 50, above).otherwise(F.pmod(n, F.lit(100)) > 50)
+    tenths = F.floor(n / F.lit(100)) + up.cast("bigint")
+    shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("k"))
+    return F.when(n >= 1000, shown).otherwise(n.cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # The characters the event producer's language counts as white space. Java's \s knows only ASCII ones.
 WHITESPACE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+BLANKS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def first_text(*columns: Column) -> Column:
@@ -18,8 +19,8 @@ def minute_label(bucket: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim white space of every kind at both ends (``trim`` only takes blanks)."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    """Trim white space of every kind at both ends, in linear time."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def cut(text: Column, length: int) -> Column:

@@ -20,10 +20,11 @@ BODY_LENGTH = 300
 
 
 def call_status() -> Column:
+    """An abort cancels a streamed call; a call that was not streamed reports it as an error like any other."""
     aborted = (F.col("err_name") == "AbortError") | (F.col("err_code") == "ABORT_ERR")
     failed = F.col("err_name").isNotNull() | F.col("err_code").isNotNull()
     return (
-        F.when(aborted, F.lit("cancelled")).when(failed, F.lit("error")).otherwise(F.lit("success"))
+        F.when(aborted & F.col("streaming"), F.lit("cancelled")).when(failed, F.lit("error")).otherwise(F.lit("success"))
     )
 
 

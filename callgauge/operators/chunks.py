@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from callgauge.functions.json import strict
 from callgauge.functions.text import strip
 
 #: Consecutive chunks put together in one group of the first step.
@@ -26,7 +27,7 @@ def _filled(text: Column) -> Column:
 
 def completion_json(body: Column) -> Column:
     """Text, finish reason and usage of a chat-completions response."""
-    v = F.try_parse_json(body)
+    v = strict(body)
     return F.struct(
         F.coalesce(_get(v, "$.choices[0].message.content"), F.lit("")).alias("text"),
         _get(v, "$.choices[0].finish_reason").alias("finish_reason"),
@@ -36,7 +37,7 @@ def completion_json(body: Column) -> Column:
 
 def messages_json(body: Column) -> Column:
     """The same for a response made of content blocks; its total counts a missing part as 0."""
-    v = F.try_parse_json(body)
+    v = strict(body)
     blocks = _get(v, "$.content", "array<variant>")
     prompt, completion = (_get(v, f"$.usage.{side}_tokens", "bigint") for side in ("input", "output"))
     zero = F.lit(0).cast("bigint")
@@ -79,7 +80,7 @@ def reassemble(lines: DataFrame, dialect: str) -> DataFrame:
     Lines that are no JSON are skipped. In the completions dialect everything after the end marker is ignored.
     """
     v = F.col("_v")
-    parsed = lines.select("call_id", "seq", "data", F.try_parse_json("data").alias("_v"))
+    parsed = lines.select("call_id", "seq", "data", strict(F.col("data")).alias("_v"))
     ends = (F.col("data") == DONE) if dialect == "completions" else F.lit(False)
     events = (
         parsed.select("call_id", "seq", ends.alias("stop"), *[c.alias(n) for n, c in DIALECTS[dialect](v).items()])
@@ -159,7 +160,7 @@ def frames(raw: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(values("event:"), F.lit(-1)), F.lit("message")).alias("event"),
         F.array_join(values("data:"), "").alias("data"),
     )
-    return named.where((F.col("data") != "") & F.try_parse_json("data").isNotNull())
+    return named.where((F.col("data") != "") & strict(F.col("data")).isNotNull())
 
 
 def split_system(messages: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callgauge.schemas import CONVERSATION_STATUSES, ROLES, STATUSES
 
 REQUIRED = {
-    "logs": ("request_id", "provider", "model", "streaming", "status", "tokens_estimated", "requested_at", "metadata"),
+    "logs": ("request_id", "provider", "model", "streaming", "status", "tokens_estimated", "pii_redacted", "requested_at",
+             "metadata", "ingested_at"),
     "messages": ("conversation_id", "role", "content", "created_at"),
     "conversations": ("status", "created_at", "updated_at"),
 }
@@ -16,12 +20,17 @@ UNIQUE = {"logs": ["request_id"], "messages": ["conversation_id", "turn"], "conv
 
 
 def _rules(name: str, df: DataFrame) -> DataFrame:
-    """NOT NULL, CHECK and UNIQUE rules from one scan: rows are counted by key, and the counts added up."""
+    """NOT NULL, CHECK and UNIQUE rules from one scan: rows are counted by key, and the counts added up.
+
+    UNIQUE does not compare keys with a null in them.
+    """
+    if missing := {*REQUIRED[name], *UNIQUE[name], ALLOWED[name][0]} - set(df.columns):
+        raise ValueError(f"{name} has no column {', '.join(sorted(missing))}")
     column, words = ALLOWED[name]
-    rules: dict[str, Column] = {f"{c} not null": F.col(c).isNull() for c in REQUIRED[name] if c in df.columns}
+    rules: dict[str, Column] = {f"{c} not null": F.col(c).isNull() for c in REQUIRED[name]}
     rules[f"{column} check"] = F.col(column).isNotNull() & ~F.col(column).isin(*words)
     by_key = df.groupBy(*UNIQUE[name]).agg(
-        (F.count("*") - 1).alias("_copies"), *[F.count_if(bad).alias(rule) for rule, bad in rules.items()]
+        F.when(reduce(or_, [F.col(c).isNull() for c in UNIQUE[name]]), 0).otherwise(F.count("*") - 1).alias("_copies"), *[F.count_if(bad).alias(rule) for rule, bad in rules.items()]
     )
     unique = f"{', '.join(UNIQUE[name])} unique"
     counted = by_key.agg(

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 MAX_BROADCAST_KEYS = 200_000
 
 
-def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The row with the lowest ``order`` of each key.
 
     The rank filter is also applied before the shuffle (WindowGroupLimit): a key with very many copies leaves each task
     as a single row.
     """
-    rank = F.row_number().over(W.partitionBy(key).orderBy(order))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return rows.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
@@ -34,17 +34,13 @@ def not_stored(rows: DataFrame, stored: DataFrame, key: str, n_rows: int) -> Dat
 SPREAD = 8
 
 
-def unique_stream(stream: DataFrame, key: str, order: str, spread: int = SPREAD, within_watermark: bool = False) -> DataFrame:
+def unique_stream(stream: DataFrame, key: str, order: str, spread: int = SPREAD) -> DataFrame:
     """One row per ``key`` of a stream, whichever arrives first.
 
     A key that is delivered over and over would send all its copies to one task. They are first thinned out in
     ``spread`` parts by ``order``, which differs between copies; 1 leaves that step out and halves the state.
     """
-
-    def drop(rows: DataFrame, columns: list[str]) -> DataFrame:
-        return rows.dropDuplicatesWithinWatermark(columns) if within_watermark else rows.dropDuplicates(columns)
-
     if spread > 1:
         parted = stream.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(spread)))
-        stream = drop(parted, [key, "_part"]).drop("_part")
-    return drop(stream, [key])
+        stream = parted.dropDuplicates([key, "_part"]).drop("_part")
+    return stream.dropDuplicates([key])

@@ -1,10 +1,9 @@
 """Ordered look-around that does not put a whole group into one task.
 
 A window ``PARTITION BY conversation`` hands every message of a conversation to one task, however long it is. The order
-column is an integer that is unique within its group, so a group whose numbers fall into one block of ``BLOCK`` has no
-more rows than that and may take the plain window. Longer groups are cut into blocks: windows run per (key, block), and
-the rows from across the border that a window needs are copied in beforehand, so that results are those of the uncut
-window.
+column is an integer that is unique within its group, so a block of ``BLOCK`` numbers has no more rows than that. Windows
+run per (key, block), and in groups of several blocks the rows from across the border that a window needs are copied in
+beforehand, so that results are those of the uncut window.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from callgauge.operators.dedupe import MAX_BROADCAST_KEYS
-
 #: Width of a block in units of the order column, hence the most rows of one key a window task holds.
 BLOCK = 4096
 
@@ -27,23 +24,8 @@ def over_neighbours(
 ) -> DataFrame:
     """``compute`` over the groups of ``key``, for windows that reach at most ``k`` rows back (or ``ahead``).
 
-    The long groups are looked for first, in a job over the two columns alone. Usually there are none, and the texts go
-    through a single shuffle. A few are told apart by broadcasting their keys; with too many for that, all groups are
-    cut.
+    Every group is cut into blocks. A group within one block, as nearly all are, has no border, and nothing is copied.
     """
-    span = F.floor(F.max(order) / block) > F.floor(F.min(order) / block)
-    long = df.groupBy(key).agg(span.alias("_long")).where("_long").select(key)
-    n_long = long.count()
-    if n_long == 0:
-        return compute(df, [key])
-    if n_long > MAX_BROADCAST_KEYS:
-        return _by_block(df, key, order, k, compute, ahead, block)
-    short = compute(df.join(F.broadcast(long), key, "left_anti"), [key])
-    cut = _by_block(df.join(F.broadcast(long), key, "left_semi"), key, order, k, compute, ahead, block)
-    return short.unionByName(cut)
-
-
-def _by_block(df: DataFrame, key: str, order: str, k: int, compute: Compute, ahead: bool, block: int) -> DataFrame:
     near = with_neighbours(df, key, order, k, ahead=ahead, block=block)
     return compute(near, [key, "_block"]).where(~F.col("_halo")).drop("_block", "_halo")
 
@@ -58,8 +40,11 @@ def with_neighbours(df: DataFrame, key: str, order: str, k: int, *, ahead: bool,
     toward = F.col(order).asc() if ahead else F.col(order).desc()
     rank = F.row_number().over(W.partitionBy(key, "_block").orderBy(toward))
     rest = [c for c in df.columns if c not in (key, order)]
+    # groups of several blocks; usually there are none, and the plan below them falls away while it runs
+    long = placed.groupBy(key).agg((F.max("_block") > F.min("_block")).alias("_long")).where("_long").select(key)
     borders = (
-        placed.withColumn("_rank", rank)
+        placed.join(long, key, "left_semi")
+        .withColumn("_rank", rank)
         .where(F.col("_rank") <= k)
         .groupBy(key, "_block")
         .agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("_edge"))

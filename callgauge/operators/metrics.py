@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from callgauge.functions.numbers import WINDOW_PRESETS, error_tone, ratio, round_half_up
+from callgauge.functions.numbers import WINDOW_PRESETS, clamp_minutes, error_tone, ratio, round_half_up
 from callgauge.functions.text import first_text, minute_label
 from callgauge.operators.percentiles import percentiles
 
@@ -125,15 +125,14 @@ def recent(logs: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
     return logs.select(*RECENT_COLUMNS).orderBy(F.desc("requested_at"), "request_id").limit(limit)
 
 
-def dashboard(logs: DataFrame, as_of: datetime, minutes: float) -> dict[str, DataFrame]:
-    """The four results of one window. All share one ``as_of``, so they agree with each other."""
+def dashboard(logs: DataFrame, as_of: datetime, minutes: str | float | None = None) -> dict[str, DataFrame]:
+    """The results of one window: ``overview``, which holds summary, series and breakdown from one scan, and ``recent``.
+
+    All share one ``as_of``, so they agree with each other. ``minutes`` is a request's argument and is clamped.
+    """
+    minutes = clamp_minutes(minutes)
     window = in_window(logs, as_of, minutes)
-    return {
-        "summary": summary(window, minutes),
-        "series": series(window),
-        "providers": by_provider_model(window),
-        "recent": recent(window),
-    }
+    return {"overview": overview(window, minutes), "recent": recent(window)}
 
 
 def by_preset(
@@ -181,11 +180,18 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 
 def ingest_lag(logs: DataFrame, unit: str = "minute") -> DataFrame:
-    """Delay between request and storage per bucket: calls, p50, p95 and the worst, in ms."""
+    """Delay between request and storage per bucket: calls, p50, p95 and the worst, in ms.
+
+    Lags of a minute or more count in whole seconds, of a day or more in whole minutes, so that a replay of old logs
+    does not bring a different lag for every call.
+    """
     stored, requested = (F.unix_millis(F.col(c).cast("timestamp")) for c in ("ingested_at", "requested_at"))
-    counted = bucketed(logs, unit).groupBy("bucket", (stored - requested).alias("lag_ms")).agg(F.count("*").alias("calls"))
+    lag, size = stored - requested, F.abs(stored - requested)
+    step = F.when(size < 60_000, 1).when(size < 86_400_000, 1000).otherwise(60_000)
+    shown = (F.sign(lag) * F.floor(size / step) * step).cast("bigint")
+    counted = bucketed(logs, unit).groupBy("bucket", shown.alias("lag_ms")).agg(F.count("*").alias("calls"), F.max(lag).alias("worst"))
     found = percentiles(
-        counted, ["bucket"], "lag_ms", "calls", {"p50": 0.5, "p95": 0.95}, calls=F.sum("calls"), max_lag_ms=F.max("lag_ms")
+        counted, ["bucket"], "lag_ms", "calls", {"p50": 0.5, "p95": 0.95}, calls=F.sum("calls"), max_lag_ms=F.max("worst")
     )
     return found.select(
         "bucket", "calls", round_half_up(F.col("p50")).alias("p50_lag_ms"), round_half_up(F.col("p95")).alias("p95_lag_ms"), "max_lag_ms"
@@ -210,12 +216,13 @@ def overview(logs: DataFrame, minutes: float) -> DataFrame:
     return with_rates(from_histogram(latency_histogram_sum(spread, *keys), *keys), minutes)
 
 
-def document(logs: DataFrame, as_of: datetime, minutes: float) -> DataFrame:
-    """The dashboard's nested JSON document, one row.
+def document(logs: DataFrame, as_of: datetime, minutes: str | float | None = None) -> DataFrame:
+    """The dashboard's nested JSON document, one row. ``minutes`` is a request's argument and is clamped.
 
-    The window holds at most a day of minutes, the recent list 30 rows and the breakdown one row per provider and
+    So the window holds at most a day of minutes, the recent list 30 rows and the breakdown one row per provider and
     model, so the lists that are collected into the row stay small whatever the number of calls.
     """
+    minutes = clamp_minutes(minutes)
     window = in_window(logs, as_of, minutes)
     stamp = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
     requests, t = F.col("total").alias("requests"), F.date_format("bucket", stamp).alias("t")
@@ -232,9 +239,10 @@ def document(logs: DataFrame, as_of: datetime, minutes: float) -> DataFrame:
         entries("series", [t], t, requests, "errors", F.col("p95_ms").alias("p95")),
         entries("providers", [-F.col("total"), F.col("provider"), F.col("model")], "provider", "model", requests, "errors", "p50_ms", "tokens"),
     )
-    newest = recent(window).withColumn("requested_at", F.date_format("requested_at", stamp)).withColumn("part", F.lit("recent"))
-    newest_first = [-F.unix_micros(F.to_timestamp("requested_at")), F.col("request_id")]
-    latest_calls = newest.agg(entries("recent", newest_first, *RECENT_COLUMNS)).scalar()
+    newest = recent(window).withColumn("part", F.lit("recent"))
+    newest_first = [-F.unix_micros(F.col("requested_at").cast("timestamp")), F.col("request_id")]
+    shown = [F.date_format(c, stamp).alias(c) if c == "requested_at" else c for c in RECENT_COLUMNS]
+    latest_calls = newest.agg(entries("recent", newest_first, *shown)).scalar()
     counted = ("total", "errors", "cancelled", "error_rate", "throughput_rpm", "tokens")
     empty = F.struct(*[F.lit(0 if c in counted else None).cast("bigint").alias(c) for c in kpis])
     whole = parts.select(

@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def percentiles(counted: DataFrame, keys: list[str], value: str, weight: str, wanted: dict[str, float], **totals: Column) -> DataFrame:
     """Per ``keys`` the continuous percentiles of ``value``, each row standing for ``weight`` equal values, and totals.
 
-    A running count in value order finds the values at the two ranks a
-    percentile lies between. The window sorts and spills, so a group may hold any number of distinct values, where an
-    aggregate would keep all of them in a map on the heap. The aggregation on top needs no shuffle of its own. Null
-    values count in the totals only.
+    One aggregate with map-side combination. It holds a count per distinct value of a group, so ``value`` should be
+    counted beforehand and have a bounded number of them. Null values count in the totals only.
     """
-    weighed = counted.withColumn("_w", F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(F.lit(0)))
-    # the same order for both frames makes it a single pass over the window
-    in_order = W.partitionBy(*keys).orderBy(value)
-    ranked = weighed.withColumns(
-        {
-            "_seen": F.sum("_w").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)),
-            "_all": F.sum("_w").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
-        }
-    )
-
-    def position(p: float) -> Column:
-        return F.lit(p) * (F.col("_all") - 1)
-
-    def at(rank: Column) -> Column:
-        """The value the given rank (from 0) falls on, seen from one row of the group."""
-        return F.max(F.when((F.col("_seen") - F.col("_w") <= rank) & (rank < F.col("_seen")), F.col(value)))
-
-    found = ranked.groupBy(*keys).agg(
-        F.max("_all").alias("_all"),
+    found = counted.groupBy(*keys).agg(
         *[column.alias(name) for name, column in totals.items()],
-        *[at(F.floor(position(p))).alias(f"_{name}_below") for name, p in wanted.items()],
-        *[at(F.ceil(position(p))).alias(f"_{name}_above") for name, p in wanted.items()],
+        F.percentile(value, F.array(*[F.lit(p) for p in wanted.values()]), F.coalesce(weight, F.lit(0))).alias("_found"),
     )
-
-    def between(name: str, p: float) -> Column:
-        below, above = F.col(f"_{name}_below"), F.col(f"_{name}_above")
-        return below + (above - below) * (position(p) - F.floor(position(p)))
-
-    return found.select(*keys, *totals, *[between(name, p).alias(name) for name, p in wanted.items()])
+    return found.select(*keys, *totals, *[F.get("_found", F.lit(i)).alias(name) for i, name in enumerate(wanted)])

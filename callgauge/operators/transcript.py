@@ -41,19 +41,19 @@ def state(events: DataFrame) -> DataFrame:
 def list_conversations(conversations: DataFrame, messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """Newest conversations with their number of non-system messages.
 
-    Messages are counted before the join: joining first would carry every message through it.
+    The order does not need the counts, so the newest are picked first, and of their messages alone (``limit`` ids are
+    sent to the scan) the counts are made.
     """
+    newest = conversations.orderBy(F.desc("updated_at"), "conv_id").limit(limit)
     counts = (
         messages.where(F.col("role") != "system")
-        .groupBy(F.col("conversation_id").alias("conv_id"))
+        .select(F.col("conversation_id").alias("conv_id"))
+        .join(F.broadcast(newest.select("conv_id")), "conv_id", "left_semi")
+        .groupBy("conv_id")
         .agg(F.count("*").alias("msg_count"))
     )
-    return (
-        conversations.join(counts, "conv_id", "left")
-        .withColumn("msg_count", F.coalesce("msg_count", F.lit(0)))
-        .orderBy(F.desc("updated_at"), "conv_id")
-        .limit(limit)
-    )
+    counted = newest.join(counts, "conv_id", "left").withColumn("msg_count", F.coalesce("msg_count", F.lit(0)))
+    return counted.orderBy(F.desc("updated_at"), "conv_id")
 
 
 def get(conversations: DataFrame, messages: DataFrame, conversation_id) -> DataFrame:
@@ -135,8 +135,10 @@ def partial_turns(logs: DataFrame, messages: DataFrame, preview: int = PREVIEW_L
     time each such text was saved before joining, so a conversation that repeats a text does not multiply rows.
     """
     cut_off = logs.where((F.col("status") == "cancelled") & (F.coalesce("output_preview", F.lit("")) != ""))
+    # only texts of conversations with such a call are redacted and moved
     saved = (
         messages.where(F.col("role") == "assistant")
+        .join(cut_off.select("conversation_id").distinct(), "conversation_id", "left_semi")
         .groupBy("conversation_id", redact(cut(F.col("content"), preview)).alias("output_preview"))
         .agg(F.max("created_at").alias("saved_at"))
     )

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from importlib.util import find_spec
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from callgauge.functions.tokens import Estimator, by_vocabulary, estimate_prompt, estimate_tokens
+from callgauge.functions.tokens import estimate_prompt, estimate_tokens
 from callgauge.operators import calls
 from callgauge.operators.chunks import first_delta_at
 from callgauge.plans.redaction import sql_all
@@ -44,24 +42,6 @@ def estimate_tokens_query(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
 
 
-def _vocabulary(spark: SparkSession) -> Estimator:
-    """The byte-pair vocabulary of the installed public files."""
-    import public_tokenizers
-
-    return by_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-def estimate_tokens_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    count = _vocabulary(spark).text
-    return table(spark, folder, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
-
-
-def call_to_log_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    """Log rows whose missing usage is counted with a vocabulary."""
-    rows = calls.call_to_log(raw_calls(spark, folder), tokens=_vocabulary(spark))
-    return rows.select("request_id", "status", "prompt_tokens", "completion_tokens", "total_tokens", "tokens_estimated")
-
-
 def estimate_prompt_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return raw_calls(spark, folder).select("request_id", estimate_prompt(F.col("messages")).alias("prompt_tokens"))
 
@@ -94,9 +74,6 @@ QUERIES = {
     "dead_usage_check": dead_usage_check,
     "call_to_log": call_to_log,
 }
-if find_spec("public_tokenizers") and find_spec("tiktoken"):
-    QUERIES["estimate_tokens_bpe"] = estimate_tokens_bpe
-    QUERIES["call_to_log_bpe"] = call_to_log_bpe
 
 TOKENS = "cast(ceil(length({0}) / 4.0) as bigint)"
 
@@ -126,16 +103,16 @@ from (select *, case when call_id % 20 = 7 then 0 else coalesce(usage_prompt, {P
 where err_name is null
 union all
 select {COMMON}, 'error', case http_status when 429 then 'rate_limit' when 503 then 'provider_5xx' when 400 then 'provider_4xx' else 'unknown' end,
- case when http_status is null then substring('lost connection: ' || last_user, 1, 500)
+ case when err_name = 'AbortError' then 'aborted' when http_status is null then substring('lost connection: ' || last_user, 1, 500)
   else case conv_id % 4 when 0 then 'anthropic ' else 'provider ' end || http_status || ': ' || substring(last_user, 1, 300) end, {TIMES},
  null, null, null, false, {INPUT}, null, {ENDS},
  case when call_id % 6 = 0 then '{MINE}' else '{SURFACE}' end
   || case when http_status is null then '}}' else ',"status":' || http_status || '}}' end
-from calls where err_name = 'Error'
+from calls where err_name = 'Error' or err_name = 'AbortError' and call_id % 3 = 0
 union all
 select {COMMON}, 'cancelled', null, null, {TIMES}, null, {TOKENS.format(REPLY)}, null, true, {INPUT}, substring({REPLY}, 1, 500), {ENDS},
  case when call_id % 6 = 0 then '{MINE},"partial":true}}' else '{SURFACE},"partial":true}}' end
-from calls where err_name = 'AbortError'"""
+from calls where err_name = 'AbortError' and call_id % 3 <> 0"""
 
 
 def _select(columns: str, where: str = "") -> str:

@@ -79,7 +79,7 @@ ORACLE = {
     # line 0 is a comment; every data line is followed by a blank one
     "sse_data_lines": statement(f"""
         select call_id, cast(1 + 2 * n as int) as seq, data from (
-         select call_id, 0 as n, '{{broken' as data from {_ENDS}
+         select call_id, 0 as n, '{{"choices":[{{"delta":{{"content":"no"}}}}]}} x' as data from {_ENDS}
          union all select call_id, seq + 1, to_json({{'choices': [{{'delta': {{'content': delta}}}}]}})::varchar from chunks
          union all select call_id, e, '{{"choices":[{{"delta":{{}},"finish_reason":"stop"}}]}}' from {_ENDS}
          union all select call_id, e + 1, '{{"choices":[],"usage":{{"prompt_tokens":' || call_id || ',"completion_tokens":' || e

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,9 +23,9 @@ class Run:
         home = scratch_dir(spark, name)
         self.topic, self.sink, self.dead, self.checkpoint = (f"{home}/{part}" for part in ("topic", "logs", "dead", "checkpoint"))
 
-    def publish(self, rows: DataFrame, offset: str = "stream_seq") -> None:
-        """As a bus with as many partitions as the session has cores."""
-        entries = bus.to_entries(rows, offset, F.col("payload"))
+    def publish(self, rows: DataFrame, offset: str = "stream_seq", partition: int = 0) -> None:
+        """In as many files as the session has cores."""
+        entries = bus.to_entries(rows, offset, F.col("payload"), F.lit(partition))
         bus.publish(entries.repartition(self.spark.sparkContext.defaultParallelism), self.topic)
 
     def entries(self) -> DataFrame:
@@ -65,12 +67,28 @@ def stream_source(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(run.sink)
 
 
+def start_position(spark: SparkSession, folder: str) -> DataFrame:
+    """A job for new entries only, made between two deliveries, and made again after them."""
+    run = Run(spark, "start_position")
+    sent = views.delivered_envelopes(spark, folder)
+    run.publish(sent.where("stream_seq % 2 = 0"))
+    position = bus.latest(spark, run.topic, run.checkpoint)
+    time.sleep(1.1)  # file times may be whole seconds
+    run.publish(sent.where("stream_seq % 2 = 1"))
+    assert position == bus.latest(spark, run.topic, run.checkpoint)
+    read = envelopes.parse(envelopes.entries_with_payload(bus.read_folder(spark, run.topic, after=position)))
+    rows = read.select("offset", F.try_variant_get("log", "$.requestId", "string").alias("request_id"))
+    live.append(rows, run.sink, f"{run.checkpoint}/stream").awaitTermination()
+    return spark.read.parquet(run.sink)
+
+
 def log_sink(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeats within a delivery, then a second delivery of logs that are stored already."""
+    """Repeats within a delivery, then a second delivery of logs that are stored already; the table compacted between."""
     run = Run(spark, "log_sink")
     sent = views.delivered_envelopes(spark, folder)
     run.publish(sent)
     run.ingest()
+    ingest.compact(spark, run.sink, keep=0)
     run.publish(sent.withColumn("stream_seq", F.col("stream_seq") + 10**12))
     run.ingest()
     return _shown(run)
@@ -109,24 +127,27 @@ def redeliver_stuck(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_job(spark: SparkSession, folder: str) -> DataFrame:
-    """Good, repeated, faulty and unreadable entries at once: what was stored, and why the rest was not."""
+    """Good, repeated, faulty and unreadable entries at once: what was stored, and why the rest was not.
+
+    The faulty and the unreadable ones have the same offsets, in two partitions.
+    """
     run = Run(spark, "ingest_job")
     run.publish(views.delivered_envelopes(spark, folder))
-    faulty = views.faulty_envelopes(spark, folder, FAULTS).selectExpr("event_id * 10 + 1000000000000 as stream_seq", "payload")
-    torn = views.envelopes(spark, folder).selectExpr(
-        "event_id * 10 + 2000000000000 as stream_seq", "if(event_id % 2 = 0, 'null', substring(payload, 1, 60)) as payload"
-    )
-    run.publish(faulty.union(torn))
+    run.publish(views.faulty_envelopes(spark, folder, FAULTS).selectExpr("event_id as stream_seq", "payload"), partition=1)
+    torn = """element_at(array('null', substring(payload, 1, 60), concat(payload, '] tail'), concat(payload, ', ', payload),
+        concat(payload, '],[', payload), concat(payload, '} x'), concat(payload, ' x')), cast(event_id % 7 + 1 as int)) as payload"""
+    run.publish(views.envelopes(spark, folder).selectExpr("event_id as stream_seq", torn), partition=2)
     run.ingest()
     kept = run.logs().selectExpr("'stored' as verdict", "request_id as id", "input_preview", "pii_redacted")
     dead = spark.read.parquet(run.dead).selectExpr(
-        "reason as verdict", "cast(offset as string) as id", "cast(null as string) as input_preview", "cast(null as boolean) as pii_redacted"
+        "reason as verdict", "concat(partition, ':', offset) as id", "cast(null as string) as input_preview", "cast(null as boolean) as pii_redacted"
     )
     return kept.union(dead)
 
 
 QUERIES = {
     "stream_source": stream_source,
+    "start_position": start_position,
     "log_sink": log_sink,
     "inserted_count": inserted_count,
     "dedupe_first": dedupe_first,
@@ -143,6 +164,7 @@ _N = len(FAULTS)
 
 ORACLE = {
     "stream_source": statement("select stream_seq as offset, request_id from delivered"),
+    "start_position": statement("select stream_seq as offset, request_id from delivered where stream_seq % 2 = 1"),
     "log_sink": statement(STORED),
     "inserted_count": """select count(*) + count(*) filter (where event_id % 9 = 0) as received, cast(0 as bigint) as rejected,
         count(*) as inserted, count(*) filter (where event_id % 9 = 0) as duplicates from events""",
@@ -152,10 +174,10 @@ ORACLE = {
     "redeliver_stuck": statement(STORED),
     "ingest_job": statement(
         f"""select 'stored' as verdict, request_id as id, {PREVIEW} as input_preview, event_id % 5 in (0, 1) as pii_redacted from logs
-        union all select 'invalid', (event_id * 10 + 1000000000000)::varchar, null, null from events join faults on n = event_id % {_N}
+        union all select 'invalid', '1:' || event_id, null, null from events join faults on n = event_id % {_N}
          where codes <> ''
-        union all select 'out_of_range', (event_id * 10 + 1000000000000)::varchar, null, null from events where event_id % {_N} = {BIG[0]}
-        union all select 'corrupt', (event_id * 10 + 2000000000000)::varchar, null, null from events""",
+        union all select 'out_of_range', '1:' || event_id, null, null from events where event_id % {_N} = {BIG[0]}
+        union all select 'corrupt', '2:' || event_id, null, null from events""",
         faults=SQL_FAULTS,
     ),
 }

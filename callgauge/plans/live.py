@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from callgauge.operators import metrics, validate
+from callgauge.functions.numbers import MAX_MINUTES
+from callgauge.operators import metrics
 from callgauge.plans.ingest import Run
 from callgauge.plans.metrics import KPI, ORACLE as METRIC_SQL
 from callgauge.plans.sql_views import statement
-from callgauge.sources import envelopes, views
+from callgauge.sources import views
 from callgauge.streaming import ingest, live, sink
 
 
-def _typed_stream(run: Run) -> DataFrame:
-    return validate.typed_rows(envelopes.parse(envelopes.entries_with_payload(run.entries())).drop("fields"))
-
-
 def _halves(rows: DataFrame) -> list[DataFrame]:
     """The rows up to the middle of their time span, and those after it."""
     first, last = rows.agg(F.min("requested_at"), F.max("requested_at")).first()
@@ -28,12 +25,13 @@ def _ntz(rows: DataFrame, column: str = "bucket") -> DataFrame:
 
 
 def minute_tumbling(spark: SparkSession, folder: str) -> DataFrame:
-    """A windowed stream over entries that are not stored, in two deliveries: the second continues the first's state."""
+    """The minutes as the job keeps them, newest half first, compacted at the end."""
     run = Run(spark, "minute_tumbling")
-    for half in _halves(views.delivered_envelopes(spark, folder, exact=True)):
+    for half in reversed(_halves(views.delivered_envelopes(spark, folder))):
         run.publish(half)
-        live.start(live.minute_histogram(_typed_stream(run)), run.sink, run.checkpoint).awaitTermination()
-    return metrics.series_of(_ntz(live.histogram(sink.read(spark, run.sink))))
+        run.ingest()
+    ingest.compact(spark, run.sink, keep=0)
+    return metrics.series_of(_ntz(ingest.minute_counts(spark, run.sink)))
 
 
 def poll_refresh(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +50,9 @@ def trailing_window(spark: SparkSession, folder: str) -> DataFrame:
     for half in _halves(views.delivered_envelopes(spark, folder)):
         run.publish(half)
         run.ingest()
-    return live.trailing(_ntz(ingest.minute_counts(spark, run.sink)), metrics.latest(views.logs(spark, folder)))
+    as_of = metrics.latest(views.logs(spark, folder))
+    # a minute more than the widest preset, whose window starts on a full minute
+    return live.trailing(_ntz(ingest.minute_counts(spark, run.sink, as_of, MAX_MINUTES + 1)), as_of)
 
 
 def late_data(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from callgauge.functions.numbers import clamp_minutes_col, compact_number, round_half_up
 from callgauge.operators import access, metrics
 from callgauge.plans.sql_views import statement
+from callgauge.session import scratch_dir
 from callgauge.sources.tables import table
 from callgauge.sources.views import logs
 
@@ -23,7 +24,10 @@ def _kpis(*columns: str):
 
 
 def clamp_minutes(spark: SparkSession, folder: str) -> DataFrame:
-    raw = F.expr("case event_type when 'view' then null when 'signup' then 'abc' else cast(value * 20 as string) end")
+    raw = F.expr(
+        """case when event_id % 10 = 3 then element_at(array('100d', '90f', ' ', ' 30 ', '1e2', '+.5e3', 'NaN', '-7'), cast(event_id % 8 + 1 as int))
+           when event_type = 'view' then null when event_type = 'signup' then 'abc' else cast(value * 20 as string) end"""
+    )
     return table(spark, folder, "events").select("event_id", clamp_minutes_col(raw).alias("minutes"))
 
 
@@ -37,6 +41,15 @@ def round_nullable(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", round_half_up(value).alias("rounded"))
 
 
+def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """The last day of a table stored by date: the bound on the partition column selects its folders."""
+    every = logs(spark, folder)
+    path = scratch_dir(spark, "scan_logs")
+    every.write.partitionBy("requested_date").parquet(path)
+    stored = spark.read.schema(every.schema).parquet(path)
+    return metrics.in_window(stored, metrics.latest(every), DAY).select("request_id", "requested_at", "requested_date", "status")
+
+
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.summary(logs(spark, folder), DAY)
 
@@ -66,18 +79,18 @@ def dashboard(spark: SparkSession, folder: str) -> DataFrame:
     """The four parts of one window, one under another."""
     every = logs(spark, folder)
     parts = metrics.dashboard(every, metrics.latest(every), DAY)
-    rows = [
-        parts["summary"].selectExpr("'summary' as part", "'' as label", "total as n", "errors", "p95_ms as ms"),
-        parts["series"].selectExpr("'series'", "date_format(bucket, 'yyyy-MM-dd HH:mm')", "requests", "errors", "p95"),
-        parts["providers"].selectExpr("'providers'", "concat(provider, '/', model)", "requests", "errors", "p50_ms"),
-        parts["recent"].selectExpr(
-            "'recent'", "request_id", "cast(total_tokens as bigint)", "cast(status = 'error' as bigint)", "cast(latency_ms as bigint)"
-        ),
-    ]
-    every_part = rows[0]
-    for part in rows[1:]:
-        every_part = every_part.union(part)
-    return every_part
+    whole = parts["overview"].selectExpr(
+        "part",
+        """case part when 'summary' then '' when 'series' then date_format(bucket, 'yyyy-MM-dd HH:mm')
+           else concat(provider, '/', model) end as label""",
+        "total as n",
+        "errors",
+        "case part when 'providers' then p50_ms else p95_ms end as ms",
+    )
+    newest = parts["recent"].selectExpr(
+        "'recent'", "request_id", "cast(total_tokens as bigint)", "cast(status = 'error' as bigint)", "cast(latency_ms as bigint)"
+    )
+    return whole.union(newest)
 
 
 def metrics_document(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +113,7 @@ def feed_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compact_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    return logs(spark, folder).select("request_id", compact_number(F.col("total_tokens") * 10).alias("shown"))
+    return logs(spark, folder).select("request_id", compact_number(F.col("total_tokens") * 50).alias("shown"))
 
 
 def minute_label(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +121,7 @@ def minute_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_lag(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.ingest_lag(logs(spark, folder), "hour")
+    return metrics.ingest_lag(logs(spark, folder))
 
 
 def logs_by_time(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,6 +148,7 @@ def metadata_lookup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "clamp_minutes": clamp_minutes,
     "time_window": time_window,
+    "scan_logs": scan_logs,
     "kpi_total": _kpis("total"),
     "kpi_errors": _kpis("errors", "cancelled"),
     "kpi_tokens": _kpis("tokens"),
@@ -210,9 +224,12 @@ NEWEST = "order by requested_at desc, request_id limit 30"
 STAMP = "'%Y-%m-%dT%H:%M:%S.%gZ'"
 
 ORACLE = {
-    "clamp_minutes": """select event_id, case when event_type = 'view' then 60.0 when event_type = 'signup' then 5.0
+    # what a number is follows the request's language: no suffixes, blanks count as 0
+    "clamp_minutes": """select event_id, case when event_id % 10 = 3 then ([5.0, 5.0, 5.0, 30.0, 100.0, 500.0, 5.0, 5.0])[event_id % 8 + 1]
+        when event_type = 'view' then 60.0 when event_type = 'signup' then 5.0
         else greatest(5.0, least(1440.0, value * 20)) end as minutes from events""",
     "time_window": statement(f"select request_id, requested_at from logs where {LAST_DAY}"),
+    "scan_logs": statement(f"select request_id, requested_at, requested_date, status from logs where {LAST_DAY}"),
     "kpi_total": _daily("total"),
     "kpi_errors": _daily("errors", "cancelled"),
     "kpi_tokens": _daily("tokens"),
@@ -244,7 +261,7 @@ ORACLE = {
           'providers': (select list({{'provider': provider, 'model': model, 'requests': requests, 'errors': errors, 'p50_ms': p50_ms, 'tokens': tokens}}
              order by requests desc, provider, model) from ({PROVIDERS} where {LAST_DAY} group by provider, model) p),
           'recent': (select list({{{', '.join(f"'{c}': " + (f'strftime({c}, {STAMP})' if c == 'requested_at' else c) for c in metrics.RECENT_COLUMNS)}}}
-             order by strftime(requested_at, {STAMP}) desc, request_id) from (select * from logs where {LAST_DAY} {NEWEST}) r)
+             order by requested_at desc, request_id) from (select * from logs where {LAST_DAY} {NEWEST}) r)
         }})::varchar as document"""),
     "window_presets": statement(
         " union all ".join(
@@ -257,13 +274,13 @@ ORACLE = {
         case when {KPI['error_rate']} > 0.1 then 'alert' else 'ok' end as tone from logs group by requested_date, provider, model"""),
     "feed_text": statement("""select request_id,
         coalesce(nullif(output_preview, ''), nullif(error_type, ''), nullif(input_preview, ''), '') as feed_text from logs"""),
-    "compact_number": statement("""select request_id, case when total_tokens * 10 >= 1000
-        then concat(cast(cast(floor(total_tokens / 10.0 + 0.5) as bigint) // 10 as varchar), '.',
-                    cast(cast(floor(total_tokens / 10.0 + 0.5) as bigint) % 10 as varchar), 'k')
-        else cast(total_tokens * 10 as varchar) end as shown from logs"""),
+    # a binary value that is a half itself goes up, all others as their digits say; printf knows the digits
+    "compact_number": statement("""select request_id, case when total_tokens * 50 < 1000 then cast(total_tokens * 50 as varchar)
+        when total_tokens * 50 % 500 = 250 then printf('%.1fk', (total_tokens * 50 + 10) / 1000.0::double)
+        else printf('%.1fk', total_tokens * 50 / 1000.0::double) end as shown from logs"""),
     "minute_label": statement("""select date_trunc('minute', requested_at) as bucket,
         strftime(date_trunc('minute', requested_at), '%H:%M') as label, count(*) as requests from logs group by 1, 2"""),
-    "ingest_lag": statement(f"""select date_trunc('hour', requested_at) as bucket, count(*) as calls,
+    "ingest_lag": statement(f"""select date_trunc('minute', requested_at) as bucket, count(*) as calls,
         {rounded("percentile_cont(0.5) within group (order by lag)")} as p50_lag_ms,
         {rounded("percentile_cont(0.95) within group (order by lag)")} as p95_lag_ms, max(lag) as max_lag_ms
         from (select requested_at, epoch_ms(ingested_at) - epoch_ms(requested_at) as lag from logs) l group by 1"""),

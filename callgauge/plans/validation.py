@@ -118,9 +118,10 @@ def batch_envelope(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """Batches of none, 500 and 501 logs."""
-    sized = views.batches(views.envelopes(spark, folder), 501, cut="case batch_id % 3 when 0 then 501 when 1 then 500 else 0 end")
-    read = envelopes.parse(sized, "body", "batch")
+    """Batches of 501 logs, of 500 and of none; the last ones may be shorter."""
+    sized = views.batches(views.envelopes(spark, folder), by="event_id div 1001 * 3 + if(event_id % 1001 < 501, 0, 1)")
+    empty = sized.where("batch_id % 3 = 0").select((F.col("batch_id") + 2).alias("batch_id"), F.lit('{"logs":[]}').alias("body"))
+    read = envelopes.parse(sized.select("batch_id", "body").unionByName(empty), "body", "batch")
     return validate.check_batches(read).select(
         "batch_id", F.size(F.try_variant_get("batch", "$.logs", "array<variant>")).alias("n"),
         F.coalesce(F.try_element_at("issues", F.lit(1))["code"], F.lit("ok")).alias("verdict"),
@@ -186,7 +187,10 @@ def int_range_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 def constraint_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rules of the three tables on rows that were never validated, against conversations without the cancelled ones."""
-    unchecked = validate.typed_rows(envelopes.parse(_faulty(spark, folder)))
+    typed = validate.typed_rows(envelopes.parse(_faulty(spark, folder)))
+    unchecked = typed.withColumns(
+        {"pii_redacted": F.expr("if(status is null, null, false)"), "ingested_at": F.expr("if(provider is null, null, requested_at)")}
+    )
     open_only = state(views.conversation_events(spark, folder)).where("status = 'active'")
     return constraints.report(unchecked, views.messages(spark, folder), open_only)
 
@@ -249,6 +253,11 @@ def _nulls(key: str, *wrong: int) -> str:
     return f"select count(*) from events where event_id % {_N} in ({', '.join(map(str, listed)) or -1})"
 
 
+def _nulls_of_either() -> str:
+    """Rows without a provider, and those without a time: one fault per row, so nothing counts twice."""
+    return f"({_nulls('provider')}) + ({_nulls('requestedAt', *_UNREADABLE_TIME)})"
+
+
 _UNREADABLE_TIME = [i for i, (k, v, _) in enumerate(FAULTS) if k == "requestedAt" and v in ('"2024-02-30T00:00:00Z"', '1704067200')]
 _ODD_STATUS = [i for i, (k, v, _) in enumerate(FAULTS) if k == "status"]
 _LIVE = "(select conv_id from state where status = 'active')"
@@ -278,8 +287,8 @@ ORACLE = {
     ),
     "batch_envelope": statement("select event_id // 50 as batch_id, cast(event_id % 50 as int) as position, request_id from logs"),
     "batch_bounds": """select batch_id, cast(n as int) as n, case when n < 1 then 'too_small' when n > 500 then 'too_big' else 'ok' end as verdict
-        from (select event_id // 501 as batch_id,
-              least(count(*), case (event_id // 501) % 3 when 0 then 501 when 1 then 500 else 0 end) as n from events group by 1) b""",
+        from (select event_id // 1001 * 3 + case when event_id % 1001 < 501 then 0 else 1 end as batch_id, count(*) as n from events group by 1
+              union all select distinct event_id // 1001 * 3 + 2, 0 from events where event_id % 1001 < 501) b""",
     "batch_all_or_nothing": statement(
         f"""select event_id // 3 as batch_id, case when bool_and(codes = '') then count(*) else 0 end as taken_by_batch,
         count(*) filter (where codes = '') as taken_by_row from events join faults on n = event_id % {_N} group by 1""",
@@ -310,10 +319,12 @@ ORACLE = {
                 _rule("logs", "tokens_estimated not null", "0"),
                 _rule("logs", "requested_at not null", _nulls("requestedAt", *_UNREADABLE_TIME)),
                 _rule("logs", "metadata not null", "0"),
+                _rule("logs", "pii_redacted not null", _nulls("status")),
+                _rule("logs", "ingested_at not null", _nulls_of_either()),
                 _rule("logs", "status check", f"select count(*) from events where event_id % {_N} in ({', '.join(map(str, _ODD_STATUS))})"),
                 _rule("logs", "request_id unique", f"""select coalesce(sum(extra), 0)::bigint from (select count(*) - 1 as extra from
                     (select case event_id % {_N} when 0 then null when 1 then '' when 2 then repeat('x', 129) when 3 then '5' when 4 then null
-                     else request_id end as id from logs) i group by id) u"""),
+                     else request_id end as id from logs) i where id is not null group by id) u"""),
                 _rule("messages", "conversation_id references", f"select count(*) from messages where conversation_id not in {_LIVE}"),
                 _rule("messages", "conversation_id not null", "0"),
                 _rule("messages", "role not null", "0"),

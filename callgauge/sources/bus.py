@@ -1,6 +1,7 @@
 """The event bus between producers and the ingest job: a folder of JSON lines, or Kafka.
 
-A bus entry has an ``offset``, which orders the copies of a log, and ``fields``, a flat list of names and values.
+A bus entry is known by its ``partition`` and ``offset``; copies of a log share a partition, so the offset orders them.
+``fields`` is a flat list of names and values.
 """
 
 from __future__ import annotations
@@ -8,25 +9,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from callgauge.sources.envelopes import PAYLOAD
+from callgauge.streaming.sink import exists
 
-ENTRY = "offset BIGINT, fields ARRAY<STRING>"
+ENTRY = "partition INT, offset BIGINT, fields ARRAY<STRING>"
 STARTS = ("earliest", "latest")
 
 
-def to_entries(rows: DataFrame, offset: str, payload: Column) -> DataFrame:
-    return rows.select(F.col(offset).alias("offset"), F.array(F.lit(PAYLOAD), payload).alias("fields"))
+def to_entries(rows: DataFrame, offset: str, payload: Column, partition: Column | None = None) -> DataFrame:
+    number = F.lit(0) if partition is None else partition
+    return rows.select(
+        number.cast("int").alias("partition"), F.col(offset).alias("offset"), F.array(F.lit(PAYLOAD), payload).alias("fields")
+    )
 
 
 def publish(entries: DataFrame, folder: str) -> None:
     entries.write.mode("append").json(folder)
 
 
-def read_folder(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Streaming read of published entries; ``max_files`` bounds a micro-batch."""
+def read_folder(spark: SparkSession, folder: str, max_files: int | None = None, after: int | None = None) -> DataFrame:
+    """Streaming read of published entries; ``max_files`` bounds a micro-batch.
+
+    ``after`` (see :func:`latest`) leaves out files published up to then.
+    """
     reader = spark.readStream.schema(ENTRY)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(folder)
+    entries = reader.json(folder)
+    if after is None:
+        return entries
+    return entries.where(F.unix_millis("_metadata.file_modification_time") > after)
+
+
+def latest(spark: SparkSession, folder: str, home: str) -> int:
+    """The newest publication in a folder, in ms: where a job that wants new entries only starts.
+
+    It is noted in ``home`` (the job's checkpoint) when first asked for, and a restarted job gets the same answer.
+    """
+    note = f"{home}/start_position"
+    if not exists(spark, note):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder) if exists(spark, folder) else None
+        newest = files.agg(F.max(F.unix_millis("modificationTime"))).first()[0] if files is not None else None
+        spark.range(1).select(F.lit(newest or 0).cast("string")).coalesce(1).write.text(note)
+    return int(spark.read.text(note).first()[0])
 
 
 def kafka_options(servers: str, topic: str, start: str = "earliest", max_offsets: int | None = None) -> dict[str, str]:
@@ -43,4 +67,4 @@ def kafka_options(servers: str, topic: str, start: str = "earliest", max_offsets
 def read_kafka(spark: SparkSession, **options) -> DataFrame:
     """Entries of a topic whose records are keyed by request id: copies share a partition, so offsets order them."""
     records = spark.readStream.format("kafka").options(**kafka_options(**options)).load()
-    return to_entries(records, "offset", F.col("value").cast("string"))
+    return to_entries(records, "offset", F.col("value").cast("string"), F.col("partition"))

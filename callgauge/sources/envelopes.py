@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from callgauge.functions.json import strict
 from callgauge.operators.once import once
 from callgauge.schemas import ENVELOPE
 
@@ -11,14 +12,8 @@ PAYLOAD = "payload"
 
 
 def parse(df: DataFrame, text: str = PAYLOAD, alias: str = "log", keep: bool = False) -> DataFrame:
-    """Replaces a column of JSON text by its VARIANT, null if it is no JSON.
-
-    The text is read as the only entry of a list: a JSON reader stops after the first value, and what follows it would
-    go unnoticed.
-    """
-    listed = once(df, _list=F.from_json(F.concat(F.lit("["), F.col(text), F.lit("]")), "array<variant>"))
-    value = F.when(F.size("_list") == 1, F.get("_list", F.lit(0)))
-    read = once(listed, **{alias: value}).drop("_list")
+    """Replaces a column of JSON text by its VARIANT, null if it is no JSON or has text after its value."""
+    read = once(df, **{alias: strict(F.col(text))})
     return read if keep else read.drop(text)
 
 

@@ -130,7 +130,8 @@ def raw_calls(spark: SparkSession, folder: str) -> DataFrame:
         "output",
         "err_name",
         "cast(null as string) as err_code",
-        "case when err_name = 'Error' and http_status is null then concat('lost connection: ', last_user) end as err_message",
+        "case when err_name = 'AbortError' then 'aborted' when err_name = 'Error' and http_status is null"
+        " then concat('lost connection: ', last_user) end as err_message",
         "http_status",
         "case when http_status is not null then last_user end as err_body",
         "case call_id % 3 when 0 then 'stop' when 1 then 'length' end as finish_reason",
@@ -164,7 +165,7 @@ def completion_lines(spark: SparkSession, folder: str) -> DataFrame:
     tail = words.groupBy("call_id").agg((F.max("seq") + 2).alias("end")).selectExpr(
         "call_id",
         """inline(array(
-          struct(0L as seq, '{broken' as data),
+          struct(0L as seq, '{"choices":[{"delta":{"content":"no"}}]} x' as data),
           struct(end as seq, '{"choices":[{"delta":{},"finish_reason":"stop"}]}' as data),
           struct(end + 1 as seq, concat('{"choices":[],"usage":{"prompt_tokens":', call_id, ',"completion_tokens":', end,
             ',"total_tokens":', call_id + end, '}}') as data),
@@ -273,14 +274,12 @@ def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, s
     return broken.select("event_id", F.when(F.col("_fault.value").isNull(), without).otherwise(changed).alias("payload"))
 
 
-def batches(rows: DataFrame, size: int, *, cut: str | None = None) -> DataFrame:
-    """``size`` consecutive payloads as one batch text; ``cut`` shortens the list to that expression of ``batch_id``."""
-    listed = rows.groupBy(F.expr(f"event_id div {size}").alias("batch_id")).agg(
+def batches(rows: DataFrame, size: int | None = None, *, by: str | None = None) -> DataFrame:
+    """``size`` consecutive payloads, or those with the same value of the expression ``by``, as one batch text."""
+    listed = rows.groupBy(F.expr(by or f"event_id div {size}").alias("batch_id")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("event_id", "payload"))), lambda r: r["payload"]
         ).alias("_logs")
     )
-    if cut:
-        listed = listed.withColumn("_logs", F.expr(f"slice(_logs, 1, {cut})"))
     body = F.concat(F.lit('{"logs":['), F.array_join("_logs", ","), F.lit("]}"))
     return listed.select("batch_id", body.alias("body"))

@@ -1,8 +1,8 @@
 """Live tables: aggregates kept up to date by a stream.
 
 The dashboard's numbers come from counts per (minute, latency), the same the batch aggregates start from. The ingest job
-keeps them next to the stored table (:func:`callgauge.streaming.ingest.minute_counts`); :func:`minute_histogram` keeps
-them for a stream that is not stored. Percentiles of a minute or of any run of minutes are exact and are taken when the
+keeps them next to the stored table (:func:`callgauge.streaming.ingest.minute_counts`); late rows count like any others.
+Percentiles of a minute or of any run of minutes are exact and are taken when the
 counts are read, so the work per call does not depend on the number of windows it belongs to.
 """
 
@@ -10,31 +10,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.operators import metrics
-from callgauge.operators.dedupe import SPREAD, unique_stream
+from callgauge.session import prepare
 from callgauge.streaming import sink as files
 
-#: State is dropped this long after its minute: the widest window. Later rows still count in the stored table.
-LATENESS = "1440 minutes"
-
 POLL = "3 seconds"
 
 
-def distinct_logs(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
-    """Drops repeated deliveries that arrive within ``lateness``, and rows without an id or a time."""
-    named = logs.where("request_id is not null and requested_at is not null")
-    return unique_stream(named.withWatermark("requested_at", lateness), "request_id", "offset", spread, within_watermark=True)
-
-
-def minute_histogram(logs: DataFrame, lateness: str = LATENESS, spread: int = SPREAD) -> DataFrame:
-    """Streaming counts per (minute, latency)."""
-    minute = F.window("requested_at", "1 minute")["start"].alias("bucket")
-    return metrics.latency_histogram(distinct_logs(logs, lateness, spread), minute)
-
-
 def touches(messages: DataFrame) -> DataFrame:
     """Streaming ``updated_at`` per conversation: the time of its last message."""
     return messages.groupBy("conversation_id").agg(F.max("created_at").alias("updated_at"))
@@ -42,6 +27,7 @@ def touches(messages: DataFrame) -> DataFrame:
 
 def start(changes: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Writes the groups every micro-batch changes."""
+    prepare(changes.sparkSession)
     return (
         changes.writeStream.outputMode("update")
         .foreachBatch(lambda df, n: files.write_batch(df, n, sink))
@@ -53,6 +39,7 @@ def start(changes: DataFrame, sink: str, checkpoint: str, trigger: dict | None =
 
 def append(rows: DataFrame, sink: str, checkpoint: str, *partitions: str, trigger: dict | None = None) -> StreamingQuery:
     """Appends every row of a stream exactly once."""
+    prepare(rows.sparkSession)
     return (
         rows.writeStream.format("parquet")
         .partitionBy(*partitions)
@@ -63,9 +50,10 @@ def append(rows: DataFrame, sink: str, checkpoint: str, *partitions: str, trigge
     )
 
 
-def histogram(versions: DataFrame) -> DataFrame:
-    """Current counts out of the groups every micro-batch changed."""
-    return files.newest(versions, "bucket", "latency_ms")
+def compact(spark: SparkSession, sink: str, *keys: str, keep: int = 1) -> None:
+    """Keeps the newest version of each group of a live table. To be run by its writer, between batches."""
+    schema = files.read(spark, sink).schema
+    files.compact(spark, sink, keep, schema, lambda df: files.newest(df, *keys))
 
 
 def trailing(counts: DataFrame, as_of: datetime, presets: dict[str, int] | None = None) -> DataFrame:

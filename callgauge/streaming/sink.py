@@ -1,19 +1,20 @@
 """Parquet folders written once per micro-batch.
 
 Every batch owns the folder ``batch_id=N`` and overwrites it, so a batch that is replayed after a failure replaces what
-the failed attempt left behind instead of adding to it.
+the failed attempt left behind instead of adding to it. Old batches are merged by ``compact``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BATCH = "batch_id"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return _fs(spark, path).exists(_path(spark, path))
 
 
 def write_batch(rows: DataFrame, batch_id: int, path: str, *partitions: str) -> None:
@@ -28,6 +29,60 @@ def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
+STAGE = "_compacted"
+
+
+def compact(
+    spark: SparkSession, path: str, keep: int, schema: T.StructType, combine: Callable[[DataFrame], DataFrame], *partitions: str
+) -> None:
+    """Merges all but the last ``keep`` batches into the folder of the last of them. Single writer; rows stay the same.
+
+    The merged rows are written beside the table first. From then on the step is finished by whoever comes next, so it
+    may break off anywhere. While folders are exchanged, a reader may miss files and has to read again.
+    """
+    finish_compaction(spark, path)
+    if not exists(spark, path):
+        return
+    batches = _batches(spark, path)
+    old = batches[: max(0, len(batches) - keep)]
+    if len(old) < 2:
+        return
+    fields = [f for f in schema.fields if f.name != BATCH]
+    known = read(spark, path, T.StructType([*fields, T.StructField(BATCH, T.LongType())]))
+    merged = combine(known.where(F.col(BATCH) <= old[-1]))
+    write_batch(merged.drop(BATCH), old[-1], f"{path}/{STAGE}", *partitions)
+    _fs(spark, path).create(_path(spark, f"{path}/{STAGE}/_DONE")).close()
+    finish_compaction(spark, path)
+
+
+def finish_compaction(spark: SparkSession, path: str) -> None:
+    """Puts merged rows in place of the batches they were made of; drops what was not finished."""
+    stage = f"{path}/{STAGE}"
+    if not exists(spark, stage):
+        return
+    fs = _fs(spark, path)
+    if exists(spark, f"{stage}/_DONE"):
+        for last in _batches(spark, stage):
+            for number in _batches(spark, path):
+                if number <= last:
+                    fs.delete(_path(spark, f"{path}/{BATCH}={number}"), True)
+            fs.rename(_path(spark, f"{stage}/{BATCH}={last}"), _path(spark, f"{path}/{BATCH}={last}"))
+    fs.delete(_path(spark, stage), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    names = [s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path))]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}="))
+
+
 def newest(versions: DataFrame, *keys: str) -> DataFrame:
     """Current rows of a table whose batches hold the groups they changed: the version of the latest batch."""
     values = [c for c in versions.columns if c not in (*keys, BATCH)]

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from callgauge.functions.tokens import by_vocabulary, estimate_prompt, estimate_tokens
+from callgauge.functions.tokens import estimate_prompt, estimate_tokens
 from callgauge.operators import calls, chunks
 
 CALL = """request_id string, conversation_id string, message_id string, provider string, model string, streaming boolean,
@@ -59,11 +59,18 @@ def test_error_class(spark, status, kind):
 
 def test_abort_by_name_or_code_is_a_cancel(spark):
     for given in ({"err_name": "AbortError"}, {"err_name": "Error", "err_code": "ABORT_ERR"}):
-        row = log(spark, **given)
+        row = log(spark, **given, streaming=True)
         assert (row.status, row.completion_tokens, row.prompt_tokens, row.total_tokens, row.tokens_estimated) == ("cancelled", 2, None, None, True)
         assert row.metadata == '{"surface":"chat","partial":true}'
 
 
+def test_abort_of_a_call_that_is_not_streamed_is_an_error(spark):
+    row = log(spark, err_name="AbortError", err_message="aborted", streaming=False)
+    assert (row.status, row.error_type, row.error_message) == ("error", "unknown", "aborted")
+    assert (row.completion_tokens, row.total_tokens, row.tokens_estimated, row.output_preview) == (None, None, False, None)
+    assert row.metadata == '{"surface":"chat"}'
+
+
 def test_metadata_key_is_replaced_even_by_nothing(spark):
     given = '{"finishReason":"mine","n":{"a":[1,null]}}'
     assert log(spark, metadata=given, finish_reason="stop").metadata == '{"n":{"a":[1,null]},"finishReason":"stop"}'
@@ -96,22 +103,6 @@ def test_token_fallback(spark):
     assert prompt.select(estimate_prompt(F.col("m"))).first()[0] == 11
 
 
-def test_vocabulary_counts(spark):
-    public = pytest.importorskip("public_tokenizers")
-    tiktoken = pytest.importorskip("tiktoken")
-    import base64
-
-    path = public.path("byte_bpe_50k.tiktoken")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    count = by_vocabulary(spark, path, public.PATTERN, {"<|endoftext|>": 50256})
-    texts = ["", None, "Hello world, how are you?", "été \U0001f600", "a <|endoftext|> b"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = [r.n for r in df.select("i", count.text(F.col("t")).alias("n")).orderBy("i").collect()]
-    assert got == [0, 0, *[len(plain.encode(t)) for t in texts[2:4]], math.ceil(len(texts[4]) / 4)]
-    prompt = spark.createDataFrame([([("user", texts[2]), ("user", "")],)], "m array<struct<role string, content string>>")
-    assert prompt.select(count.prompt(F.col("m"))).first()[0] == got[2] + 8
-
 
 # chunks
 
@@ -182,4 +173,5 @@ def test_responses(spark):
         return tuple(spark.createDataFrame([(body,)], "b string").select(expr(F.col("b")).alias("r")).first().r)
 
     assert one(chunks.completion_json, '{"choices":[],"usage":{"total_tokens":3}}') == ("", None, None, None, 3)
+    assert one(chunks.completion_json, '{"choices":[],"usage":{"total_tokens":3}} x') == ("", None, None, None, None)
     assert one(chunks.messages_json, '{"content":[{"text":"a"},{"type":"t"},{"text":"b"}],"usage":{"input_tokens":4}}') == ("ab", None, 4, None, 4)

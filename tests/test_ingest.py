@@ -40,7 +40,11 @@ def test_issues_come_in_the_order_of_the_keys(spark):
 
 
 def test_repeated_key_and_text_after_the_value(spark):
-    texts = ['{"a":1,"a":2}', '{"a":1} x', '{"a":1}{"a":2}', '{"a":1},{"a":2}', "", None, " {} "]
+    one = '{"a":1}'
+    tails = ["]", "] tail", "],[" + one, "}", "} x", "}{", ",", "," + one, one, " x", "]}", "}]", '],"v":[1', '},{"v":1', "\x00", "//"]
+    df = spark.createDataFrame([(one + t,) for t in tails], "payload string")
+    assert [r[0] for r in envelopes.parse(df).select(F.to_json("log")).collect()] == [None] * len(tails)
+    texts = ['{"a":1,"a":2}', '{"a":1} x', '{"a":1}{"a":2}', '{"a":1},{"a":2}', "", None, " {}\t\r\n "]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, payload string")
     assert [r[0] for r in envelopes.parse(df).orderBy("i").select(F.to_json("log")).collect()] == ['{"a":2}', None, None, None, None, None, "{}"]
 
@@ -117,6 +121,109 @@ def test_state_scope(spark):
     run.ingest(dedupe_scope="state")
     assert sorted(stored(run)) == ["r1", "r2"] and run.logs().count() == 2
     assert spark.read.parquet(run.dead).where("reason = 'corrupt'").count() == 3
+    # copies are gone before they are counted
+    counts = ingest.counts(spark, run.sink).orderBy("batch_id").select("received", "rejected", "inserted", "duplicates").collect()
+    assert [tuple(r) for r in counts] == [(None, 2, 1, None), (None, 1, 1, None)]
+
+
+@pytest.mark.parametrize("scope", ["all", "date", "state"])
+def test_equal_offsets_of_two_partitions(spark, scope):
+    run = Run(spark, "partitions")
+    for partition in (0, 1):
+        rows = spark.createDataFrame([(4, "{bad"), (5, envelope(requestId=f"r{partition}")), (6, envelope(status="x"))], "stream_seq long, payload string")
+        run.publish(rows, partition=partition)
+    run.ingest(dedupe_scope=scope)
+    assert sorted(stored(run)) == ["r0", "r1"]
+    dead = [tuple(r) for r in spark.read.parquet(run.dead).select("partition", "offset").collect()]
+    assert sorted(dead) == [(0, 4), (0, 6), (1, 4), (1, 6)]
+
+
+def test_the_job_sets_what_it_depends_on(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    run = Run(spark, "plain")
+    publish(run, (1, envelope()[:-1] + ', "latencyMs": 1, "latencyMs": 2}'))
+    run.ingest()
+    assert stored(run) == {"r1": 2}
+
+
+def by_day(day, *ids):
+    return [(100 * day + i, envelope(requestId=f"d{day}-{i}", latencyMs=i, requestedAt=f"2024-01-{day:02d}T00:00:00Z")) for i in ids]
+
+
+def test_compaction_keeps_every_row(spark):
+    run = Run(spark, "compact")
+    for day in range(1, 6):
+        publish(run, *by_day(day, 1, 2, 2), *by_day(1, day), (day, "{bad"))
+        run.ingest()
+    before = sorted(tuple(r) for r in run.logs().drop("batch_id").collect())
+    minutes = sorted(tuple(r) for r in ingest.minute_counts(spark, run.sink).collect())
+    total = ingest.counts(spark, run.sink).agg(*[F.sum(c) for c in ("received", "rejected", "inserted", "duplicates")]).first()
+    ingest.compact(spark, run.sink)
+    assert len(sink._batches(spark, run.sink)) == 2
+    ingest.compact(spark, run.sink)
+    assert sorted(tuple(r) for r in run.logs().drop("batch_id").collect()) == before
+    assert sorted(tuple(r) for r in ingest.minute_counts(spark, run.sink).collect()) == minutes
+    assert ingest.counts(spark, run.sink).agg(*[F.sum(c) for c in ("received", "rejected", "inserted", "duplicates")]).first() == total
+    publish(run, *by_day(1, 1, 2, 9), *by_day(7, 1))
+    run.ingest()
+    assert run.logs().count() == len(before) + 2
+
+
+@pytest.mark.parametrize("left", ["nothing", "rows", "done", "deleted", "moved"])
+def test_broken_compaction_is_finished(spark, left):
+    """Broken off after any of its steps."""
+    run = Run(spark, "broken")
+    for day in (1, 2, 3):
+        publish(run, *by_day(day, 1, 2))
+        run.ingest()
+    want = sorted(r.request_id for r in run.logs().collect())
+    fs, path = sink._fs(spark, run.sink), lambda p: sink._path(spark, f"{run.sink}/{p}")
+    if left != "nothing":
+        merged = run.logs().where("batch_id <= 1").drop("batch_id")
+        if left == "rows":
+            merged = merged.limit(1)
+        sink.write_batch(merged, 1, f"{run.sink}/{sink.STAGE}", "requested_date")
+    if left in ("done", "deleted", "moved"):
+        fs.create(path(f"{sink.STAGE}/_DONE")).close()
+    if left in ("deleted", "moved"):
+        fs.delete(path("batch_id=0"), True)
+        fs.delete(path("batch_id=1"), True)
+    if left == "moved":
+        fs.rename(path(f"{sink.STAGE}/batch_id=1"), path("batch_id=1"))
+    sink.finish_compaction(spark, run.sink)
+    assert sorted(r.request_id for r in run.logs().collect()) == want
+    assert not sink.exists(spark, f"{run.sink}/{sink.STAGE}")
+
+
+def test_a_batch_reads_the_folders_of_its_dates(spark):
+    run = Run(spark, "dates")
+    for day in (1, 2, 3):
+        publish(run, *by_day(day, 1))
+        run.ingest()
+    known = ingest._of_dates(run.logs(), spark.sql("select date'2024-01-02' as requested_date"))
+    files = [f for f in known.select("request_id").inputFiles()]
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2024-01-02" in plan.split("PartitionFilters: [")[1].split("]")[0] or "19724" in plan
+    assert known.count() == 1 and files
+
+
+def test_nothing_is_written_for_nothing(spark):
+    run = Run(spark, "empty")
+    publish(run, (1, envelope()))
+    run.ingest()
+    assert not sink.exists(spark, run.dead)
+    publish(run, (2, "{bad"))
+    run.ingest()
+    assert sink._batches(spark, run.sink) == sink._batches(spark, f"{run.sink}_minutes") == [0]
+
+
+def test_live_table_is_compacted(spark):
+    run = Run(spark, "live")
+    for n, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("b", 3), ("c", 3)])):
+        sink.write_batch(spark.createDataFrame(rows, "k string, v int"), n, run.sink)
+    live.compact(spark, run.sink, "k", keep=0)
+    assert sink._batches(spark, run.sink) == [2]
+    assert sorted(tuple(r) for r in sink.newest(sink.read(spark, run.sink), "k").collect()) == [("a", 2), ("b", 3), ("c", 3)]
 
 
 def test_rejected_entries_keep_their_payload(spark):
@@ -154,12 +261,10 @@ def test_one_id_delivered_most_often(spark):
     publish(run, *[(i, envelope(requestId="hot" if i % 3 else f"r{i}", latencyMs=i)) for i in range(300)])
     run.ingest()
     assert run.logs().count() == 101 and stored(run)["hot"] == 1
-    # all copies in one delivery, thinned out by the unstored stream
-    other = Run(spark, "hot_live")
+    other = Run(spark, "hot_state")
     publish(other, *[(i, envelope(requestId="hot" if i % 3 else f"r{i}", latencyMs=7)) for i in range(300)])
-    rows = validate.typed_rows(envelopes.parse(envelopes.entries_with_payload(other.entries())).drop("fields"))
-    live.start(live.minute_histogram(rows), other.sink, other.checkpoint).awaitTermination()
-    assert live.histogram(sink.read(spark, other.sink)).first().calls == 101
+    other.ingest(dedupe_scope="state")
+    assert ingest.minute_counts(spark, other.sink).first().calls == 101
 
 
 def test_events_round_trip(spark):

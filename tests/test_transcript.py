@@ -23,10 +23,8 @@ def talk(seed=0):
     return rows
 
 
-@pytest.mark.parametrize("block, broadcast", [(4096, True), (16, True), (16, False)])
-def test_context_window_over_block_borders(spark, monkeypatch, block, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(hotkeys, "MAX_BROADCAST_KEYS", 0)
+@pytest.mark.parametrize("block", [4096, 16])
+def test_context_window_over_block_borders(spark, block):
     rows = talk()
     df = spark.createDataFrame(rows, MESSAGES)
     got = {(r.conversation_id, r.turn): [m.content for m in r.context] for r in transcript.context_window(df, 20, block).collect()}
