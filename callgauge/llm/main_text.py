@@ -51,7 +51,8 @@ TOKEN = re.compile(
     r"|<[!?][^<>]*>"
     # a quoted value may have > and a < that begins no tag; a tag ends before the next one begins, so this takes linear time
     r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/<>]*)"
-    r"(?P<attrs>(?:\"(?:[^\"<]|<(?![a-zA-Z/!]))*\"|'(?:[^'<]|<(?![a-zA-Z/!]))*'|[^<>\"'])*+|[^<>]*)>",
+    r"(?P<attrs>(?:\"(?:[^\"<]|<(?![a-zA-Z/!]))*\"|'(?:[^'<]|<(?![a-zA-Z/!]))*'|[^<>\"'])*+|[^<>]*)>"
+    r"|<[/!?a-zA-Z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")

@@ -85,7 +85,8 @@ class Model:
             if not parts:
                 return 0.0, []
             z = np.array([sum(map(of, set(words))) for _, _, words in parts]) + self.bias
-            p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+            with np.errstate(over="ignore"):
+                p = 1.0 / (1.0 + np.exp(-np.minimum(z, 40)))
             over = np.nonzero(p >= OFFENDING)[0]
             return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [
                 (parts[i][0], parts[i][1], float(p[i])) for i in over

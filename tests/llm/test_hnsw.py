@@ -1,0 +1,80 @@
+import math
+
+import numpy as np
+import pytest
+from helpers import union_find
+
+from callgauge.llm import hnsw
+
+ROWS = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows):
+    """Links and components by comparing all pairs."""
+    ok = [
+        i is not None and lab is not None and e is not None and all(x is not None and math.isfinite(x) for x in e) and any(e)
+        for i, e, lab in rows
+    ]
+    unit = [np.array(e, np.float32).astype(float) / np.linalg.norm(np.array(e, np.float32).astype(float)) if k else None for (_, e, _), k in zip(rows, ok)]
+    pairs = [
+        (a, b)
+        for a in range(len(rows))
+        for b in range(a)
+        if ok[a] and ok[b] and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= hnsw.THRESHOLD
+    ]
+    root = union_find(len(rows), pairs)
+    out = []
+    for i, (vec, _, _) in enumerate(rows):
+        least = min((rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None), default=None)
+        out.append((vec, sum(i in p for p in pairs), least, vec is not None and vec == least))
+    return sorted(out, key=repr)
+
+
+def rows_with_groups(n=500, dim=16, seed=0):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, dim))
+    for i in range(n // 2):  # chains and balls of near copies
+        x[i] = x[draw.integers(i + 1)] + draw.normal(size=dim) * draw.choice([0.0, 0.05, 0.25])
+    return [(int(i), [float(v) for v in x[i]], int(i % 3 == 0)) for i in draw.permutation(n)]
+
+
+@pytest.mark.parametrize("shard", [40, 8192])
+def test_against_brute_force(spark, shard):
+    rows = rows_with_groups()
+    df = spark.createDataFrame(rows, ROWS).selectExpr("*", "1 as n_links", "'x' as key", "2 as size")
+    assert sorted((tuple(r) for r in hnsw.near_duplicates(df, shard=shard).collect()), key=repr) == plain(rows)
+
+
+def test_odd_rows(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (2, a, 0), (3, a, 1), (4, a, None), (None, a, 0), (5, None, 0), (6, [], 0), (7, [0.0] * 3, 0), (8, [1.0, None, 0.0], 0)]
+    rows += [(9, [float("nan"), 1.0, 0.0], 0), (10, [float("inf"), 1.0, 0.0], 0), (11, [3.0, 0.0], 0), (12, [2.0, 0.1, 0.0], 0), (13, b, 0), (13, b, 0)]
+    rows += [(14, [1e-30, 0.0, 0.0], 0), (15, [3e38, 0.0, 0.0], 0)]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == plain(rows)
+
+
+def test_empty(spark):
+    assert hnsw.near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_graph_recall():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(1500, 24))
+    x[700:] = x[:800] + draw.normal(size=(800, 24)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    truth = x @ x.T >= 0.93
+    found = hnsw._ask(x, graph, 0.93, hnsw.BEAM)
+    assert not (found & ~truth).any()
+    assert found.sum() / truth.sum() > 0.9
+
+
+def test_audit_widens_the_beam(monkeypatch):
+    """A graph without links finds nothing until the beam has grown to the shard, where the search is exhaustive."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    graph.layers = [np.full((300, 24), -1, np.int32)]
+    assert (hnsw.hits(x, graph, 0.8) == (x @ x.T >= 0.8)).all()
