@@ -35,7 +35,7 @@ def small(spark):
 def test_finds_the_sentence(spark, small):
     model = toxicity.train(*small, min_chi2=5, steps=80, prior=-6.0)
     text = "Nothing here. A vile one. more of them here"
-    df = docs(spark, [(1, text), (2, ""), (3, None), (4, "plain words. " * 3000), (5, "?!.")])
+    df = docs(spark, [(1, text), (2, ""), (3, None), (4, "plain words " * 3000), (5, "?!.")])
     got = {r.doc_id: r.x for r in df.select("doc_id", toxicity.scored(F.col("text"), model).alias("x")).collect()}
     assert got[1].score >= toxicity.TOXIC
     assert [text[s.start : s.end].strip() for s in got[1].offending] == ["A vile one"]
