@@ -6,6 +6,7 @@ is a predicate the Parquet scan can skip row groups by.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,5 +42,11 @@ def metadata_value(metadata: Column, path: str, as_type: str) -> Column:
 
 
 def with_metadata(logs: DataFrame, path: str, value, as_type: str) -> DataFrame:
-    """Rows whose metadata holds ``value`` at ``path``."""
+    """Rows whose metadata holds ``value`` at ``path``.
+
+    Text without the key's name is not parsed. A name may be spelled with escapes, so text with a backslash always is.
+    """
+    if named := re.fullmatch(r"\$\.(\w+)", path, re.ASCII):
+        text = F.col("metadata")
+        logs = logs.where(text.contains(f'"{named[1]}"') | text.contains("\\"))
     return logs.where(metadata_value(F.col("metadata"), path, as_type) == F.lit(value))

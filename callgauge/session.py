@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +41,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+#: Folders made under the shared one.
+_made: list[str] = []
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -64,7 +70,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/callgauge/{name}-{uuid.uuid4().hex}"
+        _made.append(f"{shared.rstrip('/')}/callgauge/{name}-{uuid.uuid4().hex}")
+        return _made[-1]
     if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.mkdtemp(prefix="callgauge-"), name)
+    home = tempfile.mkdtemp(prefix="callgauge-")
+    atexit.register(shutil.rmtree, home, ignore_errors=True)
+    return os.path.join(home, name)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes what this process has put in the shared folder, for when none of its results is read any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
