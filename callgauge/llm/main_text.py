@@ -5,11 +5,12 @@
    by tag, role, class or id. What stays is cut into lines at block-level tags, one per block.
 2. A line weighs its text without the text of links. Where the page names its article (``article``, ``main`` or that
    role; the largest if there are several), lines outside of it weigh nothing and lines inside never weigh nothing.
-3. Weights are summed over windows of ``SPAN`` lines. The text surges where a window's sum first exceeds ``SURGE`` and dives
-   where the sum falls to zero; headings right before a surge belong to it. Lines between are kept whole, in page order.
+3. Weights are summed over windows of ``SPAN`` lines. Text lies between the points where the sum leaves zero and where it
+   dives to zero again; it counts if the sum surges beyond ``SURGE`` in between, so headings and short paragraphs next to
+   long ones stay. If no stretch surges, the heaviest is taken. Lines between are kept whole, in page order.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. A null or
-empty page, or one without such a surge, has the empty text. Pages are handled one by one, so equal pages give equal texts
+empty page, or one without text, has the empty text. Pages are handled one by one, so equal pages give equal texts
 and nothing is shuffled.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-#: Lines in a window, and the characters a window must exceed to begin a text.
+#: Lines in a window, and the characters that a window of a text exceeds.
 SPAN, SURGE = 3, 86
 # Element names of HTML, and words sites use for what is not the article.
 RAW = "script|style|textarea|title"
@@ -59,12 +60,12 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "region", "heading")
+    __slots__ = ("parts", "linked", "region")
 
-    def __init__(self, region: int, heading: bool):
+    def __init__(self, region: int):
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.region, self.heading = region, heading
+        self.region = region
 
 
 def _plain(parts: list[str]) -> str:
@@ -90,7 +91,7 @@ def _is_aside(tag: str, attrs: str, inside: bool) -> bool:
 
 def _lines(page: str) -> list[_Line]:
     """Lines of the page outside of stripped parts; ``region`` numbers the article a line is in, 0 outside."""
-    lines = [_Line(0, False)]
+    lines = [_Line(0)]
     region = regions = depth = links = 0  # depth: of articles open
     dropped, nested = "", 0  # the stripped element we are in, and how many of its name are open
     at = 0
@@ -118,7 +119,7 @@ def _lines(page: str) -> list[_Line]:
             if not attrs.endswith("/"):
                 dropped, nested = tag, 1
             if tag in BLOCKS:
-                lines.append(_Line(region, False))
+                lines.append(_Line(region))
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -134,7 +135,7 @@ def _lines(page: str) -> list[_Line]:
                         regions += 1
                 region = regions if depth else 0
             links = 0
-            lines.append(_Line(region, not closing and len(tag) == 2 and tag[0] == "h" and tag[1] != "r"))
+            lines.append(_Line(region))
     if not dropped and at < len(page):
         lines[-1].parts.append(page[at:])
     return lines
@@ -151,22 +152,20 @@ def main_text(page: str | None) -> str:
     for line, text in lines:
         weight = len(text) - len(_plain(line.linked))
         weights.append((max(weight, 1) + SURGE if line.region == named else 0) if named else weight)
-    kept: list[str] = []
-    running = False
-    for i, (line, text) in enumerate(lines):
-        window = sum(weights[i : i + SPAN])
-        if not running and weights[i] and window > SURGE:
-            running = True
-            if not named:
-                first = i
-                while first and lines[first - 1][0].heading and weights[first - 1]:
-                    first -= 1
-                kept += [t for _, t in lines[first:i]]
-        elif running and not weights[i] and (named or not window):
-            running = False
-        if running:
-            kept.append(text)
-    return "\n".join(kept)
+    sums = [sum(weights[i : i + SPAN]) for i in range(len(lines))]
+    runs: list[tuple[int, int]] = []  # from where the sum leaves zero to the last line before it is zero again
+    start = None
+    for i, weight in enumerate(weights):
+        if start is None and weight:
+            start = i
+        elif start is not None and not weight and (named or not sums[i]):
+            runs.append((start, i))
+            start = None
+    if start is not None:
+        runs.append((start, max(i for i, weight in enumerate(weights) if weight) + 1))
+    surging = [run for run in runs if max(sums[run[0] : run[1]]) > SURGE]
+    kept = surging or sorted(runs, key=lambda run: -sum(weights[run[0] : run[1]]))[:1]
+    return "\n".join(text for start, end in kept for _, text in lines[start:end])
 
 
 def extracted(page: Column) -> Column:

@@ -111,6 +111,7 @@ def train(
     documents: DataFrame,
     labels: DataFrame,
     sample_rows: int = 12_000,
+    parts: int = 16,
     max_features: int = 4_000,
     min_documents: int = 3,
     min_chi2: float = 10.0,
@@ -120,7 +121,7 @@ def train(
     prior: float = -10.0,
     prior_weight: float = 0.05,
 ) -> Model:
-    """Fits the model on a bounded sample of labelled documents (``sample_rows``).
+    """Fits the model on a bounded sample of labelled documents (``sample_rows``), in ``parts`` partitions.
 
     Features are the words and word beginnings whose presence depends most on the label (chi-square, at least
     ``min_chi2``), ``max_features`` at most, each in ``min_documents`` sampled documents or more. The bias is held near
@@ -128,7 +129,7 @@ def train(
     make long clean ones suspect. Full-gradient Adam, so the result does not depend on how rows are partitioned beyond
     the order of additions.
     """
-    rows = keep(labelled(documents, labels, sample_rows), "toxicity-sample")
+    rows = keep(labelled(documents, labels, sample_rows).repartition(parts), "toxicity-sample")
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return Model()

@@ -87,7 +87,9 @@ def lookup(queries: DataFrame, files: DataFrame, max_files: int = 100_000) -> Da
     )
     if len(top) > max_files:
         raise ValueError(f"{len(top)} files; write fewer and larger ones")
-    pairs = queries.select("key", "id").distinct().repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    # keys are small and what they lead to is not: as many tasks as files, whatever the keys' size
+    pairs = queries.select("key", "id").distinct().repartitionByRange(max(1, len(top)), "key", "id")
+    pairs = pairs.sortWithinPartitions("key", "id")
     return pairs.mapInPandas(_reader(top), FOUND)
 
 
