@@ -151,10 +151,13 @@ def read_back(pieces: DataFrame) -> DataFrame:
         pieces.select("conv_id", "piece", "text", "loss")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "piece")
+        # ids pass through pandas as text: next to a null, large numbers would lose digits
+        .withColumn("conv_id", F.col("conv_id").cast("string"))
         .mapInPandas(
             _digests,
-            f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+            "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
         )
+        .withColumn("conv_id", F.col("conv_id").cast(kind))
     )
 
 

@@ -108,10 +108,12 @@ def index(documents: DataFrame, items: Items, row_id: str = "doc_id", text: str
                 axis=1,
             )
 
-    rows = documents.select(F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInPandas(
-        run, "id long, text_hash long, n_words long, terms binary, counts binary, positions binary"
+    # ids pass through pandas as text: next to a null, large numbers would lose digits
+    rows = documents.select(
+        F.col(row_id).cast("long").cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
     )
+    posted = rows.mapInPandas(run, "id string, text_hash long, n_words long, terms binary, counts binary, positions binary")
+    return posted.withColumn("id", F.col("id").cast("long"))
 
 
 def frequencies(indexed: DataFrame, size: int) -> np.ndarray:
@@ -142,7 +144,8 @@ def search(indexed: DataFrame, items: Items, slop: int = 2) -> DataFrame:
                 if found is not None:
                     yield found
 
-    return indexed.mapInPandas(run, HITS)
+    named = indexed.withColumn("id", F.col("id").cast("string"))
+    return named.mapInPandas(run, HITS.replace("id long", "id string", 1)).withColumn("id", F.col("id").cast("long"))
 
 
 def _search(rows: pd.DataFrame, items: Items, slop: int) -> pd.DataFrame | None:
@@ -195,7 +198,7 @@ def _search(rows: pd.DataFrame, items: Items, slop: int) -> pd.DataFrame | None:
     nothing = (set(), np.zeros(0, bool))
     return pd.DataFrame(
         {
-            "id": rows["id"].astype("Int64")[which].to_numpy(),
+            "id": rows["id"][which].to_numpy(),
             "text_hash": rows["text_hash"][which].to_numpy(),
             "n_words": rows["n_words"][which].to_numpy(),
             "items": [sorted(out.get(d, nothing)[0]) for d in which],

@@ -70,13 +70,15 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     # as a stored table its size is known, so Spark broadcasts it where it is small and moves no payloads for it
     joined = rows.join(keep(again, "warc-equal"), "digest", "left")
     refers = F.when(~F.col("id").eqNullSafe(F.col("winner")), F.col("winner"))
-    return joined.select("key", "id", "url", "digest", refers.alias("refers_to"), "payload")
+    # ids pass through pandas as text: next to a null, large numbers would lose digits
+    return joined.select("key", "id", "url", "digest", refers.cast("string").alias("refers_to"), "payload")
 
 
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes all captures and returns the table of files (see ``FILES``)."""
     folder = folder or scratch_dir(pages.sparkSession, "warc")
     rows = captures(pages, least_bytes).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    rows = rows.withColumn("id", F.col("id").cast("string"))
     return keep(rows.mapInPandas(_writer(folder, date), FILES), "warc-files")
 
 
@@ -89,8 +91,9 @@ def lookup(queries: DataFrame, files: DataFrame, max_files: int = 100_000) -> Da
         raise ValueError(f"{len(top)} files; write fewer and larger ones")
     # keys are small and what they lead to is not: as many tasks as files, whatever the keys' size
     pairs = queries.select("key", "id").distinct().repartitionByRange(max(1, len(top)), "key", "id")
-    pairs = pairs.sortWithinPartitions("key", "id")
-    return pairs.mapInPandas(_reader(top), FOUND)
+    pairs = pairs.sortWithinPartitions("key", "id").withColumn("id", F.col("id").cast("string"))
+    found = pairs.mapInPandas(_reader(top), FOUND.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def _member(url: str | None, page: int | None, refers: int | None, digest: str, payload: bytes, date: str) -> bytes:
@@ -124,9 +127,8 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, dict[str, str], bytes]:
     return warc, block, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), payload
 
 
-def _number(urn: str) -> int | None:
-    digits = re.fullmatch(r"<urn:page:(-?\d*)>", urn)[1]
-    return int(digits) if digits else None
+def _number(urn: str) -> str | None:
+    return re.fullmatch(r"<urn:page:(-?\d*)>", urn)[1] or None
 
 
 def _writer(folder: str, date: str):
@@ -256,10 +258,7 @@ def _reader(top: list[tuple[bytes, int, str, str]]):
                     out.append(
                         (_number(warc["WARC-Record-ID"]), key, int(http["Content-Length"]), digest, kind, refers)
                     )
-            found = pd.DataFrame(
-                out, columns=["page_id", "key", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-            )
-            yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(out, columns=["page_id", "key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if file:
             file.close()
 

@@ -49,6 +49,7 @@ def plain(rows):
 def test_read_back(spark):
     rows = [(c, t, ("user", "assistant", "system", None, "as[INST]s")[t % 5], None if t == 4 else f"</s> {t} \\ é{c} " * t) for c in range(30) for t in range(7)]
     rows += [(99, t, "assistant" if t % 2 else "user", f"turn {t} <s>") for t in range(3000)]
+    rows += [(2**62 + i, 0, "assistant", f"{i}") for i in range(3)]
     rows += [(None, 1, "user", "x"), (None, None, "assistant", "y"), (31, 0, "user", "z" * 2_000_000)]
     df = spark.createDataFrame(rows, ROWS).selectExpr("*", "'x' as piece", "1 as loss").repartition(5)
     pieces = chat.formatted(df)

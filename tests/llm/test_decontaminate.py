@@ -46,7 +46,7 @@ def case():
         part = words_of(items[i % 25][1])
         at = draw.randrange(len(part))
         rows.append((i, f"{say(30)} {b' '.join(part[at : at + 15]).decode()}, {say(20)}"))
-    rows += [(70, None), (71, ""), (None, items[5][1]), (7, rows[7][1]), (7, "another " + items[9][1]), (72, "the " * 20_000 + items[4][1])]
+    rows += [(70, None), (71, ""), (None, items[5][1]), (2**63 - 1, items[6][1]), (7, rows[7][1]), (7, "another " + items[9][1]), (72, "the " * 20_000 + items[4][1])]
     return rows, items
 
 

@@ -16,6 +16,8 @@ ROWS = [
     (5, "http://ünï.org/ß", "zwei ☃"),
     (5, "http://ünï.org/ß", "zwei ☃"),
     (6, "no scheme", "long " * 50_000),
+    (2**62 + 1, "http://big.org/", "same"),
+    (2**62 + 3, "http://big.org/", "same"),
 ]
 
 
@@ -33,14 +35,15 @@ def test_round_trip(spark):
     kinds = sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=repr)
     assert kinds == sorted(
         [(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (None, "revisit", 2)]
-        + [(5, "response", None)] * 2 + [(6, "response", None)],
+        + [(5, "response", None)] * 2 + [(6, "response", None)]
+        + [(2**62 + 1, "revisit", 2**62 + 3), (2**62 + 3, "response", None)],
         key=repr,
     )
 
 
 def test_small_payloads_are_not_folded(spark):
     pages = spark.createDataFrame(ROWS, PAGES)
-    got = warc.lookup(keys(pages), warc.write(pages, least_bytes=4)).collect()
+    got = warc.lookup(keys(pages), warc.write(pages, least_bytes=5)).collect()
     assert {r.record_type for r in got} == {"response"}
 
 
