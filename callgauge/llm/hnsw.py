@@ -177,9 +177,12 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shard:
     )
     counts = classes.groupBy("label", "size").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     dealt = classes.join(counts, ["label", "size"]).withColumn("shard", F.pmod("key", "shards").cast("int"))
+    n_shards, n_pairs = counts.agg(F.sum("shards"), F.sum(F.expr("shards * (shards + 1L) div 2"))).first()
+    own = ["label", "size", "shards", "shard"]
     graphs = keep(
-        dealt.select("label", "size", "shards", "shard", "key", "n", "embedding")
-        .groupBy("label", "size", "shards", "shard")
+        dealt.select(*own, "key", "n", "embedding")
+        .repartition(_tasks(n_shards), *own)
+        .groupBy(*own)
         .applyInPandas(_build, "label string, size int, shards int, shard int, keys binary, counts binary, graph binary"),
         "graphs",
     )
@@ -188,7 +191,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shard:
         "*", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high")
     )
     found = keep(
-        pairs.groupBy("label", "size", "low", "high").applyInPandas(_link(threshold), "key long, links long, root long"),
+        pairs.repartition(_tasks(n_pairs), "label", "size", "low", "high")
+        .groupBy("label", "size", "low", "high")
+        .applyInPandas(_link(threshold), "key long, links long, root long"),
         "links",
     )
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
@@ -212,6 +217,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shard:
     )
 
 
+def _tasks(groups: int | None) -> int:
+    """A group is small in bytes and long in work, so nearly each gets a task of its own, whatever AQE would put together."""
+    return min(4 * (groups or 1), 20_000)
+
+
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("key", kind="stable")  # the same graph whatever order the rows arrive in
     x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
