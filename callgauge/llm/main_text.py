@@ -3,11 +3,13 @@
 1. Strip markup: comments, scripts, styles, forms and other elements without prose go with their content, and so do
    elements that say they are menus, page headers or footers, sidebars, notices, adverts, sharing bars or reader comments,
    by tag, role, class or id. What stays is cut into lines at block-level tags, one per block.
-2. A line weighs its text without the text of links. Where the page names its article (``article``, ``main`` or that
-   role; the largest if there are several), lines outside of it weigh nothing and lines inside never weigh nothing.
+2. A line weighs its text without the text of links. Lines of an element that the page names its article (``article``,
+   ``main``) weigh 1 at least, and no stretch goes over the border of such an element.
 3. Weights are summed over windows of ``SPAN`` lines. Text lies between the points where the sum leaves zero and where it
    dives to zero again; it counts if the sum surges beyond ``SURGE`` in between, so headings and short paragraphs next to
-   long ones stay. If no stretch surges, the heaviest is taken. Lines between are kept whole, in page order.
+   long ones stay. Naming an article moves that bar by the factor ``PRIOR``: down inside of it, up outside. All stretches
+   that surge are taken, so an article in several elements is whole and a text beside teaser cards is found; if none
+   surges, the heaviest. Lines between are kept whole, in page order.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. A null or
 empty page, or one without text, has the empty text. Pages are handled one by one, so equal pages give equal texts
@@ -19,12 +21,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Lines in a window, and the characters that a window of a text exceeds.
 SPAN, SURGE = 3, 86
+#: How much easier a stretch surges in an element named as article than on other pages, and harder beside one.
+PRIOR = 1.5
 # Element names of HTML, and words sites use for what is not the article.
 RAW = "script|style|textarea|title"
 SKIPPED = "noscript|template|svg|math|iframe|object|select|button|audio|video|canvas"
@@ -144,28 +149,38 @@ def _lines(page: str) -> list[_Line]:
 def main_text(page: str | None) -> str:
     """The article's text, one line per block."""
     lines = [(line, text) for line in _lines(page or "") if (text := _plain(line.parts))]
-    sizes: dict[int, int] = {}
-    for line, text in lines:
-        sizes[line.region] = sizes.get(line.region, 0) + len(text)
-    named = max((r for r in sizes if r), key=lambda r: (sizes[r], -r), default=0)
     weights = []
     for line, text in lines:
         weight = len(text) - len(_plain(line.linked))
-        weights.append((max(weight, 1) + SURGE if line.region == named else 0) if named else weight)
-    sums = [sum(weights[i : i + SPAN]) for i in range(len(lines))]
+        weights.append(max(weight, 1) if line.region else weight)
+    named = any(line.region for line, _ in lines)
     runs: list[tuple[int, int]] = []  # from where the sum leaves zero to the last line before it is zero again
+    surging: list[tuple[int, int]] = []
+    at = 0
+    for region, group in groupby(line.region for line, _ in lines):
+        end = at + sum(1 for _ in group)
+        bar = SURGE / PRIOR if region else SURGE * PRIOR if named else SURGE
+        sums = [sum(weights[i : min(i + SPAN, end)]) for i in range(at, end)]
+        for first, last in _stretches(weights[at:end], sums):
+            runs.append((at + first, at + last))
+            if max(sums[first:last]) > bar:
+                surging.append(runs[-1])
+        at = end
+    # a line in an article counts a surge more, so the heaviest stretch is outside only if it outweighs that
+    heaviest = sorted(runs, key=lambda run: -sum(weights[i] + (SURGE if lines[i][0].region else 0) for i in range(*run)))
+    return "\n".join(text for start, end in surging or heaviest[:1] for _, text in lines[start:end])
+
+
+def _stretches(weights: list[int], sums: list[int]) -> Iterator[tuple[int, int]]:
     start = None
     for i, weight in enumerate(weights):
         if start is None and weight:
             start = i
-        elif start is not None and not weight and (named or not sums[i]):
-            runs.append((start, i))
+        elif start is not None and not weight and not sums[i]:
+            yield start, i
             start = None
     if start is not None:
-        runs.append((start, max(i for i, weight in enumerate(weights) if weight) + 1))
-    surging = [run for run in runs if max(sums[run[0] : run[1]]) > SURGE]
-    kept = surging or sorted(runs, key=lambda run: -sum(weights[run[0] : run[1]]))[:1]
-    return "\n".join(text for start, end in kept for _, text in lines[start:end])
+        yield start, max(i for i, weight in enumerate(weights) if weight) + 1
 
 
 def extracted(page: Column) -> Column:

@@ -40,6 +40,19 @@ def test_largest_article_wins():
     assert main_text(page) == f"{PROSE.strip()}\nEnd"
 
 
+def test_article_in_several_elements():
+    page = f"<article><h1>Part one</h1><p>{PROSE * 3}</p></article><p><a>More</a></p><article><p>{PROSE}</p></article>"
+    assert main_text(page) == f"Part one\n{' '.join([PROSE.strip()] * 3)}\n{PROSE.strip()}"
+
+
+def test_text_beside_teaser_cards():
+    text = f"<div><h1>Headline</h1><p>{PROSE * 2}</p><p>Short.</p><p>{PROSE}</p></div>"
+    cards = "".join(f'<article><a href="/{i}">A card with a long linked title of a page {i}</a><p>Teaser</p></article>' for i in range(4))
+    p = PROSE.strip()
+    for page in (text + cards, cards + text):
+        assert main_text(page) == f"Headline\n{p} {p}\nShort.\n{p}"
+
+
 def test_odd_pages(spark):
     pages = [None, "", "<", "<p", "&", "<!-- open", "<script>open", f"<main>{PROSE}", "<div>" * 5000, "text <a href='" + "x" * 500, "a\x00b", "short text"]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string")
