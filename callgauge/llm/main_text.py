@@ -2,7 +2,9 @@
 
 1. Strip markup: comments, scripts, styles, forms and other elements without prose go with their content, and so do
    elements that say they are menus, page headers or footers, sidebars, notices, adverts, sharing bars or reader comments,
-   by tag, role, class or id. What stays is cut into lines at block-level tags, one per block.
+   by tag, role or a whole class name or id (``sidebar``, ``left-sidebar``; not ``has-sidebar``). They end at their end
+   tag, at that of an element around them, or where HTML implies the end. By role, class or id, none goes that holds the
+   article or most of the unlinked text. What stays is cut into lines at block-level tags, one per block.
 2. A line weighs its text without the text of links. Lines of an element that the page names its article (``article``,
    ``main``) weigh 1 at least, and no stretch goes over the border of such an element.
 3. Weights are summed over windows of ``SPAN`` lines. Text lies between the points where the sum leaves zero and where it
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -40,17 +43,42 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav aside form menu dialog search footer header".split())
-LOST = ASIDE | frozenset(SKIPPED.split("|"))
+SKIPS = frozenset(SKIPPED.split("|"))
+LOST = ASIDE | SKIPS
 #: Page parts that may also stand inside an article and then belong to it.
 FRAME = frozenset(("footer", "header"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|header|masthead|banner|ads?|advert|advertisement|"
-    r"adsense|sponsor|sponsored|promo|promotion|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|signup|login|comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommended|"
-    r"widget|pagination|pager|toolbar|skip-?link|copyright|disclaimer)(?=$|[\s_-])",
-    re.IGNORECASE,
+_WORDS = (
+    "nav|navbar|navigation|menu|breadcrumbs?|side-?bar|masthead|banner|ads?|advert|advertisement|adsense|sponsor|sponsored|"
+    "promo|promotion|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+    "comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommended|widget|pagination|pager|"
+    "toolbar|skip-?link|copyright|disclaimer"
 )
+_FRAMES = "footer|header"
+_PLACES = "site|main|top|bottom|left|right|primary|secondary|global|mobile|desktop"
+_SHAPES = rf"{_PLACES}|\d+|area|block|box|bar|section|wrapper|wrap|container|inner|outer|list|links?|items?|buttons?|icons?|posts?|form"
+
+
+def _names(words: str) -> re.Pattern[str]:
+    """Class names made of the words, with places before and places or shapes after."""
+    return re.compile(rf"(?<!\S)(?:(?:{_PLACES})[_-]+)*(?:{words})(?:[_-]+(?:{words}|{_SHAPES}))*(?!\S)", re.IGNORECASE)
+
+
+#: Names of parts; of those that are no such part inside an article; of those that may be longer than the article.
+NOISE, FRAMED, LONG = _names(_WORDS), _names(_FRAMES), _names("comments?|commentlist|replies|disqus|cookies?|consent|gdpr")
+# Where HTML implies end tags: an element, what it ends when it begins, and inside of what the search stops.
+CELLS = ("td", "th", "caption", "table")
+ENDS_P = BLOCKS - frozenset("body caption dd dt frameset html legend li option tbody td tfoot th thead tr".split())
+IMPLIED = (
+    {tag: (("p",), CELLS) for tag in ENDS_P}
+    | {"li": (("li",), ("ul", "ol", "menu", "dir", *CELLS)), "option": (("option",), ("select",))}
+    | {tag: (("dd", "dt"), ("dl", *CELLS)) for tag in ("dd", "dt")}
+    | {tag: (("td", "th"), ("tr", "table")) for tag in ("td", "th")}
+    | {"tr": (("tr",), ("table",))}
+    | {tag: (("tbody", "thead", "tfoot"), ("table",)) for tag in ("tbody", "thead", "tfoot")}
+)
+#: Elements whose end tags end whatever is open in them.
+FAR = frozenset("a article main table caption tbody thead tfoot tr td th html body".split()) | SKIPS
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -79,29 +107,120 @@ def _plain(parts: list[str]) -> str:
 
 def _is_aside(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element says it is not the article's text."""
-    if tag in LOST and not (inside and tag in FRAME):
-        return True
+    return tag in LOST and not (inside and tag in FRAME) or bool(_says_aside(tag, attrs, inside))
+
+
+def _says_aside(tag: str, attrs: str, inside: bool) -> str:
+    """The attribute by which an element says so, if any: ``long`` for names of parts that may outgrow the article."""
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return ""
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values)
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and NOISE.search(value):
-            return True
+        if name in ("class", "id") and (NOISE.search(value) or not inside and FRAMED.search(value)):
+            return "long" if LONG.search(value) else name
+        if name == "role" and value.lower() in ROLES:
+            return name
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return name
         if name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
-    return False
+            return name
+    return ""
+
+
+class _Tree:
+    """Where elements end and how much unlinked text they hold; tokens are known by number."""
+
+    def __init__(self, page: str, tokens: list[re.Match[str]]):
+        n = len(tokens)
+        self.ends = [n] * n  # the token at which an element ends
+        self.closed = [False] * n  # whether that is its own end tag
+        self.text = [0] * (n + 1)  # unlinked text before a token
+        self.articles: list[int] = []  # tokens at which articles and the like begin
+        open_: list[tuple[int, str]] = []
+        at_of: dict[str, list[int]] = {}  # places in ``open_`` by name
+        blocks: list[int] = []
+        unread = at = 0  # open elements whose text does not count
+
+        def last(names: tuple[str, ...]) -> int:
+            return max((at_of[x][-1] for x in names if at_of.get(x)), default=-1)
+
+        def end(place: int, token: int) -> None:
+            nonlocal unread
+            while len(open_) > place:
+                number, name = open_.pop()
+                at_of[name].pop()
+                if blocks and blocks[-1] == len(open_):
+                    blocks.pop()
+                unread -= name == "a" or name in SKIPS
+                self.ends[number] = token
+
+        for i, m in enumerate(tokens):
+            more = 0 if unread or m.start() == at else len("".join(page[at : m.start()].split()))
+            self.text[i] = (self.text[i - 1] if i else 0) + more
+            at = m.end()
+            if (tag := m["tag"]) is None:
+                continue
+            tag = tag.lower()
+            if m["close"]:
+                place = last((tag,))
+                # text-level end tags do not reach over a block, those of blocks not out of a table's cell
+                bound = -1 if tag in FAR else last(CELLS) if tag in BLOCKS else blocks[-1] if blocks else -1
+                if place > bound:
+                    self.closed[open_[place][0]] = True
+                    end(place, i)
+                continue
+            if tag in IMPLIED:
+                ended, bounds = IMPLIED[tag]
+                if (place := last(ended)) > last(bounds):
+                    end(place, i)
+            elif tag == "a" and (place := last(("a",))) >= 0 and (not blocks or place > blocks[-1]):
+                end(place, i)
+            if tag in ("article", "main") and not _is_aside(tag, m["attrs"], False):
+                self.articles.append(i)
+            if tag not in VOID and not m["attrs"].endswith("/"):
+                at_of.setdefault(tag, []).append(len(open_))
+                if tag in BLOCKS:
+                    blocks.append(len(open_))
+                open_.append((i, tag))
+                unread += tag == "a" or tag in SKIPS
+        rest = 0 if unread else len("".join(page[at:].split()))
+        self.text[n] = (self.text[n - 1] if n else 0) + rest
+
+    def article_in(self, number: int) -> int | None:
+        """The first article that begins in an element."""
+        place = bisect_right(self.articles, number)
+        return self.articles[place] if place < len(self.articles) and self.articles[place] < self.ends[number] else None
+
+    def holds_most(self, number: int, long: bool = False) -> bool:
+        """Most of the page's text; of an element that may be long, so much that no text is left."""
+        held = self.text[self.ends[number]] - self.text[number]
+        return 2 * held > self.text[-1] and not (long and self.text[-1] - held > SURGE)
+
+    def stripped_to(self, number: int, tag: str, attrs: str, depth: int, nested: int) -> int | None:
+        """The token where a stripped element ends; None if the element stays."""
+        if tag in LOST and not (depth and tag in FRAME):
+            if tag in ASIDE and (tag == "form" or not self.closed[number]) and self.holds_most(number):
+                return None
+            # a menu or header that was never closed ends where the article begins
+            return self.ends[number] if (article := self.article_in(number)) is None else article
+        said = _says_aside(tag, attrs, nested > 0 or depth > 0 and tag in FRAME)
+        if not said or self.holds_most(number, said == "long"):
+            return None
+        return None if said != "long" and not nested and self.article_in(number) is not None else self.ends[number]
 
 
 def _lines(page: str) -> list[_Line]:
     """Lines of the page outside of stripped parts; ``region`` numbers the article a line is in, 0 outside."""
+    tokens = list(TOKEN.finditer(page))
+    tree = _Tree(page, tokens)
     lines = [_Line(0)]
     region = regions = depth = links = 0  # depth: of articles open
-    dropped, nested = "", 0  # the stripped element we are in, and how many of its name are open
-    at = 0
-    for m in TOKEN.finditer(page):
-        if not dropped and m.start() > at:
+    nested = 0  # of these, the ``article`` elements
+    resume = at = 0  # token and place in the page where a stripped part has ended
+    for i, m in enumerate(tokens):
+        if i < resume:
+            continue
+        if m.start() > at:
             text = page[at : m.start()]
             lines[-1].parts.append(text)
             if links:
@@ -111,18 +230,11 @@ def _lines(page: str) -> list[_Line]:
             continue
         tag, attrs = tag.lower(), m["attrs"]
         closing = bool(m["close"])
-        if dropped:
-            if tag == dropped and not attrs.endswith("/"):
-                nested += -1 if closing else 1
-                if not nested:
-                    dropped = ""
-            elif tag in ("article", "main") and not closing and dropped in LOST and not _is_aside(tag, attrs, False):
-                dropped, nested = "", 0  # a menu or header that was never closed ends where the article begins
-            if dropped or closing:
-                continue
-        if not closing and tag not in VOID and _is_aside(tag, attrs, depth > 0):
+        if not closing and tag not in VOID and (stop := tree.stripped_to(i, tag, attrs, depth, nested)) is not None:
             if not attrs.endswith("/"):
-                dropped, nested = tag, 1
+                own = stop == tree.ends[i] and tree.closed[i]
+                resume = stop + own
+                at = len(page) if stop == len(tokens) else tokens[stop].end() if own else tokens[stop].start()
             if tag in BLOCKS:
                 lines.append(_Line(region))
             continue
@@ -139,9 +251,11 @@ def _lines(page: str) -> list[_Line]:
                     if depth == 1:
                         regions += 1
                 region = regions if depth else 0
+                if tag == "article":
+                    nested = max(0, nested + (-1 if closing else 1))
             links = 0
             lines.append(_Line(region))
-    if not dropped and at < len(page):
+    if at < len(page):
         lines[-1].parts.append(page[at:])
     return lines
 

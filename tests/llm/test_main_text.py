@@ -53,6 +53,40 @@ def test_text_beside_teaser_cards():
         assert main_text(page) == f"Headline\n{p} {p}\nShort.\n{p}"
 
 
+def test_names_that_only_contain_a_noise_word():
+    page = f"""<div class="page has-sidebar"><article><header class="entry-header header"><h1>Title</h1></header><p>{PROSE}</p>
+    <p class="share-price">Price</p><div class="post-sidebar-left main-sidebar">{PROSE}</div></article></div>"""
+    assert main_text(page) == f"Title\n{PROSE.strip()}\nPrice"
+
+
+def test_parts_that_hold_the_text_stay():
+    text = f"<h1>Title</h1><p>{PROSE}</p><p>End</p>"
+    want = f"Title\n{PROSE.strip()}\nEnd"
+    for page in (
+        f'<div class="widget"><article>{text}</article></div>',
+        f'<main><div class="widget"><article>{text}</article></div></main>',
+        f'<div id="modal">{text}</div><div class="banner"><p>Buy this</p></div>',
+        f'<form><div>{text}</div></form><div class="comments"><p>{PROSE}</p></div>',
+    ):
+        assert main_text(page) == want
+    long = f'<article>{text}</article><div class="comments">{f"<p>{PROSE}</p>" * 9}</div>'
+    assert main_text(long) == want
+
+
+def test_stripped_parts_without_end_tag():
+    p = PROSE.strip()
+    assert main_text(f"<article><p class=notice>Old<p>{PROSE}</p><p>End</p></article>") == f"{p}\nEnd"
+    assert main_text(f"<article><ul><li class=social>Like<li>One<li>Two</ul><p>{PROSE}</p></article>") == f"One\nTwo\n{p}"
+    assert main_text(f"<table><tr><td class=ad>Buy<td>{PROSE}<tr class=menu><td>Home<tr><td>End</table>") == f"{p}\nEnd"
+    assert main_text(f"<article><section><div class=ad>Buy</section><p>{PROSE}</p></article>") == p
+    assert main_text(f"<article><p>{PROSE} <span class=ad>Buy</p><p>End</p></article>") == f"{p}\nEnd"
+
+
+def test_stripping_in_linear_time():
+    page = f"<div>{'<div class=ad><i>' * 100_000}{'</b></i></p>' * 100_000}</div><p>{PROSE}</p>"
+    assert main_text(page) == PROSE.strip()
+
+
 def test_odd_pages(spark):
     pages = [None, "", "<", "<p", "&", "<!-- open", "<script>open", f"<main>{PROSE}", "<div>" * 5000, "text <a href='" + "x" * 500, "a\x00b", "short text"]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string")
