@@ -3,9 +3,10 @@
 Vectors are compared with those of the same label (and length) only. Equal vectors are first folded into one class. The
 classes of a label are dealt over shards of about ``SHARD`` classes by hash, and one task builds each shard's graph. Then
 every shard is queried with the vectors of every shard of its label, a task per pair of shards: a beam search descends the
-graph, and from the beam all vectors beyond the threshold are collected along the links. An audit compares some of the
-queries with brute force; the beam is widened until the audit finds ``RECALL`` of the true links (at the shard's size the
-search is exhaustive). Cosines are verified in double precision. A task returns, per class, how many vectors it links to,
+graph, and from the beam all vectors beyond the threshold are collected along the links. An audit compares random queries
+with brute force until ``AUDIT`` of them have links, not counting a vector's match with itself. The beam is widened until
+it finds ``RECALL`` of these links, and of the links of a query on average, so that a large group does not hide a lost
+pair. Where ``MOST`` queries hold fewer with links, or the beam would reach the shard's size, the search is exhaustive. Cosines are verified in double precision. A task returns, per class, how many vectors it links to,
 and a spanning forest of the links, so no task emits all pairs of a group; components are united over all shards.
 
 Vectors that are null, empty, all zero, or hold null or non-finite numbers, and rows without id or label, link with
@@ -27,8 +28,8 @@ from callgauge.llm.shared import components, keep
 THRESHOLD, SHARD, RECALL = 0.93, 8192, 0.99
 #: Neighbours kept per node (twice as many on the ground layer), beam while building, first beam of a query.
 M, BUILD, BEAM = 12, 48, 48
-#: Nodes expanded at once, and queries that an audit compares with brute force.
-STRIDE, AUDIT = 8, 256
+#: Nodes expanded at once, queries with links that an audit needs, and queries it compares with brute force at most.
+STRIDE, AUDIT, MOST = 8, 256, 2048
 
 
 class Graph:
@@ -135,19 +136,39 @@ class Graph:
 
 def hits(queries: np.ndarray, graph: Graph, threshold: float, recall: float = RECALL) -> np.ndarray:
     """Matrix (query, node) of the links found; the beam widens until the audit passes."""
+    return searched(queries, graph, threshold, recall)[0]
+
+
+def searched(queries: np.ndarray, graph: Graph, threshold: float, recall: float = RECALL) -> tuple[np.ndarray, bool]:
+    """The matrix of ``hits``, and whether the search was exhaustive."""
     n = len(graph.x)
-    some = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[some] @ graph.x.T >= threshold
-    width = BEAM
-    while width < n:
-        audited = _ask(queries[some], graph, threshold, width)
-        if (audited & truth).sum() >= recall * truth.sum():
-            return _ask(queries, graph, threshold, width)
-        width *= 2
+    order = np.random.default_rng(7).permutation(len(queries))
     out = np.zeros((len(queries), n), bool)
-    for at in range(0, len(queries), 512):
-        out[at : at + 512] = queries[at : at + 512] @ graph.x.T >= threshold
-    return out
+    own = queries is graph.x  # then each query matches itself, which needs no link of the graph
+    at = linked = 0
+    while linked < AUDIT and at < min(MOST, len(queries)):
+        some = order[at : at + AUDIT]
+        out[some] = queries[some] @ graph.x.T >= threshold
+        others = out[some].sum(axis=1) - (out[some, some] if own else 0)
+        linked += int((others > 0).sum())
+        at += len(some)
+    some, rest = order[:at], order[at:]
+    if linked >= AUDIT:
+        truth = out[some]
+        if own:
+            truth[np.arange(at), some] = False
+        true = truth.sum(axis=1)
+        width = BEAM
+        while width < n:
+            found = (_ask(queries[some], graph, threshold, width) & truth).sum(axis=1)
+            share = (found[true > 0] / true[true > 0]).mean()
+            if min(share, found.sum() / true.sum()) >= recall:
+                out[rest] = _ask(queries[rest], graph, threshold, width)
+                return out, False
+            width *= 2
+    for at in range(0, len(rest), 512):
+        out[rest[at : at + 512]] = queries[rest[at : at + 512]] @ graph.x.T >= threshold
+    return out, True
 
 
 def _ask(queries: np.ndarray, graph: Graph, threshold: float, width: int) -> np.ndarray:
@@ -256,8 +277,9 @@ def _link(threshold: float):
             links, names = matrix @ counts[0], keys[0]
             root = _roots(matrix, None)
         else:
-            matrix = hits(graphs[0].x, graphs[1], threshold)
-            matrix |= hits(graphs[1].x, graphs[0], threshold).T
+            matrix, exhaustive = searched(graphs[0].x, graphs[1], threshold)
+            if not exhaustive:
+                matrix |= hits(graphs[1].x, graphs[0], threshold).T
             links = np.concatenate((matrix @ counts[1], matrix.T @ counts[0]))
             names = np.concatenate(keys)
             root = _roots(matrix, matrix.T)

@@ -78,3 +78,36 @@ def test_audit_widens_the_beam(monkeypatch):
     graph = hnsw.Graph(x)
     graph.layers = [np.full((300, 24), -1, np.int32)]
     assert (hnsw.hits(x, graph, 0.8) == (x @ x.T >= 0.8)).all()
+
+
+def sparse(n, dim, pairs, seed):
+    """Two shards in which few vectors have a near copy: in the own shard, in the other."""
+    draw = np.random.default_rng(seed)
+    x, y = draw.normal(size=(2, n, dim))
+    x[1 : 2 * pairs : 2] = x[: 2 * pairs : 2] + draw.normal(size=(pairs, dim)) * 0.1
+    y[:pairs] = x[-pairs - 1 : -1] + draw.normal(size=(pairs, dim)) * 0.1
+    return [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y)]
+
+
+def test_sparse_links_that_the_graph_has_not(monkeypatch):
+    """Neither a vector's match with itself nor an audit without links passes for a link that was found."""
+    x, y = sparse(1500, 32, 1, 8)
+    lost = hnsw.Graph(y[:1])
+    lost.x, lost.layers = y, [np.full((1500, 24), -1, np.int32)]
+    assert (x @ y.T >= 0.93).sum() == 1
+    assert (hnsw.hits(x, lost, 0.93) == (x @ y.T >= 0.93)).all()
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, threshold, width: np.nonzero(self.x @ q > 0.999999)[0])
+    lost.x = x
+    assert (hnsw.hits(x, lost, 0.93) == (x @ x.T >= 0.93)).all()
+
+
+def test_a_large_group_does_not_hide_lost_pairs(monkeypatch):
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(1200, 16))
+    x[:400] = x[0] + draw.normal(size=(400, 16)) * 0.01
+    x[401:800:2] = x[400:800:2] + draw.normal(size=(200, 16)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x[:1])
+    graph.x, group = x, np.arange(400)
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, threshold, width: group[x[:400] @ q >= threshold])
+    assert (hnsw.hits(x, graph, 0.93) == (x @ x.T >= 0.93)).all()
