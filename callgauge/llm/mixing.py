@@ -7,7 +7,9 @@ come first in a seeded order, up to the one whose middle lies beyond what is lef
 
 Only DataFrame operations. Totals are sums with map-side combination, so a source with any share of the rows is no
 single task's work. The seeded order is a hash of the id; where it has to be cut is found by sums over 256 ranges of the
-hash, then over 256 ranges of that one, and only the rows of the last range (a 65,536th of a source) are put in order.
+hash, then over 256 ranges of that one, and only the distinct ids and sizes of the last range (a 65,536th of a source's
+ids) are put in order. Of rows with equal id and size only as many are taken once more as fit; they are numbered partition
+by partition, so a source may be one repeated row.
 
 Null texts have size 0. The null source is a source like any other, last in order. Rows with equal id and size rank in
 any order and get equal results as a set. Documents of size 0 take nothing. An empty table gives an empty result.
@@ -79,19 +81,25 @@ def plan(
     aimed = aimed.withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    # ranges of the order that lie wholly before the cut, twice; then row by row
+    # ranges of the order that lie wholly before the cut, twice; then by id and size
     coarse, fine = F.substring("place", 1, 2), F.substring("place", 1, 4)
     first = _cut(rows.select("source", "size", coarse.alias("range")), aimed.select(F.col("source").alias("s"), "rest"))
     second = _cut(_inside(rows, first, coarse).select("source", "size", fine.alias("range")), first.select("s", "rest"))
-    running = F.sum("size").over(
+    ties = _inside(rows, second, fine).groupBy("source", "place", "size").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))
+    end = F.sum(F.col("size") * F.col("n")).over(
         Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    ties = ties.withColumn("before", end - F.col("size") * F.col("n"))
+    fits = lambda i: (F.col("before") + i * F.col("size") - F.col("size") / 2 <= F.col("rest")).cast("long")
+    near = F.floor((F.col("rest") - F.col("before")) / F.col("size") + 0.5)  # off by one at most, by rounding
+    take = F.greatest(F.lit(0), F.least(F.col("n"), near - 1 + fits(near) + fits(near + 1)))
     last = (
-        _inside(rows, second, fine)
-        .withColumn("middle", running - F.col("size") / 2)
-        .where(F.col("middle") <= F.col("rest"))
+        ties.withColumn("take", take)
         .groupBy(F.col("source").alias("t"))
-        .agg(F.max(F.struct("place", "size")).alias("last"))
+        .agg(
+            F.max(F.when(F.col("take") == F.col("n"), F.struct("place", "size"))).alias("last"),
+            F.max(F.when((F.col("take") > 0) & (F.col("take") < F.col("n")), F.struct("place", "size", "take"))).alias("tie"),
+        )
     )
     cuts = second.select("s", "cut").join(last, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
     planned = aimed.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
@@ -105,9 +113,22 @@ def repeated(rows: DataFrame, planned: DataFrame, size: Column, place: Column, n
     fine, cut = F.substring(place, 1, 4), F.col(has)["cut"]
     before = (fine < cut) | ((fine == cut) & (F.struct(place, size) <= F.col(has)["last"]))
     repeats = F.col(has)["whole"] + F.coalesce(before, F.lit(False)).cast("long")
-    made = [F.col(has)["source_size"], F.col(has)["target"], repeats, size * repeats]
-    joined = rows.join(packed, F.col("source").eqNullSafe(F.col(key)))
-    return joined.select(*rows.columns, *[c.alias(name) for c, name in zip(made, names)])
+    made = lambda repeats: [F.col(has)["source_size"], F.col(has)["target"], repeats, size * repeats]
+    named = lambda df, repeats: df.select(*rows.columns, *[c.alias(name) for c, name in zip(made(repeats), names)])
+    planned_for = F.col("source").eqNullSafe(F.col(key))
+    if planned.where("tie is not null").isEmpty():
+        return named(rows.join(packed, planned_for), repeats)
+    tie = F.col(has)["tie"]
+    split = F.coalesce((place == tie["place"]) & (size == tie["size"]), F.lit(False))
+    part, n, rank, t, u = (fresh(rows, name) for name in ("plan_part", "plan_n", "plan_rank", "plan_t", "plan_u"))
+    tied = keep(rows.withColumn(part, F.spark_partition_id()).join(packed, planned_for).where(split), "mix-ties")
+    counts = tied.groupBy(F.col("source").alias(t), F.col(part).alias(u)).agg(F.count("*").alias(n))
+    counts = counts.withColumn(n, F.sum(n).over(Window.partitionBy(t).orderBy(u)) - F.col(n))
+    ranked = tied.withColumn(rank, F.row_number().over(Window.partitionBy("source", part).orderBy(part))).join(
+        counts, F.col("source").eqNullSafe(F.col(t)) & (F.col(part) == F.col(u))
+    )
+    more = (F.col(rank) + F.col(n) <= tie["take"]).cast("long")
+    return named(rows.join(packed, planned_for).where(~split), repeats).unionByName(named(ranked, F.col(has)["whole"] + more))
 
 
 def mix(documents: DataFrame, seed: str = SEED, **how) -> DataFrame:

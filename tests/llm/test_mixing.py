@@ -46,6 +46,17 @@ def test_taken_comes_near_the_target(spark):
     assert sorted(got, key=repr) == sorted(again, key=repr)
 
 
+def test_only_as_many_equal_rows_as_fit(spark):
+    rows = [(7, "a b c", "hot")] * 400 + [(None, "a b", "none")] * 300 + [(7, "a b c", None)] * 500
+    rows += [(i, "w " * (1 + i % 9), "other") for i in range(300)]
+    df = docs(spark, rows, ["plan_part", "size", "tie"]).repartition(5)
+    first = mixing.mix(df)
+    assert first.count() == len(rows)
+    by = first.groupBy("source", "target").agg(F.sum("taken").alias("t"), F.max("size").alias("m")).collect()
+    assert len(by) == 4 and all(abs(r.t - r.target) <= r.m for r in by)
+    assert sorted(first.collect(), key=repr) == sorted(mixing.mix(df.repartition(3)).collect(), key=repr)
+
+
 def test_empty(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     only = mixing.mix(docs(spark, [(1, ""), (2, None)])).collect()
