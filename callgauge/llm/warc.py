@@ -212,7 +212,7 @@ class _Index:
     def block(self, number: int) -> tuple[list, list]:
         if self.held[0] != number:
             _, _, offset, length = self.blocks[number]
-            lines = gzip.decompress(self._range(self.index, offset, length)).decode().splitlines()
+            lines = gzip.decompress(self._range(self.index, offset, length)).decode().split("\n")[:-1]
             entries = [line.split("\t") for line in lines]
             self.held = (number, [(e[0].encode(), int(e[1]) if e[1] else LOW) for e in entries], entries)
         return self.held[1:]

@@ -71,6 +71,12 @@ def test_archives_are_valid(spark, tmp_path):
         data = rest[length + 4 :]
 
 
+def test_urls_with_characters_that_end_lines_elsewhere(spark):
+    rows = [(i, f"http://x.org/a{c}b", f"page {i}") for i, c in enumerate("\x85\u2028\u2029\x0b\x1c\r\n")]
+    pages = spark.createDataFrame(rows, PAGES)
+    assert sorted(r.page_id for r in warc.lookup(keys(pages), warc.write(pages)).collect()) == list(range(len(rows)))
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], PAGES)
     assert warc.lookup(keys(pages), warc.write(pages)).count() == 0
