@@ -120,10 +120,20 @@ def minute_label(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.labelled(metrics.series(logs(spark, folder))).select("bucket", "label", "requests")
 
 
+#: Milliseconds by which logs are late in ``ingest_lag_late``.
+_LATE = "case coalesce(total_tokens, 0) % 4 when 1 then 70123 when 2 then 90061234 when 3 then -75321 else 0 end"
+
+
 def ingest_lag(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.ingest_lag(logs(spark, folder))
 
 
+def ingest_lag_late(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with logs stored over a minute or a day late, or early, by turns."""
+    late = F.expr(f"timestamp_millis(unix_millis(cast(ingested_at as timestamp)) + {_LATE})")
+    return metrics.ingest_lag(logs(spark, folder).withColumn("ingested_at", late))
+
+
 def logs_by_time(spark: SparkSession, folder: str) -> DataFrame:
     every = logs(spark, folder)
     return access.by_time(every, metrics.latest(every), DAY).select("request_id", "requested_at", "status")
@@ -171,6 +181,7 @@ QUERIES = {
     "compact_number": compact_numbers,
     "minute_label": minute_label,
     "ingest_lag": ingest_lag,
+    "ingest_lag_late": ingest_lag_late,
     "logs_by_time": logs_by_time,
     "logs_by_provider_model": logs_by_provider_model,
     "logs_of_conversation": logs_of_conversation,
@@ -284,6 +295,14 @@ ORACLE = {
         {rounded("percentile_cont(0.5) within group (order by lag)")} as p50_lag_ms,
         {rounded("percentile_cont(0.95) within group (order by lag)")} as p95_lag_ms, max(lag) as max_lag_ms
         from (select requested_at, epoch_ms(ingested_at) - epoch_ms(requested_at) as lag from logs) l group by 1"""),
+    # whole seconds from a minute on, whole minutes from a day on, towards zero; the worst lag is exact
+    "ingest_lag_late": statement(f"""select date_trunc('minute', requested_at) as bucket, count(*) as calls,
+        {rounded("percentile_cont(0.5) within group (order by shown)")} as p50_lag_ms,
+        {rounded("percentile_cont(0.95) within group (order by shown)")} as p95_lag_ms, max(lag) as max_lag_ms
+        from (select *, case when abs(lag) < 60000 then lag when abs(lag) < 86400000 then sign(lag) * (abs(lag) // 1000) * 1000
+            else sign(lag) * (abs(lag) // 60000) * 60000 end as shown
+            from (select requested_at, epoch_ms(ingested_at) - epoch_ms(requested_at) + {_LATE} as lag from logs) a) l
+        group by 1"""),
     "logs_by_time": statement(f"select request_id, requested_at, status from logs where {LAST_DAY}"),
     "logs_by_provider_model": statement(
         "select request_id, requested_at from logs where provider = 'openai' and model = 'large'"
