@@ -115,3 +115,58 @@ with recursive v as (
 select e.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, coalesce(e.vec_id = component_id, false) as kept
 from embeddings e left join c on c.node = e.vec_id left join n on n.a = e.vec_id
 """
+
+#: Levels of a tree that the statement has: up to 16 ** LEVELS leaves in one.
+LEVELS = 6
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Tables of a 16-ary tree over ``leaves`` (grp, pos, d, n): nodes by level as ``name_k`` with the digests beside each."""
+    steps = []
+    for k in range(LEVELS):
+        nodes = leaves if k == 0 else f"""(select grp, pos // 16 as pos, case when min(n) > 1 then sha256(string_agg(d, '' order by pos)) else min(d) end as d,
+            (min(n) + 15) // 16 as n from {name}_{k - 1} group by grp, pos // 16)"""
+        steps.append(f"""{name}_{k} as (
+  select *, coalesce(string_agg(d, '') over (w rows between unbounded preceding and 1 preceding), '') as l,
+         coalesce(string_agg(d, '') over (w rows between 1 following and unbounded following), '') as r
+  from {nodes} x window w as (partition by grp, pos // 16 order by pos)
+)""")
+    steps.append(f"{name}_top as (select grp, case when min(n) > 1 then sha256(string_agg(d, '' order by pos)) else min(d) end as d from {name}_{LEVELS - 1} group by grp)")
+    return ",\n".join(steps)
+
+
+def _way(name: str, base: str, digest: str) -> str:
+    """``base`` (grp, pos, ``digest``, ``proof``) carried up through the levels of a tree."""
+    for k in range(LEVELS):
+        base = f"""(select b.* replace (b.proof || t.l || t.r as proof, case when t.n > 1 then sha256(t.l || b.{digest} || t.r) else b.{digest} end as {digest})
+  from {base} b join {name}_{k} t on t.grp = b.grp and t.pos = b.pos // {16**k})"""
+    return base
+
+
+def _field(column: str, value: str | None = None) -> str:
+    text = value or f"{column}::varchar"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+
+MERKLE = f"""
+with d as (
+  select doc_id, coalesce('=' || source, '') as grp, sha256({_HEAD} || {_field("text")}) as leaf,
+         sha256({_HEAD} || {_field("text", _LOWER)}) as lowered, coalesce({_CRC} % 5 = 0, false) as tried
+  from documents
+), a as (
+  select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos, leaf as d, count(*) over (partition by grp) as n from d
+), {_tree("t", "(select grp, pos, d, n from a)")}, s as (
+  select grp as source, d as subroot, 0 as grp, row_number() over (order by grp collate C) - 1 as pos, d, count(*) over () as n from t_top
+), {_tree("u", "(select grp, pos, d, n from s)")}, x as (
+  select * from {_way("t", "(select *, case when tried then lowered else leaf end as f, '' as proof from a)", "f")}
+), y as (
+  select * from {_way("u", "(select x.doc_id, x.leaf, x.f, x.proof, s.grp, s.pos, s.subroot from x join s on s.source = x.grp)", "f")}
+)
+select doc_id, leaf, subroot, u_top.d as root, sha256(proof) as proof_sha256, f as folded_root, f = u_top.d as verified
+from y, u_top
+"""

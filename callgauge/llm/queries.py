@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.llm import (
+    bpe,
     chat,
     decontaminate,
     hnsw,
     main_text,
+    merkle,
     mixing,
     oracles,
+    periodic_runs,
     secret_spans,
     simhash,
     toxicity,
     url_rules,
     warc,
 )
+from callgauge.llm.shared import lower_ascii
 from callgauge.sources.tables import table
 
 
@@ -107,6 +111,60 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", _with_a_run().alias("text"))
+    found = documents.select("doc_id", periodic_runs.found(F.col("text")).alias("found"))
+    number = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    lines = F.transform("found.runs", lambda r: F.concat(number(r), F.lit("\n")))
+    ranked = F.transform("found.runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r.alias("run")))
+    longest = F.array_max(ranked)["run"]
+    told = found.select(
+        "doc_id",
+        F.size("found.runs").cast("long").alias("n_runs"),
+        longest.alias("longest"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
+    exponent = F.expr("longest.length * 1000 div longest.period").alias("exponent_milli")
+    return told.select("doc_id", "n_runs", "longest.start", "longest.length", "longest.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def _with_a_run() -> F.Column:
+    """The text of a document; in one of ten, picked by the id, a period is repeated from some word to the end."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, picked = F.size(words), F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(picked / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    repeated = F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(repeated, F.lit(1), (n - a).cast("int")))
+    return F.when((picked % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(F.col("text"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    names = [c for c in merkle.FIELDS if c != "text"]
+    tampered = merkle.leaf(*[F.col(c) for c in names], lower_ascii(F.col("text")))
+    tried = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, tampered)
+    leaf = merkle.leaf(*[F.col(c) for c in merkle.FIELDS])
+    made = merkle.manifest(documents, "source", "doc_id", leaf, tried, with_siblings=False)
+    return made.drop("source").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = table(spark, folder, "documents").select("doc_id", bpe.encoded(F.col("text"), vocabulary).alias("ids"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,6 +182,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat": op9_chat,
     "op10_embeddings": op10_embeddings,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle": op12_merkle,
+    "op13_bpe": op13_bpe,
     "pipeline": pipeline,
 }
 ORACLE = {
@@ -132,4 +193,5 @@ ORACLE = {
     "op8_decontaminate": oracles.DECONTAMINATE,
     "op9_chat": oracles.CHAT,
     "op10_embeddings": oracles.EMBEDDINGS,
+    "op12_merkle": oracles.MERKLE,
 }
