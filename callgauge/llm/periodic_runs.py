@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from callgauge.llm.shared import pieces
+
 #: Fewest words of a run, and how many periods it must hold.
 SHORTEST, PERIODS = 6, 4
 #: Words that are sorted together; a longer text is sorted by itself.
@@ -206,10 +208,11 @@ def found(text: Column, shortest: int = SHORTEST, periods: int = PERIODS) -> Col
     @F.pandas_udf("n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            # only white space of ASCII parts bytes
-            split = [(t or "").encode().split() for t in texts]
-            runs = runs_of_all(split, shortest, periods)
-            short = [b" ".join(collapse(w, r)).decode() for w, r in zip(split, runs)]
-            yield pd.DataFrame({"n_words": [len(w) for w in split], "runs": runs, "collapsed": short})
+            for piece in pieces(texts):
+                # only white space of ASCII parts bytes
+                split = [t.encode().split() for t in piece]
+                runs = runs_of_all(split, shortest, periods)
+                short = [b" ".join(collapse(w, r)).decode() for w, r in zip(split, runs)]
+                yield pd.DataFrame({"n_words": [len(w) for w in split], "runs": runs, "collapsed": short})
 
     return run(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from callgauge.session import scratch_dir
@@ -30,6 +32,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def pieces(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
+    """A batch of texts in pieces of about ``most`` characters (a longer text is one by itself), null as empty text.
+
+    What a task holds besides the batch it was given then follows the piece, however many rows a batch has.
+    """
+    piece: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        if piece and size + len(text) > most:
+            yield piece
+            piece, size = [], 0
+        piece.append(text)
+        size += len(text) + 1
+    if piece:
+        yield piece
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
