@@ -22,11 +22,12 @@ import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 
+from callgauge.llm.shared import pieces
+
 #: How words are told apart, for byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and numbers that came after Unicode 16, whose classes the pattern means.
@@ -67,6 +68,8 @@ class Vocabulary:
         #: pair of ids -> rank, and the id a rank makes
         self.ranks = {ids[a] * width + ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.makes = [ids[a + b] for a, b in pairs]
+        #: rank of each pair of bytes
+        self.of_bytes = [self.ranks.get(a * width + b, NEVER) for a in self.of_byte for b in self.of_byte]
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
         in_order = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, in_order))) if in_order else None
@@ -92,13 +95,10 @@ class Vocabulary:
         ids = [self.of_byte[b] for b in word]
         if len(ids) > SHORT:
             return self._merge_long(ids)
-        pair, width = self.ranks.get, self.width
+        pair, width, of_bytes = self.ranks.get, self.width, self.of_bytes
         bounds = list(range(len(ids) + 1))
-        ranks = [pair(a * width + b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == NEVER:
-                break
+        ranks = [of_bytes[a << 8 | b] for a, b in zip(word, word[1:])]
+        while ranks and (least := min(ranks)) != NEVER:
             at = ranks.index(least)
             ids[at] = self.makes[least]
             del ids[at + 1], bounds[at + 1], ranks[at]
@@ -129,7 +129,8 @@ class Vocabulary:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x >= 0]
 
-    def encoder(self) -> Callable[[str], list[int]]:
+    def encoder(self) -> Callable[[str, list[int]], None]:
+        """Adds the ids of a text to a list."""
         known: dict[str, list[int]] = {}
 
         def of_text(text: str, out: list[int]) -> None:
@@ -144,15 +145,13 @@ class Vocabulary:
                         known[word] = ids
                 out += ids
 
-        def encode(text: str) -> list[int]:
-            out: list[int] = []
+        def encode(text: str, out: list[int]) -> None:
             at = 0
             for m in self.cut.finditer(text) if self.cut else ():
                 of_text(text[at : m.start()], out)
                 out.append(self.added[m[0]])
                 at = m.end()
             of_text(text[at:] if at else text, out)
-            return out
 
         return encode
 
@@ -184,23 +183,47 @@ def read_vocabulary(path: str) -> str:
 
 def encoded(text: Column, vocabulary: str) -> Column:
     """Ids of each text's tokens; ``vocabulary`` is the text of the file."""
+    return _encoded(text, vocabulary, "array<int>", lambda known, ids, ends: _lists(ids, ends))
+
+
+def round_trip(text: Column, vocabulary: str) -> Column:
+    """struct(ids, decoded): the ids of each text's tokens, and the text they decode to."""
+
+    def both(known: Vocabulary, ids: list[int], ends: list[int]) -> pa.Array:
+        back = [known.decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
+        return pa.StructArray.from_arrays([_lists(ids, ends), pa.array(back, pa.string())], ["ids", "decoded"])
+
+    return _encoded(text, vocabulary, "ids array<int>, decoded string", both)
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = Vocabulary(vocabulary).encoder()
+
+def _encoded(text: Column, vocabulary: str, kind: str, told: Callable[[Vocabulary, list[int], list[int]], pa.Array]) -> Column:
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Vocabulary(vocabulary)
+        encode = known.encoder()
         for texts in batches:
-            yield pd.Series([np.array(encode(t or ""), np.int32) for t in texts], dtype=object)
+            for piece in pieces(texts.to_pylist()):
+                ids: list[int] = []
+                ends = []
+                for t in piece:
+                    encode(t, ids)
+                    ends.append(len(ids))
+                yield told(known, ids, ends)
 
     return run(text)
 
 
+def _lists(ids: list[int], ends: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids, pa.int32()))
+
+
 def decoded(ids: Column, vocabulary: str) -> Column:
     """The text of each list of ids."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Vocabulary(vocabulary)
         for lists in batches:
-            yield pd.Series([None if i is None else known.decode(np.asarray(i).tolist()) for i in lists], dtype=object)
+            yield pa.array([None if i is None else known.decode(i) for i in lists.to_pylist()], pa.string())
 
     return run(ids)

@@ -156,12 +156,12 @@ def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = table(spark, folder, "documents").select("doc_id", bpe.encoded(F.col("text"), vocabulary).alias("ids"))
-    return ids.select(
+    found = table(spark, folder, "documents").select("doc_id", bpe.round_trip(F.col("text"), vocabulary).alias("found"))
+    return found.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+        F.size("found.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("found.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("found.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -18,6 +18,17 @@ PARTS = [
 ]
 
 
+def encoder(vocabulary):
+    add = vocabulary.encoder()
+
+    def encode(text):
+        out = []
+        add(text, out)
+        return out
+
+    return encode
+
+
 @pytest.fixture(scope="module")
 def source():
     return bpe.read_vocabulary(PATH)
@@ -30,7 +41,7 @@ def library():
 
 def test_against_the_library(source, library):
     vocabulary, rng = bpe.Vocabulary(source), random.Random(1)
-    encode = vocabulary.encoder()
+    encode = encoder(vocabulary)
     for _ in range(5_000):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(14)))
         ids = library.encode(text, add_special_tokens=False).ids
@@ -54,7 +65,7 @@ def test_every_character_has_the_class_of_the_library(source, library):
 
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000 + "é" * 400, " " * 3000, "=" * 999, "abcdefgh" * 2000, "一龠漢" * 900])
 def test_long_words(source, library, text):
-    assert bpe.Vocabulary(source).encoder()(text) == library.encode(text, add_special_tokens=False).ids
+    assert encoder(bpe.Vocabulary(source))(text) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_both_ways_to_merge_agree(source):
@@ -66,12 +77,12 @@ def test_both_ways_to_merge_agree(source):
 
 def test_a_word_of_a_million_letters_ends(source):
     vocabulary = bpe.Vocabulary(source)
-    assert vocabulary.decode(vocabulary.encoder()("xy" * 500_000)) == "xy" * 500_000
+    assert vocabulary.decode(encoder(vocabulary)("xy" * 500_000)) == "xy" * 500_000
 
 
 def test_the_words_a_task_remembers_are_bounded(source, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 3)
-    encode = bpe.Vocabulary(source).encoder()
+    encode = encoder(bpe.Vocabulary(source))
     text = "one two three four five one two three four five"
     assert encode(text) == encode(text) and bpe.Vocabulary(source).decode(encode(text)) == text
 
@@ -88,6 +99,8 @@ def test_defined_cases(spark, source):
     df = docs(spark, [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "<|endoftext|>x")], extra=("ids", "n_tokens"))
     got = df.select("doc_id", bpe.encoded(F.col("text"), source).alias("f")).withColumn("back", bpe.decoded(F.col("f"), source)).collect()
     assert [(r.doc_id, r.f, r.back) for r in got] == [(1, [], ""), (2, [], ""), (3, [64], "a"), (3, [64], "a"), (None, [50256, 87], "<|endoftext|>x")]
+    both = df.select(bpe.round_trip(F.col("text"), source).alias("both")).select("both.ids", "both.decoded").collect()
+    assert [tuple(r) for r in both] == [(r.f, r.back) for r in got]
     odd = spark.createDataFrame([(None,), ([64, 99_999_999, 64],), ([],)], "f array<int>")
     assert [r[0] for r in odd.select(bpe.decoded(F.col("f"), source)).collect()] == [None, "aa", ""]
     assert df.limit(0).select(bpe.encoded(F.col("text"), source)).collect() == []
