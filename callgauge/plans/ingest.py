@@ -94,6 +94,19 @@ def log_sink(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(run)
 
 
+def log_sink_resent(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs that were stored are sent again with a time of another day, and once more after the table was compacted."""
+    run = Run(spark, "log_sink_resent")
+    run.publish(views.delivered_envelopes(spark, folder))
+    run.ingest()
+    run.publish(views.resent_envelopes(spark, folder, days=1))
+    run.ingest()
+    ingest.compact(spark, run.sink, keep=0)
+    run.publish(views.resent_envelopes(spark, folder, days=-2))
+    run.ingest()
+    return _shown(run)
+
+
 def inserted_count(spark: SparkSession, folder: str) -> DataFrame:
     run = Run(spark, "inserted_count")
     run.publish(views.delivered_envelopes(spark, folder))
@@ -149,6 +162,7 @@ QUERIES = {
     "stream_source": stream_source,
     "start_position": start_position,
     "log_sink": log_sink,
+    "log_sink_resent": log_sink_resent,
     "inserted_count": inserted_count,
     "dedupe_first": dedupe_first,
     "commit_after_write": commit_after_write,
@@ -166,6 +180,9 @@ ORACLE = {
     "stream_source": statement("select stream_seq as offset, request_id from delivered"),
     "start_position": statement("select stream_seq as offset, request_id from delivered where stream_seq % 2 = 1"),
     "log_sink": statement(STORED),
+    "log_sink_resent": statement(f"""{STORED} union all select 'new-' || event_id, '00000000-0000-4000-8000-' || lpad(lower(to_hex(conversation_id)), 12, '0'),
+        provider, status, latency_ms, total_tokens, {PREVIEW}, event_id % 5 in (0, 1), replace(metadata, ' ', ''),
+        requested_at + interval '1' day from logs where event_id % 13 = 0"""),
     "inserted_count": """select count(*) + count(*) filter (where event_id % 9 = 0) as received, cast(0 as bigint) as rejected,
         count(*) as inserted, count(*) filter (where event_id % 9 = 0) as duplicates from events""",
     "dedupe_first": statement("""select request_id, min(stream_seq) as stream_seq, cast(min_by(latency_ms + stream_seq % 10, stream_seq) as int) as latency_ms

@@ -259,6 +259,15 @@ def delivered_envelopes(spark: SparkSession, folder: str, *, exact: bool = False
     return sent.select("event_id", "requested_at", F.expr("event_id * 10 + copy as stream_seq"), to_payload(sent).alias("payload"))
 
 
+def resent_envelopes(spark: SparkSession, folder: str, days: int) -> DataFrame:
+    """Every envelope once more, ``days`` later and with another latency; some also under a new id."""
+    sent = sent_logs(spark, folder).withColumn("requested_at", F.expr(f"requested_at + interval '{days}' day"))
+    new = sent.where("event_id % 13 = 0").withColumn("request_id", F.expr("concat('new-', event_id)"))
+    both = sent.withColumn("latency_ms", F.expr("latency_ms + 1")).unionByName(new)
+    number = F.expr(f"event_id * 10 + if(request_id like 'new-%', 1, 0) + {100 + days} * 1000000000000")
+    return both.select("event_id", "requested_at", number.alias("stream_seq"), to_payload(both).alias("payload"))
+
+
 def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, str | None, str]]) -> DataFrame:
     """Every envelope with one key set to another JSON value (None takes it out), going through ``faults`` in turn."""
     listed = F.array(

@@ -15,9 +15,9 @@ from callgauge.operators.once import once
 from callgauge.schemas import INT_COLUMNS, LOG_TABLE
 from callgauge.session import prepare
 from callgauge.sources import envelopes
-from callgauge.streaming import sink as files
+from callgauge.streaming import idindex, sink as files
 
-SCOPES = ("all", "date", "state")
+SCOPES = ("index", "all", "date", "state")
 MINUTES = (
     "bucket TIMESTAMP, latency_ms INT, calls BIGINT, errors BIGINT, cancelled BIGINT, tokens BIGINT, ttft_sum BIGINT, "
     "ttft_calls BIGINT, requested_date DATE, batch_id BIGINT"
@@ -104,14 +104,16 @@ def _sum_counts(rows: DataFrame) -> DataFrame:
 
 
 def write_new(
-    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, dedupe_scope: str = "date", on_batch: Listener | None = None
+    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, dedupe_scope: str = "index", on_batch: Listener | None = None
 ) -> None:
     """Stores the rows of one micro-batch whose request id is new, and counts what became of the others.
 
     Next to the rows go their counts per minute, which the live dashboard is made of. What has no rows is not written; a
     replayed batch has the same ones.
 
-    ``date`` compares with the stored ids of the dates in the batch, which is right as long as a repeated log keeps its
+    ``index`` compares with every stored id by way of filters (:mod:`callgauge.streaming.idindex`): a request is stored
+    once whatever its time, and only files that may hold an id of the batch are read. It is brought up to date first if
+    the table was kept in another scope until now. ``date`` compares with the stored ids of the dates in the batch, which is right as long as a repeated log keeps its
     request time, as producers that send the same object again see to. ``all`` compares with every stored id and scans
     that column of the whole table. ``state`` leaves it to the stream's own state.
     """
@@ -129,9 +131,13 @@ def write_new(
         if dedupe_scope != "state" and n_good and files.exists(spark, sink):
             # a replayed batch must not find its own rows
             known = stored(spark, sink).where(F.col(files.BATCH) != batch_id)
+            if dedupe_scope == "index":
+                idindex.cover(spark, f"{sink}_ids", sink, "request_id", batch_id)
+                known = idindex.lookup(spark, f"{sink}_ids", good, "request_id", n_good, batch_id).ids
             if dedupe_scope == "date":
                 known = _of_dates(known, good.select(F.to_date("requested_at").alias("requested_date")).distinct())
-            fresh = not_stored(fresh, known, "request_id", n_good)
+            if known is not None:
+                fresh = not_stored(fresh, known, "request_id", n_good)
         inserted = 0
         if n_good:
             written = Observation()
@@ -139,6 +145,10 @@ def write_new(
             ordered = fresh.sortWithinPartitions("requested_date", "provider", "model", "requested_at")
             files.write_batch(ordered.observe(written, F.count("*").alias("rows")), batch_id, sink, "requested_date")
             inserted = written.get["rows"]
+            if dedupe_scope == "index":
+                ids = spark.read.schema(LOG_TABLE).parquet(f"{sink}/{files.BATCH}={batch_id}").select("request_id")
+                idindex.add(ids, f"{sink}_ids", batch_id, batch_id, inserted)
+                idindex.merge(spark, f"{sink}_ids", batch_id)
         if inserted:
             # read back rather than computed again: one column-pruned scan of the new files
             new_rows = spark.read.schema(LOG_TABLE).parquet(f"{sink}/{files.BATCH}={batch_id}")
@@ -167,7 +177,7 @@ def start(
     dead_letter: str,
     checkpoint: str,
     trigger: dict | None = None,
-    dedupe_scope: str = "date",
+    dedupe_scope: str = "index",
     on_batch: Listener | None = None,
 ) -> StreamingQuery:
     """Runs the job on a stream of bus entries. One writer per sink. Settings that results depend on are set on the session.

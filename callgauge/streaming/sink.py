@@ -17,6 +17,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds."""
+    return [s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path))]
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Makes an empty file."""
+    _fs(spark, path).create(_path(spark, path)).close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).delete(_path(spark, path), True)
+
+
 def write_batch(rows: DataFrame, batch_id: int, path: str, *partitions: str) -> None:
     writer = rows.write.mode("overwrite")
     if partitions:
@@ -43,15 +57,15 @@ def compact(
     finish_compaction(spark, path)
     if not exists(spark, path):
         return
-    batches = _batches(spark, path)
-    old = batches[: max(0, len(batches) - keep)]
+    numbers = batches(spark, path)
+    old = numbers[: max(0, len(numbers) - keep)]
     if len(old) < 2:
         return
     fields = [f for f in schema.fields if f.name != BATCH]
     known = read(spark, path, T.StructType([*fields, T.StructField(BATCH, T.LongType())]))
     merged = combine(known.where(F.col(BATCH) <= old[-1]))
     write_batch(merged.drop(BATCH), old[-1], f"{path}/{STAGE}", *partitions)
-    _fs(spark, path).create(_path(spark, f"{path}/{STAGE}/_DONE")).close()
+    touch(spark, f"{path}/{STAGE}/_DONE")
     finish_compaction(spark, path)
 
 
@@ -62,8 +76,8 @@ def finish_compaction(spark: SparkSession, path: str) -> None:
         return
     fs = _fs(spark, path)
     if exists(spark, f"{stage}/_DONE"):
-        for last in _batches(spark, stage):
-            for number in _batches(spark, path):
+        for last in batches(spark, stage):
+            for number in batches(spark, path):
                 if number <= last:
                     fs.delete(_path(spark, f"{path}/{BATCH}={number}"), True)
             fs.rename(_path(spark, f"{stage}/{BATCH}={last}"), _path(spark, f"{path}/{BATCH}={last}"))
@@ -78,9 +92,8 @@ def _fs(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    names = [s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path))]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}="))
+def batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in names(spark, path) if n.startswith(f"{BATCH}="))
 
 
 def newest(versions: DataFrame, *keys: str) -> DataFrame:

@@ -101,7 +101,7 @@ def stored(run):
     return {r.request_id: r.latency_ms for r in run.logs().collect()}
 
 
-@pytest.mark.parametrize("scope", ["all", "date"])
+@pytest.mark.parametrize("scope", ["index", "all", "date"])
 def test_first_write_wins_within_and_between_batches(spark, scope):
     run = Run(spark, "first")
     publish(run, (3, envelope(latencyMs=3)), (1, envelope(latencyMs=1)), (2, envelope(latencyMs=2)), (4, envelope(requestId="r2")))
@@ -126,7 +126,7 @@ def test_state_scope(spark):
     assert [tuple(r) for r in counts] == [(None, 2, 1, None), (None, 1, 1, None)]
 
 
-@pytest.mark.parametrize("scope", ["all", "date", "state"])
+@pytest.mark.parametrize("scope", ["index", "all", "date", "state"])
 def test_equal_offsets_of_two_partitions(spark, scope):
     run = Run(spark, "partitions")
     for partition in (0, 1):
@@ -159,7 +159,7 @@ def test_compaction_keeps_every_row(spark):
     minutes = sorted(tuple(r) for r in ingest.minute_counts(spark, run.sink).collect())
     total = ingest.counts(spark, run.sink).agg(*[F.sum(c) for c in ("received", "rejected", "inserted", "duplicates")]).first()
     ingest.compact(spark, run.sink)
-    assert len(sink._batches(spark, run.sink)) == 2
+    assert len(sink.batches(spark, run.sink)) == 2
     ingest.compact(spark, run.sink)
     assert sorted(tuple(r) for r in run.logs().drop("batch_id").collect()) == before
     assert sorted(tuple(r) for r in ingest.minute_counts(spark, run.sink).collect()) == minutes
@@ -214,7 +214,7 @@ def test_nothing_is_written_for_nothing(spark):
     assert not sink.exists(spark, run.dead)
     publish(run, (2, "{bad"))
     run.ingest()
-    assert sink._batches(spark, run.sink) == sink._batches(spark, f"{run.sink}_minutes") == [0]
+    assert sink.batches(spark, run.sink) == sink.batches(spark, f"{run.sink}_minutes") == [0]
 
 
 def test_live_table_is_compacted(spark):
@@ -222,7 +222,7 @@ def test_live_table_is_compacted(spark):
     for n, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("b", 3), ("c", 3)])):
         sink.write_batch(spark.createDataFrame(rows, "k string, v int"), n, run.sink)
     live.compact(spark, run.sink, "k", keep=0)
-    assert sink._batches(spark, run.sink) == [2]
+    assert sink.batches(spark, run.sink) == [2]
     assert sorted(tuple(r) for r in sink.newest(sink.read(spark, run.sink), "k").collect()) == [("a", 2), ("b", 3), ("c", 3)]
 
 
