@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.functions.tokens import estimate_prompt
 from callgauge.operators import transcript
 from callgauge.operators.calls import call_to_log
 from callgauge.plans.sql_views import statement
+from callgauge.session import scratch_dir
+from callgauge.sources import bucketed
 from callgauge.sources.tables import table
 from callgauge.sources.views import conversation_events, logs, messages, raw_calls
 
@@ -84,6 +88,28 @@ def conversation_usage(spark: SparkSession, folder: str) -> DataFrame:
     return transcript.conversation_usage(logs(spark, folder), _state(spark, folder))
 
 
+def _stored(spark: SparkSession, folder: str) -> bucketed.Store:
+    """Logs and conversations by conversation, the busier conversations apart from the others."""
+    name = f"by_conversation_{uuid.uuid4().hex}"
+    rows, known = logs(spark, folder), _state(spark, folder)
+    busy = rows.groupBy("conversation_id").count().agg(F.percentile("count", 0.9)).first()[0] or 0
+    return bucketed.write(rows, known, name, scratch_dir(spark, name), 8, wide_rows=int(busy))
+
+
+def bucketed_logs(spark: SparkSession, folder: str) -> DataFrame:
+    found = bucketed.of_conversation(spark, _stored(spark, folder), 7)
+    return found.select("request_id", "conversation_id", "requested_at")
+
+
+def bucketed_join(spark: SparkSession, folder: str) -> DataFrame:
+    joined = bucketed.with_conversation(spark, _stored(spark, folder))
+    return joined.select("request_id", "conversation_id", "title", "conversation_status")
+
+
+def bucketed_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return bucketed.usage(spark, _stored(spark, folder))
+
+
 QUERIES = {
     "list_conversations": list_conversations,
     "get_conversation": get_conversation,
@@ -98,6 +124,9 @@ QUERIES = {
     "orphan_logs": orphan_logs,
     "partial_turns": partial_turns,
     "conversation_usage": conversation_usage,
+    "bucketed_logs": bucketed_logs,
+    "bucketed_join": bucketed_join,
+    "bucketed_usage": bucketed_usage,
 }
 
 ORACLE = {
@@ -146,3 +175,6 @@ ORACLE = {
           max(latency_ms) as max_latency_ms, max(requested_at) as last_request from logs group by conversation_id) u
         left join state s on s.conv_id = u.conversation_id"""),
 }
+ORACLE["bucketed_logs"] = statement("select request_id, conversation_id, requested_at from logs where conversation_id = 7")
+ORACLE["bucketed_join"] = ORACLE["logs_with_conversation"]
+ORACLE["bucketed_usage"] = ORACLE["conversation_usage"]
