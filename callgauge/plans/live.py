@@ -10,7 +10,7 @@ from callgauge.plans.ingest import Run
 from callgauge.plans.metrics import KPI, ORACLE as METRIC_SQL
 from callgauge.plans.sql_views import statement
 from callgauge.sources import views
-from callgauge.streaming import ingest, live, sink
+from callgauge.streaming import ingest, live, panes, sink
 
 
 def _halves(rows: DataFrame) -> list[DataFrame]:
@@ -66,6 +66,30 @@ def late_data(spark: SparkSession, folder: str) -> DataFrame:
     return _ntz(kept.join(stored, "bucket", "full"))
 
 
+def _with_panes(spark: SparkSession, folder: str, name: str) -> tuple[Run, str]:
+    """The job and the state behind it, newest half first, so that most of the other half is late."""
+    run = Run(spark, name)
+    feed, kept = f"{run.topic}_feed", f"{run.sink}_panes"
+    for half in reversed(_halves(views.delivered_envelopes(spark, folder))):
+        run.publish(half)
+        run.ingest(feed=feed)
+        panes.start(spark, feed, kept, f"{run.checkpoint}_panes").awaitTermination()
+    return run, kept
+
+
+def minute_panes(spark: SparkSession, folder: str) -> DataFrame:
+    """Minutes out of the state, those with late rows out of the kept counts, and how many rows were late."""
+    run, kept = _with_panes(spark, folder, "minute_panes")
+    found = panes.minutes(spark, kept, ingest.minute_counts(spark, run.sink)).join(panes.late(spark, kept), "bucket", "left")
+    return _ntz(found).select("bucket", "requests", "errors", "p95", F.coalesce("late", F.lit(0)).alias("late"))
+
+
+def trailing_panes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every window of 15 minutes, moving by one."""
+    run, kept = _with_panes(spark, folder, "trailing_panes")
+    return _ntz(panes.windows(spark, kept, ingest.minute_counts(spark, run.sink)))
+
+
 MESSAGE = "conversation_id BIGINT, turn BIGINT, role STRING, content STRING, token_count INT, created_at TIMESTAMP"
 
 
@@ -89,13 +113,31 @@ def conversation_touch(spark: SparkSession, folder: str) -> DataFrame:
     return current.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
+EVENT = "conv_id BIGINT, seq BIGINT, kind STRING, title STRING, provider STRING, event_at TIMESTAMP"
+
+
+def conversation_live(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations folded from their events as these come, in no order: four deliveries, each of them one micro-batch."""
+    run = Run(spark, "conversation_live")
+    events = views.conversation_events(spark, folder).withColumn("part", F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4)))
+    for part in (3, 1, 0, 2):
+        events.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(run.topic)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(run.topic)
+    live.start(live.conversations(stream), run.sink, run.checkpoint).awaitTermination()
+    current = sink.newest(sink.read(spark, run.sink), "conv_id")
+    return current.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+
+
 QUERIES = {
     "minute_tumbling": minute_tumbling,
     "poll_refresh": poll_refresh,
     "trailing_window": trailing_window,
     "late_data": late_data,
+    "minute_panes": minute_panes,
+    "trailing_panes": trailing_panes,
     "message_append": message_append,
     "conversation_touch": conversation_touch,
+    "conversation_live": conversation_live,
 }
 
 ORACLE = {
@@ -109,7 +151,16 @@ ORACLE = {
         )
     ),
     "late_data": f"select *, requests as stored_requests, p95 as stored_p95 from ({METRIC_SQL['series_minute']}) s",
+    "minute_panes": statement(f"""select s.*, case when bucket + interval '1441' minute <= (select date_trunc('minute', max(requested_at)) from logs)
+          and bucket < (select min(requested_at) + (max(requested_at) - min(requested_at)) / 2 from logs) then requests - coalesce(young, 0) else 0 end as late
+        from ({METRIC_SQL['series_minute']}) s left join (
+          select date_trunc('minute', requested_at) as bucket, count(*) as young from logs
+           where requested_at >= (select min(requested_at) + (max(requested_at) - min(requested_at)) / 2 from logs) group by 1) y using (bucket)"""),
+    "trailing_panes": statement(f"""select date_trunc('minute', requested_at) + k * interval '1' minute as bucket, count(*) as requests,
+          {KPI['errors']} as errors, {KPI['p50_ms']} as p50, {KPI['p95_ms']} as p95
+        from logs, (select unnest(range(15)) as k) group by 1"""),
     "message_append": statement("""select conversation_id, turn, role, content, cast(null as int) as token_count, created_at,
         cast(created_at as date) as created_date from messages"""),
+    "conversation_live": statement("select conv_id, title, provider, status, created_at, updated_at from state"),
     "conversation_touch": statement("select conversation_id, max(created_at) as updated_at from messages group by conversation_id"),
 }

@@ -15,7 +15,7 @@ from callgauge.operators.once import once
 from callgauge.schemas import INT_COLUMNS, LOG_TABLE
 from callgauge.session import prepare
 from callgauge.sources import envelopes
-from callgauge.streaming import idindex, sink as files
+from callgauge.streaming import idindex, panes, sink as files
 
 SCOPES = ("index", "all", "date", "state")
 MINUTES = (
@@ -104,7 +104,13 @@ def _sum_counts(rows: DataFrame) -> DataFrame:
 
 
 def write_new(
-    batch: DataFrame, batch_id: int, sink: str, dead_letter: str, dedupe_scope: str = "index", on_batch: Listener | None = None
+    batch: DataFrame,
+    batch_id: int,
+    sink: str,
+    dead_letter: str,
+    dedupe_scope: str = "index",
+    on_batch: Listener | None = None,
+    feed: str | None = None,
 ) -> None:
     """Stores the rows of one micro-batch whose request id is new, and counts what became of the others.
 
@@ -154,6 +160,9 @@ def write_new(
             new_rows = spark.read.schema(LOG_TABLE).parquet(f"{sink}/{files.BATCH}={batch_id}")
             minutes = metrics.latency_histogram(metrics.bucketed(new_rows), "requested_date", "bucket")
             files.write_batch(minutes, batch_id, f"{sink}_minutes", "requested_date")
+            if feed:
+                # one column-pruned scan of what was just written
+                panes.feed(files.read(spark, f"{sink}_minutes/{files.BATCH}={batch_id}", MINUTES), batch_id, feed)
         known_copies = dedupe_scope != "state"
         row = [(batch_id, received if known_copies else None, received - n_good, inserted, n_good - inserted if known_copies else None)]
         files.write_batch(spark.createDataFrame(row, COUNTS).drop("batch_id"), batch_id, f"{sink}_counts")
@@ -179,11 +188,13 @@ def start(
     trigger: dict | None = None,
     dedupe_scope: str = "index",
     on_batch: Listener | None = None,
+    feed: str | None = None,
 ) -> StreamingQuery:
     """Runs the job on a stream of bus entries. One writer per sink. Settings that results depend on are set on the session.
 
     A batch counts as consumed once its rows are written; whatever fails before is read again. ``trigger`` holds the
-    arguments of ``DataStreamWriter.trigger``, by default everything there is and then stop.
+    arguments of ``DataStreamWriter.trigger``, by default everything there is and then stop. ``feed`` is a folder the counts
+    per minute of new rows go to as well, for :mod:`callgauge.streaming.panes`.
     """
     if dedupe_scope not in SCOPES:
         raise ValueError(f"dedupe_scope must be one of {SCOPES}")
@@ -193,7 +204,7 @@ def start(
         # rejected entries have no id to compare and go round the state
         rows = unique_stream(rows.where("reason is null"), "request_id", "offset").unionByName(rows.where("reason is not null"))
     return (
-        rows.writeStream.foreachBatch(lambda df, n: write_new(df, n, sink, dead_letter, dedupe_scope, on_batch))
+        rows.writeStream.foreachBatch(lambda df, n: write_new(df, n, sink, dead_letter, dedupe_scope, on_batch, feed))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

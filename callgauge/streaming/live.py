@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callgauge.operators import metrics
+from callgauge.operators import metrics, transcript
 from callgauge.session import prepare
 from callgauge.streaming import sink as files
 
@@ -25,6 +25,16 @@ def touches(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation_id").agg(F.max("created_at").alias("updated_at"))
 
 
+def conversations(events: DataFrame) -> DataFrame:
+    """Streaming rows of the conversation table: :func:`callgauge.operators.transcript.state` kept in state.
+
+    A conversation's state is one row: last known title, model and provider with their ``seq``, whether it was cancelled,
+    first and last time. All of it is folded by ``seq`` and not by arrival, so late events, repeated ones and any cut into
+    micro-batches give the same row. It has no expiry: an event may name any conversation there ever was.
+    """
+    return transcript.state(events)
+
+
 def start(changes: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Writes the groups every micro-batch changes."""
     prepare(changes.sparkSession)
