@@ -1,9 +1,10 @@
 """Byte-pair encoding and decoding with a given byte-level vocabulary.
 
-Text is split at added tokens and then by the vocabulary's pattern. A short word is held as an array of part boundaries and
-the ranks of adjacent pairs; the least rank is looked for again and again, the boundary inside that pair is deleted and the
-ranks beside it are refreshed. A long word, where that would take quadratic time, keeps its pairs in a heap instead and
-merges in the same order. Words that occurred before in a task are looked up, up to ``CACHED`` of them.
+Text is split at added tokens and then by the vocabulary's pattern. A short word is held as a contiguous array of its parts,
+with the ranks of adjacent ones beside it; the least rank is looked for again and again, the boundary inside that pair is
+deleted and the ranks next to it are refreshed. Words of one length that are new to a task do so together, as rows of one
+array. A long word, where scanning would take quadratic time, keeps its pairs in a heap and merges in the same order. Words
+that occurred before in a task are looked up, up to ``CACHED`` of them.
 
 A vocabulary is a JSON file of the ``tokenizers`` library; what this module does not do (normalizers, dropout, unknown
 tokens, added tokens that take white space along) is refused. The results are the library's: of ``encode`` without special
@@ -19,9 +20,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
@@ -44,6 +48,8 @@ NEWER = (
 #: Most bytes of a word whose ranks are scanned, and most words a task remembers (up to CACHED_LENGTH characters each).
 SHORT, CACHED, CACHED_LENGTH = 128, 200_000, 64
 NEVER = 1 << 62
+#: A sign with a letter after it is never one word.
+ADDED = "\x00a"
 
 
 def byte_characters() -> list[str]:
@@ -68,8 +74,12 @@ class Vocabulary:
         #: pair of ids -> rank, and the id a rank makes
         self.ranks = {ids[a] * width + ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.makes = [ids[a + b] for a, b in pairs]
-        #: rank of each pair of bytes
-        self.of_bytes = [self.ranks.get(a * width + b, NEVER) for a in self.of_byte for b in self.of_byte]
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.rank_of_pair = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int64)
+        self.made_by = np.array(self.makes, np.int64)
+        self.ids_of_bytes = np.array(self.of_byte, np.int64)
+        #: by first byte, then second
+        self.ranks_of_bytes = self._rank(*(x.ravel() for x in np.meshgrid(self.ids_of_bytes, self.ids_of_bytes, indexing="ij")))
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
         in_order = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, in_order))) if in_order else None
@@ -90,23 +100,46 @@ class Vocabulary:
         known, table = set(characters), {ord(c): b for b, c in enumerate(characters)}
         return {i: t.translate(table).encode("latin-1") if known.issuperset(t) else t.encode() for i, t in self.names.items()}
 
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one word."""
-        ids = [self.of_byte[b] for b in word]
-        if len(ids) > SHORT:
-            return self._merge_long(ids)
-        pair, width, of_bytes = self.ranks.get, self.width, self.of_bytes
-        bounds = list(range(len(ids) + 1))
-        ranks = [of_bytes[a << 8 | b] for a, b in zip(word, word[1:])]
-        while ranks and (least := min(ranks)) != NEVER:
-            at = ranks.index(least)
-            ids[at] = self.makes[least]
-            del ids[at + 1], bounds[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = pair(ids[at - 1] * width + ids[at], NEVER)
-            if at < len(ranks):
-                ranks[at] = pair(ids[at] * width + ids[at + 1], NEVER)
-        return ids
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word. Short words of one length are merged side by side, one merge each a step."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length: defaultdict[int, list[int]] = defaultdict(list)
+        for number, word in enumerate(words):
+            if len(word) <= SHORT:
+                by_length[len(word)].append(number)
+            else:
+                out[number] = self._merge_long([self.of_byte[b] for b in word])
+        for numbers in by_length.values():
+            self._merge_short(words, np.array(numbers), out)
+        return out
+
+    def _merge_short(self, words: list[bytes], numbers: np.ndarray, out: list[list[int]]) -> None:
+        """Words of one length, a row each: the ids of their parts and the ranks of adjacent ones. Rows that still have
+        a pair to merge have equally many parts, so deleting a boundary leaves the arrays contiguous."""
+        said = np.frombuffer(b"".join(words[n] for n in numbers), np.uint8).reshape(len(numbers), -1).astype(np.int64)
+        ids, ranks = self.ids_of_bytes[said], self.ranks_of_bytes[said[:, :-1] << 8 | said[:, 1:]]
+        while len(numbers):
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(numbers), np.int64)
+            row = np.arange(len(numbers))
+            least = ranks[row, at] if ranks.shape[1] else np.full(len(numbers), NEVER)
+            if (done := least == NEVER).any():
+                for number, found in zip(numbers[done].tolist(), ids[done].tolist()):
+                    out[number] = found
+                numbers, ids, ranks, at, least = (x[~done] for x in (numbers, ids, ranks, at, least))
+                row = row[: len(numbers)]
+                if not len(numbers):
+                    return
+            ids[row, at] = self.made_by[least]
+            ids, ranks = _without(ids, at + 1), _without(ranks, at)
+            for place, there in ((at - 1, at > 0), (at, at < ranks.shape[1])):
+                r, k = row[there], place[there]
+                ranks[r, k] = self._rank(ids[r, k], ids[r, k + 1])
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a * self.width + b
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == pair, self.rank_of_pair[at], NEVER)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges, least rank and then leftmost first, with the pairs in a heap."""
@@ -129,29 +162,49 @@ class Vocabulary:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x >= 0]
 
-    def encoder(self) -> Callable[[str, list[int]], None]:
-        """Adds the ids of a text to a list."""
-        known: dict[str, list[int]] = {}
-
-        def of_text(text: str, out: list[int]) -> None:
-            pattern = self.plain if text.isascii() or not self.newer.search(text) else self.exact
-            for word in pattern.findall(text):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.merge(word.encode())
-                    if len(word) <= CACHED_LENGTH:
-                        if len(known) >= CACHED:
-                            known.clear()
-                        known[word] = ids
-                out += ids
-
-        def encode(text: str, out: list[int]) -> None:
-            at = 0
-            for m in self.cut.finditer(text) if self.cut else ():
-                of_text(text[at : m.start()], out)
-                out.append(self.added[m[0]])
-                at = m.end()
-            of_text(text[at:] if at else text, out)
+    def split(self, text: str) -> list[str]:
+        """The words of a text. An added token becomes its id behind ADDED, which no word starts with."""
+        pattern = self.plain if text.isascii() or not self.newer.search(text) else self.exact
+        if not self.cut or not self.cut.search(text):
+            return pattern.findall(text)
+        out: list[str] = []
+        at = 0
+        for m in self.cut.finditer(text):
+            out += [*pattern.findall(text[at : m.start()]), f"{ADDED}{self.added[m[0]]}"]
+            at = m.end()
+        return out + pattern.findall(text[at:])
+
+    def encoder(self) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+        """Encodes texts: their ids behind each other, and where each text's begin and the last one's end."""
+        added = {f"{ADDED}{i}": [i] for i in self.added.values()}
+        known = dict(added)
+
+        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            words = [self.split(t) for t in texts]
+            bounds = np.cumsum([0, *map(len, words)])
+            if not bounds[-1]:
+                return np.empty(0, np.int32), bounds
+            # every different word is looked up once
+            coded = pa.array(chain.from_iterable(words), pa.large_string()).dictionary_encode()
+            said, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            new = [w for w in said if w not in known]
+            if len(known) + len(new) > CACHED:
+                known.clear()
+                known.update(added)
+                new = [w for w in said if w not in known]
+            known.update(zip(new, self.merge([w.encode() for w in new])))
+            found = [known[w] for w in said]
+            for w in new:
+                if len(w) > CACHED_LENGTH:
+                    del known[w]
+            # the ids of each occurrence, taken out of those of the different words
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            starts = np.cumsum(sizes) - sizes
+            size = sizes[number]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(starts[number] - (ends - size), size)
+            flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+            return flat[at], np.concatenate([[0], ends])[bounds]
 
         return encode
 
@@ -159,6 +212,13 @@ class Vocabulary:
         return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
+def _without(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row without one of its entries."""
+    kept = np.ones(rows.shape, bool)
+    kept[np.arange(len(rows)), at] = False
+    return rows[kept].reshape(len(rows), -1)
+
+
 def _refuse(told: dict) -> None:
     model, split, decoder = told["model"], told.get("pre_tokenizer") or {}, told.get("decoder") or {}
     asked = {
@@ -183,38 +243,33 @@ def read_vocabulary(path: str) -> str:
 
 def encoded(text: Column, vocabulary: str) -> Column:
     """Ids of each text's tokens; ``vocabulary`` is the text of the file."""
-    return _encoded(text, vocabulary, "array<int>", lambda known, ids, ends: _lists(ids, ends))
+    return _encoded(text, vocabulary, "array<int>", lambda known, ids, bounds: _lists(ids, bounds))
 
 
 def round_trip(text: Column, vocabulary: str) -> Column:
     """struct(ids, decoded): the ids of each text's tokens, and the text they decode to."""
 
-    def both(known: Vocabulary, ids: list[int], ends: list[int]) -> pa.Array:
-        back = [known.decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
-        return pa.StructArray.from_arrays([_lists(ids, ends), pa.array(back, pa.string())], ["ids", "decoded"])
+    def both(known: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        back = [known.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+        return pa.StructArray.from_arrays([_lists(ids, bounds), pa.array(back, pa.string())], ["ids", "decoded"])
 
     return _encoded(text, vocabulary, "ids array<int>, decoded string", both)
 
 
-def _encoded(text: Column, vocabulary: str, kind: str, told: Callable[[Vocabulary, list[int], list[int]], pa.Array]) -> Column:
+def _encoded(text: Column, vocabulary: str, kind: str, told: Callable[[Vocabulary, np.ndarray, np.ndarray], pa.Array]) -> Column:
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Vocabulary(vocabulary)
         encode = known.encoder()
         for texts in batches:
             for piece in pieces(texts.to_pylist()):
-                ids: list[int] = []
-                ends = []
-                for t in piece:
-                    encode(t, ids)
-                    ends.append(len(ids))
-                yield told(known, ids, ends)
+                yield told(known, *encode(piece))
 
     return run(text)
 
 
-def _lists(ids: list[int], ends: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids, pa.int32()))
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def decoded(ids: Column, vocabulary: str) -> Column:

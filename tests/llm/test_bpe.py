@@ -19,14 +19,8 @@ PARTS = [
 
 
 def encoder(vocabulary):
-    add = vocabulary.encoder()
-
-    def encode(text):
-        out = []
-        add(text, out)
-        return out
-
-    return encode
+    encode = vocabulary.encoder()
+    return lambda text: encode([text])[0].tolist()
 
 
 @pytest.fixture(scope="module")
@@ -68,11 +62,28 @@ def test_long_words(source, library, text):
     assert encoder(bpe.Vocabulary(source))(text) == library.encode(text, add_special_tokens=False).ids
 
 
-def test_both_ways_to_merge_agree(source):
+def one_by_one(vocabulary, word):
+    """The merges of one word, by the letter."""
+    ids = [vocabulary.of_byte[b] for b in word]
+    while True:
+        ranks = [vocabulary.ranks.get(a * vocabulary.width + b, bpe.NEVER) for a, b in zip(ids, ids[1:])]
+        if not ranks or min(ranks) == bpe.NEVER:
+            return ids
+        at = ranks.index(min(ranks))
+        ids[at : at + 2] = [vocabulary.makes[ranks[at]]]
+
+
+def test_all_ways_to_merge_agree(source):
     vocabulary, rng = bpe.Vocabulary(source), random.Random(3)
-    for _ in range(2_000):
-        word = "".join(rng.choice("abcdeinorsté") for _ in range(rng.randrange(1, 40))).encode()
-        assert vocabulary.merge(word) == vocabulary._merge_long([vocabulary.of_byte[b] for b in word])
+    words = ["".join(rng.choice("abcdeinorsté") for _ in range(rng.randrange(40))).encode() for _ in range(2_000)] + [b"x" * 300, b"\xff\x00"]
+    assert vocabulary.merge(words) == [one_by_one(vocabulary, w) for w in words]
+    assert [vocabulary._merge_long([vocabulary.of_byte[b] for b in w]) for w in words] == vocabulary.merge(words)
+
+
+def test_texts_of_a_piece_keep_apart(source, library):
+    texts = ["", "one two", "<|endoftext|>", "one", "", "two <|endoftext|>one", "q" * 200, "\x00a50256"]
+    ids, bounds = bpe.Vocabulary(source).encoder()(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_a_word_of_a_million_letters_ends(source):
