@@ -6,7 +6,10 @@ of the trigrams the queries name, over lower-cased text. The queries intersect a
 candidates are searched with the expression itself. A rule without mandatory trigrams has the query "all" and scans every
 text. Texts are searched whole, and one row never meets another, so there is no shuffle.
 
-Null and empty texts have no spans. Spans count code points, end exclusive; matches of one kind do not overlap, those of
+Every rule takes time in proportion to the text, whatever it holds; no run of characters is read again from each of its
+places. A private key counts as one span from its BEGIN line to its END line, or to the end of its base64 lines.
+
+Null and empty texts have no spans. Very long texts are searched whole, one at a time. Spans count code points, end exclusive; matches of one kind do not overlap, those of
 different kinds may. Equal rows give equal spans.
 """
 
@@ -29,12 +32,13 @@ except ImportError:  # before Python 3.11
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of ``pattern`` count as ``kind`` when ``group`` has ``least`` characters or more."""
+    """Matches of ``pattern`` count as ``kind`` when ``group`` has ``least`` characters or more; ``span`` is what counts."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
+    span: int | str = 0
 
 
 #: The base kinds as contracted, then widely published token formats.
@@ -48,9 +52,24 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16),
 )
+#: A key block: white space (or its escapes in JSON), header lines, lines of base64 and a shorter last one.
+GAP = r"(?:\s|\\[nrt])"
+BLOCK = (
+    rf"(?:{GAP}*+[A-Z][A-Za-z-]*+:(?:[^\n\\-]|-(?!-))*+)*+(?:{GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+    rf"(?:{GAP}*+[A-Za-z0-9+/]++={{0,2}}+(?={GAP}|\Z|-))?+"
+)
 EXTRA = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule(
+        "pem",  # up to the END line if nothing else is fenced before it, else as far as the block goes
+        r"-----BEGIN (?P<label>(?:[A-Z]+ )*)PRIVATE KEY-----"
+        rf"(?:(?:[^-]|-{{1,4}}+(?!-))*+-----END (?P=label)PRIVATE KEY-----|{BLOCK})?+",
+    ),
+    Rule(
+        "jwt",  # from the first eyJ of a run on; what fails there fails at every later one of the run
+        r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))"
+        r"(?P<span>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
+        span="span",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
@@ -175,7 +194,7 @@ def _searcher(rule: Rule) -> Callable[[str], Iterator[tuple[int, int]]]:
     def spans(text: str) -> Iterator[tuple[int, int]]:
         for m in compiled.finditer(text):
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                yield m.span()
+                yield m.span(rule.span)
 
     return spans
 
