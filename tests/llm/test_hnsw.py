@@ -70,44 +70,81 @@ def test_graph_recall():
     assert found.sum() / truth.sum() > 0.9
 
 
-def test_audit_widens_the_beam(monkeypatch):
-    """A graph without links finds nothing until the beam has grown to the shard, where the search is exhaustive."""
-    draw = np.random.default_rng(6)
-    x = draw.normal(size=(300, 8))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = hnsw.Graph(x)
-    graph.layers = [np.full((300, 24), -1, np.int32)]
-    assert (hnsw.hits(x, graph, 0.8) == (x @ x.T >= 0.8)).all()
+def found_by(rows):
+    return sorted((tuple(r) for r in rows.select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
 
 
-def sparse(n, dim, pairs, seed):
-    """Two shards in which few vectors have a near copy: in the own shard, in the other."""
-    draw = np.random.default_rng(seed)
-    x, y = draw.normal(size=(2, n, dim))
-    x[1 : 2 * pairs : 2] = x[: 2 * pairs : 2] + draw.normal(size=(pairs, dim)) * 0.1
-    y[:pairs] = x[-pairs - 1 : -1] + draw.normal(size=(pairs, dim)) * 0.1
-    return [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y)]
-
-
-def test_sparse_links_that_the_graph_has_not(monkeypatch):
-    """Neither a vector's match with itself nor an audit without links passes for a link that was found."""
-    x, y = sparse(1500, 32, 1, 8)
-    lost = hnsw.Graph(y[:1])
-    lost.x, lost.layers = y, [np.full((1500, 24), -1, np.int32)]
-    assert (x @ y.T >= 0.93).sum() == 1
-    assert (hnsw.hits(x, lost, 0.93) == (x @ y.T >= 0.93)).all()
-    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, threshold, width: np.nonzero(self.x @ q > 0.999999)[0])
-    lost.x = x
-    assert (hnsw.hits(x, lost, 0.93) == (x @ x.T >= 0.93)).all()
-
-
-def test_a_large_group_does_not_hide_lost_pairs(monkeypatch):
-    draw = np.random.default_rng(9)
-    x = draw.normal(size=(1200, 16))
-    x[:400] = x[0] + draw.normal(size=(400, 16)) * 0.01
-    x[401:800:2] = x[400:800:2] + draw.normal(size=(200, 16)) * 0.1
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def lost(x):
+    """A graph without links: it finds nothing but the node it starts from."""
     graph = hnsw.Graph(x[:1])
-    graph.x, group = x, np.arange(400)
-    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, threshold, width: group[x[:400] @ q >= threshold])
-    assert (hnsw.hits(x, graph, 0.93) == (x @ x.T >= 0.93)).all()
+    graph.x, graph.layers = x, [np.full((len(x), 2 * hnsw.M), -1, np.int32)]
+    return graph
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_the_graph_answers_all_but_the_audited(monkeypatch):
+    """Every vector that is not audited is asked of the graph once, and what comes out is what the graph says."""
+    x = unit(np.random.default_rng(6).normal(size=(300, 8)))
+    graph, asked, calls = hnsw.Graph(x), np.arange(300) % 10 == 0, []
+    within = hnsw.Graph.within
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, *how: calls.append(1) or within(self, q, *how))
+    found = hnsw.searched(x, asked, graph, 0.8, 48)
+    assert len(calls) == 270
+    truth = x @ x.T >= 0.8
+    assert (found[asked] == truth[asked]).all() and not (found & ~truth).any()
+    assert found.sum() / truth.sum() > 0.99
+    nothing = hnsw.searched(x, asked, lost(x), 0.8, 48)
+    assert (nothing[asked] == truth[asked]).all() and nothing[~asked].sum() <= 270
+    assert (hnsw.searched(x, asked, lost(x), 0.8, 300) == truth).all()  # a beam as wide as the shard
+
+
+def test_the_audit_sees_lost_links():
+    """A vector's match with itself passes for no link, in its own shard or beside another."""
+    x = unit(np.random.default_rng(8).normal(size=(400, 16)))
+    x[1:200:2] = unit(x[:200:2] + np.random.default_rng(9).normal(size=(100, 16)) * 0.02)
+    places = np.arange(0, 400, 4)
+    true, found = hnsw.audited(x[places], places, lost(x), 0.93, 48)
+    assert true.tolist() == ((x[places] @ x.T >= 0.93).sum(axis=1) - 1).tolist() and true.sum() == 50 and found.sum() <= 1
+    true, found = hnsw.audited(x[places], places, hnsw.Graph(x), 0.93, 48)
+    assert found.sum() >= 0.99 * true.sum()
+    away = np.full(len(places), -1)
+    assert (hnsw.audited(x[places], away, lost(x), 0.93, 400)[1] == true + 1).all()
+
+
+def test_beams_widen_label_by_label(spark, monkeypatch):
+    """Graphs that lose links get wider beams until the search is whole; a label without links keeps a stated beam."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(260, 8))
+    x[130:] = x[:130] + draw.normal(size=(130, 8)) * 0.02
+    y = draw.normal(size=(250, 64))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), 1) for i, v in enumerate(y)]
+    monkeypatch.setattr(hnsw, "ASK", 5)
+    monkeypatch.setattr(hnsw.Graph, "_insert", lambda self, node: None)
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, ROWS), audit=True)
+    assert found_by(got) == plain(spark.createDataFrame(rows, ROWS).collect())
+    each = {r.vec_id // 1000: (r.beam, r.recall) for r in got.collect()}
+    assert each[0] == (384, 1.0) and each[1] == (hnsw.UNAUDITED, None)
+
+
+@pytest.mark.parametrize("linked, shard", [(0.08, 8192), (0.08, 500), (0.6, 500)])
+def test_sparse_and_dense_labels_by_graphs(spark, linked, shard):
+    """Labels whose shards are wider than any beam: links come from the graphs, at least 0.99 of them and none else."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(1500, 32))
+    n = int(1500 * linked / 2)
+    x[-n:] = x[:n] + draw.normal(size=(n, 32)) * 0.1
+    rows = [(int(i), [float(v) for v in x[i]], 0) for i in draw.permutation(1500)]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, ROWS), shard=shard, audit=True)
+    assert got.agg({"beam": "max"}).first()[0] < min(shard, 1500)
+    have, want = {r[0]: r for r in found_by(got)}, {r[0]: r for r in plain(rows)}
+    assert all(have[i][1] <= want[i][1] for i in want)
+    assert sum(r[1] for r in have.values()) >= 0.99 * sum(r[1] for r in want.values()) > 0
+
+
+def test_classes_are_told_apart_by_128_bits_and_shards_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 8 * 16 * 40)  # 40 vectors of 16 numbers
+    rows = rows_with_groups(n=200, seed=2)
+    assert found_by(hnsw.near_duplicates(spark.createDataFrame(rows, ROWS))) == plain(rows)
