@@ -7,14 +7,27 @@ query keys) and their verdict make a transaction. FP-growth mines which token co
 looks up its tokens, the rules found are checked in full, and the surest decides (confidence, then number of tokens, then
 support, then block). Without a mined rule the verdict is ``allow``.
 
+Tokens that occur in the same labelled URLs only (as the segments of one long URL that is often repeated) would make
+exponentially many combinations that all say the same. They are one item to FP-growth: a rule over items stands for all
+its rules with one or more tokens of each item, which have the same support and confidence, and a URL that has some of the
+tokens of each item is judged by the one with most of them. So no rule is lost. Items of tokens below the support are left
+out beforehand, as no rule can have them; at most (tokens of a URL on average) / ``min_support`` tokens remain, and these
+few are read on the driver.
+
 URLs are reduced to distinct token sets before the lookup, so a host with any share of the URLs is one set for each kind of
 path, and verdicts are joined back by token set. What is mined counts all labelled URLs.
 
+Very long URLs are taken whole. Work still grows with the number of item combinations that reach the support: a URL that
+reaches it and has many tokens, each of which other URLs have too, has exponentially many.
+
 A null URL or one without ``://`` has no host, path, tokens or listed rule and is allowed. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -67,12 +80,31 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_sort(F.array_distinct(parts))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(antecedent, verdict, confidence, support, token) from (tokens, verdict); ``token`` is the rarest of the antecedent."""
-    items = keep(
-        labelled.select(F.concat("tokens", F.array(F.concat(F.lit(MARK), F.col("verdict")))).alias("items")), "transactions"
-    )
-    none = "antecedent array<string>, verdict string, confidence double, support double, token string"
+def alike(labelled: DataFrame, least: int) -> dict[str, str]:
+    """Tokens of at least ``least`` rows, each with the item it belongs to: the first of the tokens of just the same rows.
+
+    Rows are told apart by 128 bits of hashes of their tokens, which are summed up for each token.
+    """
+    marks = [F.xxhash64(F.lit(seed), "tokens").cast("decimal(20,0)").alias(f"h{seed}") for seed in (1, 2)]
+    each = labelled.select(*marks, F.explode("tokens").alias("token")).groupBy("token")
+    rows = each.agg(F.count("*").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where(F.col("n") >= least)
+    grouped = rows.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return {token: r.tokens[0] for r in grouped.select("tokens").toLocalIterator() for token in r.tokens}
+
+
+def items_of(names: dict[str, str]) -> Column:
+    """The item of each token that has one; an item comes as often as it has tokens."""
+    known = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return F.filter(F.transform("tokens", lambda t: F.try_element_at(known, t)), lambda x: x.isNotNull())
+
+
+def mine(
+    labelled: DataFrame, names: dict[str, str], min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+) -> DataFrame:
+    """(antecedent, verdict, confidence, support, item) from (tokens, verdict); ``item`` is the rarest of the antecedent."""
+    mark = F.array(F.concat(F.lit(MARK), F.col("verdict")))
+    items = keep(labelled.select(F.concat(F.array_distinct(items_of(names)), mark).alias("items")), "transactions")
+    none = "antecedent array<string>, verdict string, confidence double, support double, item string"
     if items.isEmpty():
         return labelled.sparkSession.createDataFrame([], none)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
@@ -86,23 +118,25 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         "support",
     )
     rules = keep(rules, "url-rules")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
     rarest = (
-        rules.select("rule", F.explode("antecedent").alias("token"))
-        .join(single, "token")
+        rules.select("rule", F.explode("antecedent").alias("item"))
+        .join(single, "item")
         .groupBy("rule")
-        .agg(F.min(F.struct("freq", "token")).alias("least"))
+        .agg(F.min(F.struct("freq", "item")).alias("least"))
     )
-    return rules.join(rarest, "rule").select("antecedent", "verdict", "confidence", "support", F.col("least.token").alias("token"))
+    return rules.join(rarest, "rule").select("antecedent", "verdict", "confidence", "support", F.col("least.item").alias("item"))
 
 
-def by_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
+def by_rules(sets: DataFrame, rules: DataFrame, names: dict[str, str]) -> DataFrame:
     """(tokens, verdict) for those of the distinct token sets that a mined rule fits."""
-    best = F.struct("confidence", F.size("antecedent").alias("n"), "support", "verdict")
+    n = F.size(F.filter("items", lambda x: F.array_contains("antecedent", x)))
+    best = F.struct("confidence", n.alias("n"), "support", "verdict")
     return (
-        sets.select("tokens", F.explode("tokens").alias("token"))
-        .join(rules, "token")
-        .where(F.size(F.array_except("antecedent", "tokens")) == 0)
+        sets.select("tokens", items_of(names).alias("items"))
+        .select("*", F.explode(F.array_distinct("items")).alias("item"))
+        .join(rules, "item")
+        .where(F.size(F.array_except("antecedent", "items")) == 0)
         .groupBy("tokens")
         .agg(F.max(best).alias("best"))
         .select("tokens", F.col("best.verdict").alias("verdict"))
@@ -118,8 +152,10 @@ def judged(
     rows = rows.select("page_id", "host", "path", listed(host, path, rules).alias("hit"), tokens(url, host, path).alias("tokens"))
     known = rows.where("hit is not null").select("page_id", "host", "path", F.col("hit.rule"), F.col("hit.verdict"), "tokens")
     other = rows.where("hit is null").drop("hit")
-    found = by_rules(other.select("tokens").distinct(), mine(known, min_support, min_confidence))
-    found = keep(found, "url-verdicts")
+    labelled = keep(known.select("tokens", "verdict"), "labelled")
+    names = alike(labelled, max(1, math.ceil(min_support * labelled.count())))
+    mined = mine(labelled, names, min_support, min_confidence)
+    found = keep(by_rules(other.select("tokens").distinct(), mined, names), "url-verdicts")
     rest = other.join(found, "tokens", "left").select(
         "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict")
     )

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import combinations
 from urllib.parse import urlsplit
@@ -46,6 +47,33 @@ def tokens(url):
 def test_mined_verdicts_against_brute_force(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()]
     rows += [(10_000 + i, f"http://s{i % 5}.example.{'net' if i % 2 else 'org'}/{('es', 'en', 'fr')[i % 3]}/{i}") for i in range(40)]
+    against_brute_force(spark, rows)
+
+
+def test_items_of_several_tokens_against_brute_force(spark):
+    """Tokens that always come together, of which other URLs have some, none or all, beside ones that come apart."""
+    draw = random.Random(5)
+    groups = [["a", "b", "c"], ["d", "e"], ["f"], ["g", "h", "i"]]
+    rows = []
+    for i in range(60):
+        path = [x for group in draw.sample(groups, draw.choice([1, 2, 3])) for x in group]
+        rows.append((i, f"http://w{i % 3}.{draw.choice(['com/en', 'net/es', 'net/fr'])}/{'/'.join(path)}/"))
+    for i in range(60, 110):
+        rows.append((i, f"http://w{i % 4}.org/{'/'.join(draw.sample('abcdefghi', draw.randrange(1, 7)))}"))
+    verdicts = against_brute_force(spark, rows)
+    assert {"allow", "block"} == verdicts
+
+
+def test_long_urls_in_bounded_work(spark):
+    """A URL of 40 segments that reaches the support is one item, not 2^40 sets."""
+    long = "http://deep.net/es/" + "/".join(f"seg{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    rows = [(1, long), (2, long)] + [(i, f"http://a{i % 7}.com/en/") for i in range(3, 103)]
+    rows += [(200, long.replace("deep.net", "else.org")), (201, "http://else.org/" + "x" * 1_000_000), (202, "http://q.org/segba/segca/")]
+    got = judge(spark, rows)
+    assert [got[i][3] for i in (1, 200, 201, 202)] == ["block", "block", "allow", "block"]
+
+
+def against_brute_force(spark, rows):
     got = judge(spark, rows)
     urls = dict(rows)
     known = [(tokens(urls[i]), v[3]) for i, v in got.items() if v[2]]
@@ -61,6 +89,7 @@ def test_mined_verdicts_against_brute_force(spark, folder):
         if not rule:
             fit = [r[:4] for r in rules if r[4] <= set(tokens(urls[i]))]
             assert verdict == (max(fit)[3] if fit else "allow"), urls[i]
+    return {verdict for _, _, rule, verdict in got.values() if not rule}
 
 
 def test_tokens(spark):
