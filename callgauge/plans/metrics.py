@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.functions.numbers import clamp_minutes_col, compact_number, round_half_up
-from callgauge.operators import access, metrics
+from callgauge.operators import access, metrics, sketch
 from callgauge.plans.sql_views import statement
 from callgauge.session import scratch_dir
 from callgauge.sources.tables import table
@@ -103,6 +103,23 @@ def window_presets(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.by_preset(every, metrics.latest(every))
 
 
+def _sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches by minute, stored and read back as a second job would."""
+    path = scratch_dir(spark, "sketches")
+    sketch.store(sketch.of_logs(metrics.bucketed(logs(spark, folder)), "bucket"), path)
+    return sketch.stored(spark, path)
+
+
+def latency_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketch.quantiles(_sketches(spark, folder), "bucket")
+    return found.select("bucket", F.col("total").alias("requests"), "errors", "p50_ms", "p95_ms", "p99_ms")
+
+
+def latency_sketch_presets(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketch.by_preset(_sketches(spark, folder), metrics.latest(logs(spark, folder)))
+    return found.select("preset", "minutes", "total", "errors", "p50_ms", "p95_ms", "p99_ms")
+
+
 def error_tone(spark: SparkSession, folder: str) -> DataFrame:
     rated = metrics.summary(logs(spark, folder), DAY, "requested_date", "provider", "model")
     return metrics.tone(rated).select("requested_date", "provider", "model", "errors", "total", "tone")
@@ -176,6 +193,8 @@ QUERIES = {
     "dashboard": dashboard,
     "metrics_document": metrics_document,
     "window_presets": window_presets,
+    "latency_sketch": latency_sketch,
+    "latency_sketch_presets": latency_sketch_presets,
     "error_tone": error_tone,
     "feed_text": feed_text,
     "compact_number": compact_numbers,
@@ -190,10 +209,21 @@ QUERIES = {
 }
 
 
+#: The middle of a latency's slot: 128 slots for each power of two from 256 on.
+_SLOT = """case when latency_ms < 256 then latency_ms::bigint else
+    ((latency_ms::bigint >> (length(bin(latency_ms::bigint)) - 8)) << (length(bin(latency_ms::bigint)) - 8))
+    + (1::bigint << (length(bin(latency_ms::bigint)) - 9)) end"""
+
+
 def rounded(expression: str) -> str:
     return f"cast(floor(round({expression}, 6) + 0.5) as bigint)"
 
 
+_SKETCHED = ", ".join(
+    f"{rounded(f'percentile_cont({p}) within group (order by {_SLOT})')} as {name}_ms" for name, p in metrics.PERCENTILES.items()
+)
+
+
 def _pct(p: float) -> str:
     return rounded(f"percentile_cont({p}) within group (order by latency_ms)")
 
@@ -281,6 +311,16 @@ ORACLE = {
             for name, m in metrics.WINDOW_PRESETS.items()
         )
     ),
+    "latency_sketch": statement(
+        f"select date_trunc('minute', requested_at) as bucket, count(*) as requests, {KPI['errors']} as errors, {_SKETCHED} from logs group by 1"
+    ),
+    "latency_sketch_presets": statement(
+        " union all ".join(
+            f"select '{name}' as preset, {m} as minutes, count(*) as total, {KPI['errors']} as errors, {_SKETCHED} from logs "
+            f"where requested_at >= (select date_trunc('minute', max(requested_at)) from logs) - interval '{m}' minute"
+            for name, m in metrics.WINDOW_PRESETS.items()
+        )
+    ),
     "error_tone": statement(f"""select requested_date, provider, model, {KPI['errors']} as errors, count(*) as total,
         case when {KPI['error_rate']} > 0.1 then 'alert' else 'ok' end as tone from logs group by requested_date, provider, model"""),
     "feed_text": statement("""select request_id,
