@@ -90,6 +90,20 @@ def trailing_panes(spark: SparkSession, folder: str) -> DataFrame:
     return _ntz(panes.windows(spark, kept, ingest.minute_counts(spark, run.sink)))
 
 
+#: Nested objects, and an array one element of which has to hold both keys.
+TAGGED = '{"call": {"tier": "gold"}, "tags": [{"kind": "status", "value": "error"}], "tries": [3.0]}'
+
+
+def metadata_contains(spark: SparkSession, folder: str) -> DataFrame:
+    """Containment by the index the job keeps: one half compacted, the other as it came."""
+    run = Run(spark, "metadata_contains")
+    for half in _halves(views.tagged_envelopes(spark, folder)):
+        ingest.compact(spark, run.sink, keep=0)
+        run.publish(half)
+        run.ingest(index_metadata=True)
+    return _ntz(ingest.with_metadata(spark, run.sink, TAGGED), "requested_at").select("request_id", "provider", "requested_at")
+
+
 MESSAGE = "conversation_id BIGINT, turn BIGINT, role STRING, content STRING, token_count INT, created_at TIMESTAMP"
 
 
@@ -135,6 +149,7 @@ QUERIES = {
     "late_data": late_data,
     "minute_panes": minute_panes,
     "trailing_panes": trailing_panes,
+    "metadata_contains": metadata_contains,
     "message_append": message_append,
     "conversation_touch": conversation_touch,
     "conversation_live": conversation_live,
@@ -159,6 +174,14 @@ ORACLE = {
     "trailing_panes": statement(f"""select date_trunc('minute', requested_at) + k * interval '1' minute as bucket, count(*) as requests,
           {KPI['errors']} as errors, {KPI['p50_ms']} as p50, {KPI['p95_ms']} as p95
         from logs, (select unnest(range(15)) as k) group by 1"""),
+    "metadata_contains": statement(
+        """select request_id, provider, requested_at from tagged where json_extract_string(m, '$.call.tier') = 'gold'
+          and list_contains(cast(json_extract(m, '$.tags') as struct(kind varchar, value varchar)[]), {'kind': 'status', 'value': 'error'})
+          and list_contains(cast(json_extract(m, '$.tries') as double[]), 3)""",
+        tagged="""select request_id, provider, requested_at, json_object('call', json_object('tier', case when event_id % 3 = 0 then 'gold' else 'free' end),
+            'tags', json_array(json_object('kind', 'status', 'value', status), json_object('kind', 'provider', 'value', provider)),
+            'tries', json_array(1, event_id % 4)) as m from logs""",
+    ),
     "message_append": statement("""select conversation_id, turn, role, content, cast(null as int) as token_count, created_at,
         cast(created_at as date) as created_date from messages"""),
     "conversation_live": statement("select conv_id, title, provider, status, created_at, updated_at from state"),

@@ -283,6 +283,16 @@ def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, s
     return broken.select("event_id", F.when(F.col("_fault.value").isNull(), without).otherwise(changed).alias("payload"))
 
 
+def tagged_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Envelopes whose metadata has objects and arrays in it."""
+    nested = """to_json(named_struct(
+      'call', named_struct('tier', if(event_id % 3 = 0, 'gold', 'free'), 'k', get_json_object(metadata, '$.k')),
+      'tags', array(named_struct('kind', 'status', 'value', status), named_struct('kind', 'provider', 'value', provider)),
+      'tries', array(1, event_id % 4)))"""
+    sent = sent_logs(spark, folder).withColumn("metadata", F.expr(nested))
+    return sent.select("event_id", "requested_at", F.expr("event_id * 10 as stream_seq"), to_payload(sent).alias("payload"))
+
+
 def batches(rows: DataFrame, size: int | None = None, *, by: str | None = None) -> DataFrame:
     """``size`` consecutive payloads, or those with the same value of the expression ``by``, as one batch text."""
     listed = rows.groupBy(F.expr(by or f"event_id div {size}").alias("batch_id")).agg(

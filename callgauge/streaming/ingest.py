@@ -15,7 +15,7 @@ from callgauge.operators.once import once
 from callgauge.schemas import INT_COLUMNS, LOG_TABLE
 from callgauge.session import prepare
 from callgauge.sources import envelopes
-from callgauge.streaming import idindex, panes, sink as files
+from callgauge.streaming import idindex, metaindex, panes, sink as files
 
 SCOPES = ("index", "all", "date", "state")
 MINUTES = (
@@ -80,6 +80,14 @@ def minute_counts(spark: SparkSession, sink: str, as_of: datetime | None = None,
     return metrics.latency_histogram_sum(kept, "bucket")
 
 
+def with_metadata(spark: SparkSession, sink: str, part: str) -> DataFrame:
+    """Stored logs whose metadata contains ``part`` (JSON text), out of the files that can hold such.
+
+    Files the index does not know, all of them if there is none, are read whole.
+    """
+    return metaindex.lookup(spark, sink, f"{sink}_meta", part).rows
+
+
 def compact(spark: SparkSession, sink: str, keep: int = 1) -> None:
     """Merges all but the last ``keep`` batches of the stored table, the minute counts and the batch counts.
 
@@ -91,6 +99,8 @@ def compact(spark: SparkSession, sink: str, keep: int = 1) -> None:
     minutes = T.StructType.fromDDL(MINUTES)
     files.compact(spark, f"{sink}_minutes", keep, minutes, _sum_minutes, "requested_date")
     files.compact(spark, f"{sink}_counts", keep, T.StructType.fromDDL(COUNTS), _sum_counts)
+    if files.exists(spark, f"{sink}_meta"):
+        metaindex.refresh(spark, sink, f"{sink}_meta")
 
 
 def _sum_minutes(rows: DataFrame) -> DataFrame:
@@ -111,6 +121,7 @@ def write_new(
     dedupe_scope: str = "index",
     on_batch: Listener | None = None,
     feed: str | None = None,
+    index_metadata: bool = False,
 ) -> None:
     """Stores the rows of one micro-batch whose request id is new, and counts what became of the others.
 
@@ -163,6 +174,8 @@ def write_new(
             if feed:
                 # one column-pruned scan of what was just written
                 panes.feed(files.read(spark, f"{sink}_minutes/{files.BATCH}={batch_id}", MINUTES), batch_id, feed)
+            if index_metadata:
+                metaindex.add(spark, sink, f"{sink}_meta", batch_id)
         known_copies = dedupe_scope != "state"
         row = [(batch_id, received if known_copies else None, received - n_good, inserted, n_good - inserted if known_copies else None)]
         files.write_batch(spark.createDataFrame(row, COUNTS).drop("batch_id"), batch_id, f"{sink}_counts")
@@ -189,12 +202,14 @@ def start(
     dedupe_scope: str = "index",
     on_batch: Listener | None = None,
     feed: str | None = None,
+    index_metadata: bool = False,
 ) -> StreamingQuery:
     """Runs the job on a stream of bus entries. One writer per sink. Settings that results depend on are set on the session.
 
     A batch counts as consumed once its rows are written; whatever fails before is read again. ``trigger`` holds the
     arguments of ``DataStreamWriter.trigger``, by default everything there is and then stop. ``feed`` is a folder the counts
-    per minute of new rows go to as well, for :mod:`callgauge.streaming.panes`.
+    per minute of new rows go to as well, for :mod:`callgauge.streaming.panes`. ``index_metadata`` keeps the index that
+    :func:`with_metadata` uses.
     """
     if dedupe_scope not in SCOPES:
         raise ValueError(f"dedupe_scope must be one of {SCOPES}")
@@ -204,7 +219,7 @@ def start(
         # rejected entries have no id to compare and go round the state
         rows = unique_stream(rows.where("reason is null"), "request_id", "offset").unionByName(rows.where("reason is not null"))
     return (
-        rows.writeStream.foreachBatch(lambda df, n: write_new(df, n, sink, dead_letter, dedupe_scope, on_batch, feed))
+        rows.writeStream.foreachBatch(lambda df, n: write_new(df, n, sink, dead_letter, dedupe_scope, on_batch, feed, index_metadata))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

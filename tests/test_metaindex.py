@@ -1,0 +1,175 @@
+import json
+import random
+
+import pytest
+from hypothesis import given, strategies as st
+
+from callgauge.operators import containment
+from callgauge.plans.ingest import Run
+from callgauge.streaming import ingest, metaindex, sink
+from test_ingest import envelope, publish
+
+CASES = [
+    # whole, part, whether it contains it; null, [] and {} among the values
+    ('{"a": 1, "b": {"c": [1, 2, {"d": null}]}}', '{"b": {"c": [{"d": null}]}}', True),
+    ('{"a": 1}', "{}", True),
+    ('{"a": 1}', '{"a": 1.0}', True),
+    ('{"a": 100}', '{"a": 1e2}', True),
+    ('{"a": -0.0}', '{"a": 0}', True),
+    ('{"a": 1}', '{"a": true}', False),
+    ('{"a": 1}', '{"a": "1"}', False),
+    ('{"a": null}', '{"a": false}', False),
+    ('{"a": [1, 2, 3]}', '{"a": [3, 1, 1]}', True),
+    ('{"a": [1, 2, 3]}', '{"a": 3}', False),
+    ('{"a": []}', '{"a": {}}', False),
+    ('{"a": {"b": 1}}', '{"a": {}}', True),
+    ('{"a": [[1, 2], 3]}', '{"a": [[1]]}', True),
+    ('{"a": [[1, 2], 3]}', '{"a": [1]}', False),
+    # every place is there, in different elements
+    ('{"a": [{"k": 1, "v": 2}, {"k": 3, "v": 4}]}', '{"a": [{"k": 1, "v": 4}]}', False),
+    ("[1, [2]]", "1", True),
+    ("[1, [2]]", "2", False),
+    ("1", "[1]", False),
+    ('{"a": 1, "a": 2}', '{"a": 1}', False),
+    ('{"a.b": {"c[]": "é\\ud83d"}}', '{"a.b": {"c[]": "\\u00e9\\ud83d"}}', True),
+    ('{"a": {"b": 1}}', '{"a.b": 1}', False),
+    ("", "{}", False),
+    (None, "{}", False),
+    ('{"a": NaN}', "{}", False),
+    ('{"a": 1', "{}", False),
+    ("[" * 200_000, "[]", False),
+    ('{"a": ' + "9" * 10_000 + "}", '{"a": ' + "9" * 10_000 + ".0}", True),
+    ('{"a": 1e99999999999999999999}', "{}", False),
+]
+
+
+@pytest.mark.parametrize("whole, part, want", CASES)
+def test_containment(whole, part, want):
+    value, asked = containment.parse(whole), containment.wanted(part)
+    assert containment.contains(value, asked) is want
+    if want:
+        assert containment.asked(asked) <= containment.terms(value)
+
+
+def test_column(spark):
+    rows = spark.createDataFrame([(i, w) for i, (w, _, _) in enumerate(CASES)] * 2, "i int, text string")
+    for part in {p for _, p, _ in CASES}:
+        got = {r.i: r.held for r in rows.withColumn("held", containment.json_contains("text", part)).collect()}
+        assert got == {i: containment.contains(containment.parse(w), containment.parse(part)) for i, (w, _, _) in enumerate(CASES)}
+
+
+def test_what_can_be_asked():
+    for text in ("", "{", "[" * 200 + "]" * 200, "nan"):
+        with pytest.raises(ValueError):
+            containment.wanted(text)
+
+
+JSON = st.recursive(
+    st.none() | st.booleans() | st.integers(-3, 3) | st.sampled_from(["", "a", "1", 0.5]),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.sampled_from("abc"), inner, max_size=3),
+    max_leaves=8,
+)
+
+
+@given(JSON, JSON)
+def test_terms_never_deny_what_is_contained(whole, part):
+    a, b = (containment.parse(json.dumps(v)) for v in (whole, part))
+    assert containment.contains(a, a)
+    if containment.contains(a, b):
+        assert containment.asked(b) <= containment.terms(a)
+
+
+def found(spark, run, part):
+    told = metaindex.lookup(spark, run.sink, f"{run.sink}_meta", part)
+    return sorted(r.request_id for r in told.rows.collect()), told
+
+
+def fill(run, batch, index=True, n=20, **extra):
+    """A delivery of its own day, every log with its number, its batch and a value all of them have."""
+    logs = [
+        envelope(requestId=f"{batch}-{i}", requestedAt=f"2024-01-{batch % 28 + 1:02d}T00:00:{i:02d}Z",
+                 metadata={"of": {"batch": batch, "i": i}, "all": ["x", i % 3]} | extra)
+        for i in range(n)
+    ]
+    publish(run, *enumerate(logs, batch * 1000))
+    run.ingest(index_metadata=index)
+
+
+def test_reads_the_files_that_can_match(spark, monkeypatch):
+    monkeypatch.setattr(metaindex, "MERGE", 3)
+    run = Run(spark, "meta")
+    for batch in range(7):
+        fill(run, batch)
+    got, told = found(spark, run, '{"of": {"batch": 4}}')
+    assert got == sorted(f"4-{i}" for i in range(20)) and told.unindexed == 0
+    assert told.files_read * 7 == told.files and told.files >= 7
+    got, told = found(spark, run, '{"of": {"i": 5}, "all": [2, "x"]}')
+    assert got == sorted(f"{b}-5" for b in range(7)) and told.files_read <= told.files
+    assert found(spark, run, '{"of": {"i": 99}}')[1].files_read == 0
+    # every place in one file, but of no log
+    assert found(spark, run, '{"of": {"batch": 4, "i": 5}, "all": [1]}')[0] == []
+    assert len(metaindex.segments(spark, f"{run.sink}_meta")) <= 2 * (metaindex.MERGE - 1) + 1
+    ingest.compact(spark, run.sink, keep=0)
+    got, told = found(spark, run, '{"of": {"batch": 4}}')
+    assert got == sorted(f"4-{i}" for i in range(20)) and (told.unindexed, told.files_read < told.files) == (0, True)
+    assert metaindex._known(spark, f"{run.sink}_meta") == metaindex._live(spark, run.sink)
+
+
+def test_times_reach_the_scan(spark):
+    run = Run(spark, "meta_times")
+    fill(run, 1)
+    plan = metaindex.lookup(spark, run.sink, f"{run.sink}_meta", '{"of": {"i": 5}}').rows._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(requested_at,2024-01-02 00:00:05.0)" in plan.replace("T00:00:05Z", " 00:00:05.0")
+
+
+@pytest.mark.parametrize("state", ["none", "behind", "unmarked", "stale"])
+def test_right_whatever_state_the_index_is_in(spark, monkeypatch, state):
+    run = Run(spark, f"meta_{state}")
+    fill(run, 0, index=state in ("unmarked", "stale"))
+    fill(run, 1, index=state != "none")
+    index = f"{run.sink}_meta"
+    if state == "unmarked":
+        sink.delete(spark, f"{index}/{metaindex.segments(spark, index)[-1].marker}")
+    if state == "stale":
+        monkeypatch.setattr(metaindex, "refresh", lambda *_: 0)
+        ingest.compact(spark, run.sink, keep=0)
+        monkeypatch.undo()
+    want = sorted(f"{b}-{i}" for b in (0, 1) for i in range(1, 20, 3))
+    got, told = found(spark, run, '{"all": [1]}')
+    assert got == want and told.unindexed > 0
+    assert metaindex.refresh(spark, run.sink, index) == told.unindexed
+    got, told = found(spark, run, '{"all": [1]}')
+    assert got == want and told.unindexed == 0
+    assert found(spark, run, '{"of": {"batch": 7}}')[1].files_read == 0
+
+
+def test_broken_merge(spark, monkeypatch):
+    run = Run(spark, "meta_merge")
+    fill(run, 0)
+    fill(run, 1)
+    index = f"{run.sink}_meta"
+    before = metaindex.segments(spark, index)
+    with monkeypatch.context() as m:
+        m.setattr(metaindex.files, "delete", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            metaindex._merge(spark, index, before, 1)
+    assert len(metaindex.segments(spark, index)) == 3
+    assert found(spark, run, '{"of": {"i": 7}}')[0] == ["0-7", "1-7"]
+    metaindex._merge(spark, index, metaindex.segments(spark, index), 1)
+    assert found(spark, run, '{"of": {"i": 7}}')[0] == ["0-7", "1-7"]
+
+
+def test_many_files_are_picked_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(metaindex, "MAX_PATHS", 0)
+    run = Run(spark, "meta_join")
+    for batch in range(3):
+        fill(run, batch, n=5)
+    got, told = found(spark, run, '{"of": {"batch": 2}}')
+    assert got == [f"2-{i}" for i in range(5)] and told.files_read < told.files
+
+
+def test_empty_table(spark):
+    run = Run(spark, "meta_empty")
+    publish(run, (0, "not json"))
+    run.ingest(index_metadata=True)
+    assert found(spark, run, "{}")[0] == []
