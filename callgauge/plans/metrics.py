@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.functions.numbers import clamp_minutes_col, compact_number, round_half_up
-from callgauge.operators import access, metrics, sketch
+from callgauge.operators import access, cost, metrics, sketch
 from callgauge.plans.sql_views import statement
 from callgauge.session import scratch_dir
+from callgauge.sources import views
 from callgauge.sources.tables import table
 from callgauge.sources.views import logs
 
@@ -168,6 +169,17 @@ def error_logs(spark: SparkSession, folder: str) -> DataFrame:
     return access.errors(logs(spark, folder)).select("request_id", "error_type", "requested_at")
 
 
+def call_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """Every call with the price valid at its time."""
+    costed = cost.with_cost(views.priced_calls(spark, folder), views.prices(spark, folder))
+    return costed.select("request_id", "price.valid_from", F.col("cost_pico").cast("bigint").alias("cost_pico"))
+
+
+def cost_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    costed = cost.with_cost(views.priced_calls(spark, folder), views.prices(spark, folder))
+    return cost.spend(costed, "provider", "model").withColumn("cost_pico", F.col("cost_pico").cast("bigint"))
+
+
 def metadata_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return access.with_metadata(logs(spark, folder), "$.k", 42, "int").select("request_id", "metadata")
 
@@ -206,6 +218,8 @@ QUERIES = {
     "logs_of_conversation": logs_of_conversation,
     "error_logs": error_logs,
     "metadata_lookup": metadata_lookup,
+    "call_cost": call_cost,
+    "cost_by_model": cost_by_model,
 }
 
 
@@ -264,6 +278,18 @@ RECENT = ", ".join(metrics.RECENT_COLUMNS)
 NEWEST = "order by requested_at desc, request_id limit 30"
 STAMP = "'%Y-%m-%dT%H:%M:%S.%gZ'"
 
+COST = {
+    "prices": """select provider, model, requested_at as valid_from, 100000 + event_id * 7 as prompt_price, 300000 + event_id as completion_price
+          from logs where event_id % 10 in (5, 8)
+        union all select provider, model, requested_at + interval '20' second, 90000 + event_id * 3, 250000 + event_id
+          from logs where event_id % 10 in (5, 8)""",
+    "priced": """select *, case when event_id % 17 = 0 then 'other' else provider end as asked, total_tokens // 3 as prompt_tokens,
+        total_tokens - total_tokens // 3 as completion_tokens from logs""",
+    "costed": """select l.request_id, l.asked as provider, l.model, p.valid_from,
+          coalesce(prompt_tokens, 0) * prompt_price + coalesce(completion_tokens, 0) * completion_price as cost_pico
+        from priced l asof left join prices p on l.asked = p.provider and l.model = p.model and l.requested_at >= p.valid_from""",
+}
+
 ORACLE = {
     # what a number is follows the request's language: no suffixes, blanks count as 0
     "clamp_minutes": """select event_id, case when event_id % 10 = 3 then ([5.0, 5.0, 5.0, 30.0, 100.0, 500.0, 5.0, 5.0])[event_id % 8 + 1]
@@ -351,6 +377,12 @@ ORACLE = {
         "select request_id, conversation_id, requested_at from logs where conversation_id = 7"
     ),
     "error_logs": statement("select request_id, error_type, requested_at from logs where status = 'error'"),
+    "call_cost": statement("select request_id, valid_from, cost_pico from costed", **COST),
+    "cost_by_model": statement(
+        """select provider, model, count(*) as requests, count(*) filter (where cost_pico is null) as unpriced,
+          cast(coalesce(sum(cost_pico), 0) as bigint) as cost_pico from costed group by provider, model""",
+        **COST,
+    ),
     "metadata_lookup": statement(
         "select request_id, metadata from logs where cast(json_extract_string(metadata, '$.k') as int) = 42"
     ),

@@ -283,6 +283,23 @@ def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, s
     return broken.select("event_id", F.when(F.col("_fault.value").isNull(), without).otherwise(changed).alias("payload"))
 
 
+def priced_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs with their tokens split into prompt and completion; every seventeenth has no provider that prices know."""
+    return logs(spark, folder, "event_id").selectExpr(
+        "request_id", "if(event_id % 17 = 0, 'other', provider) as provider", "model", "status", "requested_at",
+        "total_tokens div 3 as prompt_tokens", "total_tokens - total_tokens div 3 as completion_tokens",
+    )
+
+
+def prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Two logs of ten change their model's price when they are requested, and once more 20 seconds later."""
+    return logs(spark, folder, "event_id").where("event_id % 10 in (5, 8)").selectExpr(
+        "provider", "model",
+        "inline(array(struct(requested_at as valid_from, 100000 + event_id * 7 as prompt_price, 300000 + event_id as completion_price),"
+        " struct(requested_at + interval '20' second as valid_from, 90000 + event_id * 3 as prompt_price, 250000 + event_id as completion_price)))",
+    )
+
+
 def tagged_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     """Envelopes whose metadata has objects and arrays in it."""
     nested = """to_json(named_struct(
