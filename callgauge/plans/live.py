@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.functions.numbers import MAX_MINUTES
 from callgauge.operators import metrics
+from callgauge.plans.chunks import ORACLE as CHUNK_SQL
 from callgauge.plans.ingest import Run
 from callgauge.plans.metrics import KPI, ORACLE as METRIC_SQL
 from callgauge.plans.sql_views import statement
 from callgauge.sources import views
-from callgauge.streaming import ingest, live, panes, sink
+from callgauge.streaming import ingest, live, panes, replies, sink
 
 
 def _halves(rows: DataFrame) -> list[DataFrame]:
@@ -104,6 +105,25 @@ def metadata_contains(spark: SparkSession, folder: str) -> DataFrame:
     return _ntz(ingest.with_metadata(spark, run.sink, TAGGED), "requested_at").select("request_id", "provider", "requested_at")
 
 
+LINE = "call_id BIGINT, seq BIGINT, data STRING, arrived_at TIMESTAMP"
+
+
+def reassemble_live(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies out of chunks as they arrive, in four deliveries that calls are spread over, and then a line long after."""
+    run = Run(spark, "reassemble_live")
+    lines = views.arriving_lines(spark, folder)
+    first, last = lines.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    edges = [F.lit((first + (last - first) * k / 4).isoformat(sep=" ")).cast("timestamp_ntz") for k in range(5)]
+    for k in range(4):
+        upto = F.col("arrived_at") < edges[k + 1] if k < 3 else F.lit(True)
+        lines.where((F.col("arrived_at") >= edges[k]) & upto).coalesce(1).write.mode("append").json(run.topic)
+    after = spark.sql(f"select -1L as call_id, 0L as seq, '' as data, timestamp'{last}' + interval '1' day as arrived_at")
+    after.write.mode("append").json(run.topic)
+    stream = spark.readStream.schema(LINE).option("maxFilesPerTrigger", 1).json(run.topic)
+    replies.start(stream, "completions", run.sink, run.checkpoint).awaitTermination()
+    return replies.stored(spark, run.sink).where("call_id >= 0")
+
+
 MESSAGE = "conversation_id BIGINT, turn BIGINT, role STRING, content STRING, token_count INT, created_at TIMESTAMP"
 
 
@@ -150,6 +170,7 @@ QUERIES = {
     "minute_panes": minute_panes,
     "trailing_panes": trailing_panes,
     "metadata_contains": metadata_contains,
+    "reassemble_live": reassemble_live,
     "message_append": message_append,
     "conversation_touch": conversation_touch,
     "conversation_live": conversation_live,
@@ -182,6 +203,10 @@ ORACLE = {
             'tags', json_array(json_object('kind', 'status', 'value', status), json_object('kind', 'provider', 'value', provider)),
             'tries', json_array(1, event_id % 4)) as m from logs""",
     ),
+    # what follows an end marker that is not there belongs to the text
+    "reassemble_live": f"""select call_id, case when call_id % 7 = 0 then 'unfinished' else 'complete' end as outcome,
+        case when call_id % 7 = 0 then text || 'late' else text end as text, finish_reason, usage_prompt, usage_completion, usage_total
+        from ({CHUNK_SQL['reassemble_openai']}) s""",
     "message_append": statement("""select conversation_id, turn, role, content, cast(null as int) as token_count, created_at,
         cast(created_at as date) as created_date from messages"""),
     "conversation_live": statement("select conv_id, title, provider, status, created_at, updated_at from state"),

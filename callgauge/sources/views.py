@@ -155,6 +155,16 @@ def timed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def arriving_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the completions dialect 40 seconds apart, so that many calls are under way at once; every seventh call breaks
+    off before its end marker, and lines of every fifth are sent again three minutes later."""
+    sent = completion_lines(spark, folder).where("call_id % 7 <> 0 or data <> '[DONE]'")
+    again = F.expr("explode(if(call_id % 5 = 0, array(0, 180), array(0)))")
+    return sent.withColumn("again", again).selectExpr(
+        "call_id", "seq", "data", f"{EPOCH} + make_dt_interval(0, 0, 0, call_id + 40 * seq + again) as arrived_at"
+    )
+
+
 def completion_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The deltas as ``data`` lines of the completions dialect: noise, deltas, finish, usage, end marker, leftovers."""
     words = chunks(spark, folder)
