@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import docs
 from pyspark.sql import functions as F
 
 from callgauge.llm import decontaminate
 from callgauge.llm.decontaminate import WINDOW, words_of
+from callgauge.llm.shared import keep
 
 BENCH = "item_id long, text string"
 
@@ -85,3 +87,47 @@ def test_a_hit_covers_the_words_of_its_windows_only(spark):
     check(spark, rows, [(1, " ".join(words))])
     hits = decontaminate.matches(docs(spark, rows), spark.createDataFrame([(1, " ".join(words))], BENCH))[1]
     assert {r.id for r in hits.where(F.size("items") > 0).collect()} == {1, 3}
+
+
+def test_items_that_share_a_template(spark):
+    """Work does not multiply by the items: a template is searched once, and its borders by the words that differ."""
+    draw = random.Random(8)
+    template = [f"t{i}" for i in range(20)]
+    own = [[f"own{i}x{j}" for j in range(6)] for i in range(1000)]
+    items = [(i, " ".join([*words[:3], *template, *words[3:]])) for i, words in enumerate(own)]
+    rows = [(0, " ".join(template * 300)), (1, " ".join(items[5][1] for _ in range(30))), (2, " ".join(draw.choice(template) for _ in range(3000)))]
+    rows += [(3, " ".join(template[:9])), (4, items[7][1] + " " + items[8][1])]
+    few = [items[i] for i in (5, 7, 8, 9)]
+    check(spark, rows, few)
+    held = decontaminate.Items([(str(i), words_of(t)) for i, t in items])
+    held.anchor(frequencies_of(held, [t for _, t in rows]))
+    # eleven windows of the template once; six to either side of it in each item, in a few stretches
+    assert (held.least == 10).all() and len(held.length) <= 11 + 1000 * 12
+    fan = held.first[1:] - held.first[:-1]
+    assert max(fan[held.ids[w.encode()]] for w in template) <= 22
+    got = decontaminate.report(*decontaminate.matches(docs(spark, rows, ["id"]), spark.createDataFrame(items, BENCH)))
+    found = {r.id: (r.n_hit, r["items"]) for r in got.collect()}
+    everyone = sorted(str(i) for i in range(1000))
+    assert found[0] == (6000, everyone) and found[1] == (30 * 26, everyone) and found[4] == (52, everyone)
+    assert found[2][0] == 0 and found[3] == (0, [])
+
+
+def frequencies_of(items, texts):
+    out = [0] * len(items.ids)
+    for text in texts:
+        for word in words_of(text):
+            if word in items.ids:
+                out[items.ids[word]] += 1
+    return np.array(out)
+
+
+def test_pieces_of_the_search(spark, case, monkeypatch):
+    documents, items = case
+    held = decontaminate.Items([(str(n), words_of(t)) for n, t in items if n is not None and words_of(t)])
+    rows = keep(decontaminate.index(docs(spark, documents), held), "pieces").toPandas()
+    held.anchor(frequencies_of(held, [t for _, t in documents]))
+    whole = decontaminate._search(rows, held, 2)
+    for fan, compared in ((1, 1), (50, 7), (5_000, 10**6)):
+        monkeypatch.setattr(decontaminate, "FAN", fan)
+        monkeypatch.setattr(decontaminate, "COMPARED", compared)
+        assert decontaminate._search(rows, held, 2).equals(whole)
