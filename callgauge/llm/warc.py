@@ -3,11 +3,13 @@
 ``write`` sorts captures by reversed-host URL key and id, over ranges, so a host with any share of the captures is spread.
 Each task streams its range into one archive (a gzip member per record) and one index file: the index entries, sorted by
 key, in gzip blocks of ``BLOCK`` entries, and behind them a sparse directory with the first key, offset and length of each
-block. The returned table, a row per file, is the level above. Equal payloads are stored once: the capture with the largest
+block. The returned table, a row per file, is the level above. There are as many archives as the payloads' bytes ask for
+(``ARCHIVE_BYTES``). Equal payloads are stored once: the capture with the largest
 id is the response, the others are revisits that refer to it.
 
-``lookup`` takes (key, id) pairs, sorted by range; a task finds the file by binary search in the table, the block by binary
-search in the file's directory, reads that byte range, finds the entry by binary search in the block, and reads the byte
+``lookup`` takes (key, id) pairs, sorted by range. The table of files goes into sorted node files of up to ``NODE`` rows, and
+the driver and all tasks hold a row for each of these only. A task finds the node by binary search among them, the file by
+binary search in the node, the block by binary search in the file's directory, reads that byte range, finds the entry by binary search in the block, and reads the byte
 range of the record. Blocks stay in hand between neighbouring keys.
 
 Files go to the shared folder through ``pyarrow.fs``, under names with the task attempt in them. A repeated attempt writes
@@ -15,7 +17,8 @@ other files, and only those of the attempt that Spark commits are in the table.
 
 Null payloads count as empty. A null URL has the empty key, a null id sorts first and never is the one referred to (equal
 payloads that all have null ids are all responses). Rows that share the largest id are all responses. Payloads shorter
-than ``least_bytes`` are all responses. Equal captures are stored, and found, as often as they occur.
+than ``least_bytes`` are all responses. Equal captures are stored, and found, as often as they occur. A very long payload is one record,
+held whole by its task; an archive that gets several is longer for it. An empty table gives no files and nothing is found.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,8 +43,13 @@ from callgauge.session import scratch_dir
 
 BLOCK = 512
 LEVEL = 4
+#: Payload bytes of an archive, about, before compression.
+ARCHIVE_BYTES = 1 << 30
+#: Files of a node; a node is about 1 MB.
+NODE = 4_096
 LOW = -(1 << 63)
 FILES = "first_key string, first_id long, archive string, index string, records long"
+NODES = "first_key string, first_id long, node string"
 FOUND = "page_id long, key string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -77,20 +86,24 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes all captures and returns the table of files (see ``FILES``)."""
     folder = folder or scratch_dir(pages.sparkSession, "warc")
-    rows = captures(pages, least_bytes).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    size = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+    archives = max(pages.sparkSession.sparkContext.defaultParallelism, math.ceil(size / ARCHIVE_BYTES))
+    rows = captures(pages, least_bytes).repartitionByRange(archives, "key", "id").sortWithinPartitions("key", "id")
     rows = rows.withColumn("id", F.col("id").cast("string"))
     return keep(rows.mapInPandas(_writer(folder, date), FILES), "warc-files")
 
 
-def lookup(queries: DataFrame, files: DataFrame, max_files: int = 100_000) -> DataFrame:
+def lookup(queries: DataFrame, files: DataFrame) -> DataFrame:
     """Captures of the distinct (key, id) pairs in ``queries``, read from the archives (see ``FOUND``)."""
-    top = sorted(
-        ((r[0].encode(), LOW if r[1] is None else r[1], r[2], r[3]) for r in files.collect())
-    )
-    if len(top) > max_files:
-        raise ValueError(f"{len(top)} files; write fewer and larger ones")
+    spark = queries.sparkSession
+    folder = scratch_dir(spark, "warc-nodes")
+    ordered = files.repartitionByRange("first_key", "first_id").sortWithinPartitions("first_key", "first_id")
+    nodes = ordered.withColumn("first_id", F.col("first_id").cast("string")).mapInPandas(_node_writer(folder), NODES)
+    # committed before it is read, so only nodes of attempts that succeeded are named; a row for 4,096 files
+    top = sorted((r[0].encode(), LOW if r[1] is None else r[1], r[2]) for r in keep(nodes, "warc-top").collect())
+    n_files = files.count()
     # keys are small and what they lead to is not: as many tasks as files, whatever the keys' size
-    pairs = queries.select("key", "id").distinct().repartitionByRange(max(1, len(top)), "key", "id")
+    pairs = queries.select("key", "id").distinct().repartitionByRange(max(1, n_files), "key", "id")
     pairs = pairs.sortWithinPartitions("key", "id").withColumn("id", F.col("id").cast("string"))
     found = pairs.mapInPandas(_reader(top), FOUND.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string"))
     return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
@@ -191,6 +204,41 @@ def _writer(folder: str, date: str):
     return run
 
 
+def _node_writer(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        n = 0
+        for rows in batches:
+            for at in range(0, len(rows), NODE):
+                part = rows.iloc[at : at + NODE]
+                ids = [None if pd.isna(i) else int(i) for i in part["first_id"]]
+                listed = list(zip(part["first_key"], [LOW if i is None else i for i in ids], part["archive"], part["index"]))
+                name = f"node-{task.partitionId():06d}-{task.taskAttemptId()}-{n}"
+                with fs.open_output_stream(f"{path}/{name}.gz", compression="gzip") as out:
+                    out.write(json.dumps(listed).encode())
+                n += 1
+                yield pd.DataFrame(
+                    {"first_key": [listed[0][0]], "first_id": pd.array(ids[:1], dtype="Int64"), "node": [f"{folder}/{name}.gz"]}
+                )
+
+    return run
+
+
+class _Node:
+    """A sorted part of the table of files."""
+
+    def __init__(self, node: str):
+        fs, path = pafs.FileSystem.from_uri(node)
+        with fs.open_input_stream(path, compression="gzip") as held:
+            rows = json.loads(held.read())
+        self.firsts = [(key.encode(), page) for key, page, _, _ in rows]
+        self.files = [(archive, index) for _, _, archive, index in rows]
+
+
 class _Index:
     """An archive and its index file, open for range reads."""
 
@@ -231,11 +279,11 @@ class _Index:
         self.archive.close()
 
 
-def _reader(top: list[tuple[bytes, int, str, str]]):
-    firsts = [(key, page) for key, page, _, _ in top]
+def _reader(top: list[tuple[bytes, int, str]]):
+    firsts = [(key, page) for key, page, _ in top]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, file = -1, None
+        at, node, number, file = -1, None, -1, None
         for rows in batches:
             out = []
             for key, page in zip(rows["key"], [LOW if pd.isna(i) else int(i) for i in rows["id"]]):
@@ -243,10 +291,14 @@ def _reader(top: list[tuple[bytes, int, str, str]]):
                 home = bisect.bisect_right(firsts, wanted) - 1
                 if home < 0:
                     continue
+                if home != at:
+                    at, node, number = home, _Node(top[home][2]), -1
+                # not before the first of the node, which is the first of its files
+                home = bisect.bisect_right(node.firsts, wanted) - 1
                 if home != number:
                     if file:
                         file.close()
-                    number, file = home, _Index(*top[home][2:])
+                    number, file = home, _Index(*node.files[home])
                 for member in file.find(wanted):
                     warc, _, http, payload = parse(member)
                     kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:")

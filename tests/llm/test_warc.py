@@ -80,3 +80,17 @@ def test_urls_with_characters_that_end_lines_elsewhere(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], PAGES)
     assert warc.lookup(keys(pages), warc.write(pages)).count() == 0
+
+
+def test_many_archives_and_nodes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "NODE", 3)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 400)
+    rows = [(i, f"http://h{i % 7}.example.com/{i // 3}", f"page {i} " * 4) for i in range(500)]
+    rows += [(None, None, None), (501, "", ""), (502, "http://h1.example.com/0", "long " * 20_000)]
+    pages = spark.createDataFrame(rows, PAGES)
+    files = warc.write(pages)
+    assert files.count() > 40 and files.agg(F.sum("records")).first()[0] == len(rows)
+    got = warc.lookup(keys(pages), files).collect()
+    assert sorted(((r.page_id, r.payload_bytes) for r in got), key=repr) == sorted(((i, len(h or "")) for i, _, h in rows), key=repr)
+    asked = spark.createDataFrame([("http://a/", 1), ("http://zz.zz/", 1)], "url string, page_id long")
+    assert warc.lookup(keys(asked), files).count() == 0
