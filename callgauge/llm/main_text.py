@@ -267,7 +267,11 @@ def main_text(page: str | None) -> str:
     for line, text in lines:
         weight = len(text) - len(_plain(line.linked))
         weights.append(max(weight, 1) if line.region else weight)
-    named = any(line.region for line, _ in lines)
+    regions = {line.region for line, _ in lines} - {0}
+    if len(regions) == 1:
+        # the one article a page names never loses to text beside it, however long; several may be teasers of others
+        lines, weights = zip(*[(x, w) for x, w in zip(lines, weights) if x[0].region])
+    named = bool(regions)
     runs: list[tuple[int, int]] = []  # from where the sum leaves zero to the last line before it is zero again
     surging: list[tuple[int, int]] = []
     at = 0

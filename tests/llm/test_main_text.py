@@ -99,3 +99,14 @@ def test_odd_pages(spark):
 def test_long_page_in_linear_time():
     page = f"<article>{f'<p>{PROSE}</p>' * 20_000}</article>"
     assert main_text(page).count("\n") == 19_999
+
+
+def test_the_one_article_does_not_lose_to_text_beside_it():
+    promo = "<div>" + "Buy our great product now, it is better than all of the others. " * 4 + "</div>"
+    short = "<article><h1>Short</h1><p>Brief news item.</p></article>"
+    assert main_text(short + promo) == main_text(promo + short) == "Short\nBrief news item."
+    # an article without text names nothing
+    assert main_text("<article><img src=x></article>" + promo).startswith("Buy our")
+    # several short articles beside a long text are teasers
+    teasers = "".join(f"<article><a href=x>More {i}</a></article>" for i in range(3))
+    assert main_text(teasers + promo).startswith("Buy our")
