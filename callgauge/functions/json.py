@@ -11,6 +11,14 @@ def strict(text: Column) -> Column:
     A JSON reader stops after the first value. So the text is read as the only entry of a list and as the only field of
     an object: a text that ends the list early breaks the object and the other way round.
     """
+    return only_value(*readings(text))
+
+
+def readings(text: Column) -> tuple[Column, Column]:
+    """The text as a list of VARIANT, and whether it is one field of an object: what :func:`only_value` takes."""
     listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>")
-    field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when((F.size(listed) == 1) & field.isNotNull(), F.get(listed, F.lit(0)))
+    return listed, F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+
+
+def only_value(listed: Column, closed: Column) -> Column:
+    return F.when((F.size(listed) == 1) & closed, F.get(listed, F.lit(0)))

@@ -21,13 +21,14 @@ def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
 def not_stored(rows: DataFrame, stored: DataFrame, key: str, n_rows: int) -> DataFrame:
     """``rows`` (``n_rows`` of them, unique by ``key``) whose key the much larger ``stored`` does not hold.
 
-    The stored keys are first cut down to those that occur in ``rows``. With few rows that is a scan of one column of
-    ``stored`` against broadcast keys and nothing large is shuffled; with many rows it is a sort-merge join.
+    With few rows the stored keys are first cut down to those that occur in ``rows``: a scan of one column of ``stored``
+    against broadcast keys, and nothing large is shuffled. Many rows meet the stored keys in one join, so that ``rows`` are
+    made once.
     """
-    small = n_rows <= MAX_BROADCAST_KEYS
-    keys = rows.select(key)
-    hits = stored.select(key).join(F.broadcast(keys) if small else keys, key, "left_semi")
-    return rows.join(F.broadcast(hits) if small else hits, key, "left_anti")
+    if n_rows > MAX_BROADCAST_KEYS:
+        return rows.join(stored.select(key), key, "left_anti")
+    hits = stored.select(key).join(F.broadcast(rows.select(key)), key, "left_semi")
+    return rows.join(F.broadcast(hits), key, "left_anti")
 
 
 #: Parts the copies of one key are spread over before they meet.

@@ -23,10 +23,10 @@ class Run:
         home = scratch_dir(spark, name)
         self.topic, self.sink, self.dead, self.checkpoint = (f"{home}/{part}" for part in ("topic", "logs", "dead", "checkpoint"))
 
-    def publish(self, rows: DataFrame, offset: str = "stream_seq", partition: int = 0) -> None:
-        """In as many files as the session has cores."""
+    def publish(self, rows: DataFrame, offset: str = "stream_seq", partition: int = 0, dealt: bool = False) -> None:
+        """In at least as many files as the session has cores; rows that are ``dealt`` lie in as many parts already."""
         entries = bus.to_entries(rows, offset, F.col("payload"), F.lit(partition))
-        bus.publish(entries.repartition(self.spark.sparkContext.defaultParallelism), self.topic)
+        bus.publish(entries if dealt else entries.repartition(self.spark.sparkContext.defaultParallelism), self.topic)
 
     def entries(self) -> DataFrame:
         return bus.read_folder(self.spark, self.topic)
@@ -85,11 +85,11 @@ def start_position(spark: SparkSession, folder: str) -> DataFrame:
 def log_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Repeats within a delivery, then a second delivery of logs that are stored already; the table compacted between."""
     run = Run(spark, "log_sink")
-    sent = views.delivered_envelopes(spark, folder)
-    run.publish(sent)
+    sent = views.delivered_envelopes(spark, folder, dealt=True)
+    run.publish(sent, dealt=True)
     run.ingest()
     ingest.compact(spark, run.sink, keep=0)
-    run.publish(sent.withColumn("stream_seq", F.col("stream_seq") + 10**12))
+    run.publish(sent.withColumn("stream_seq", F.col("stream_seq") + 10**12), dealt=True)
     run.ingest()
     return _shown(run)
 
@@ -97,19 +97,19 @@ def log_sink(spark: SparkSession, folder: str) -> DataFrame:
 def log_sink_resent(spark: SparkSession, folder: str) -> DataFrame:
     """Logs that were stored are sent again with a time of another day, and once more after the table was compacted."""
     run = Run(spark, "log_sink_resent")
-    run.publish(views.delivered_envelopes(spark, folder))
+    run.publish(views.delivered_envelopes(spark, folder, dealt=True), dealt=True)
     run.ingest()
-    run.publish(views.resent_envelopes(spark, folder, days=1))
+    run.publish(views.resent_envelopes(spark, folder, days=1, dealt=True), dealt=True)
     run.ingest()
     ingest.compact(spark, run.sink, keep=0)
-    run.publish(views.resent_envelopes(spark, folder, days=-2))
+    run.publish(views.resent_envelopes(spark, folder, days=-2, dealt=True), dealt=True)
     run.ingest()
     return _shown(run)
 
 
 def inserted_count(spark: SparkSession, folder: str) -> DataFrame:
     run = Run(spark, "inserted_count")
-    run.publish(views.delivered_envelopes(spark, folder))
+    run.publish(views.delivered_envelopes(spark, folder, dealt=True), dealt=True)
     run.ingest()
     return ingest.counts(spark, run.sink).groupBy().agg(
         *[F.sum(c).alias(c) for c in ("received", "rejected", "inserted", "duplicates")]
@@ -124,7 +124,7 @@ def dedupe_first(spark: SparkSession, folder: str) -> DataFrame:
 def commit_after_write(spark: SparkSession, folder: str) -> DataFrame:
     """Broken off after the rows were written and before the batch was committed, then started again."""
     run = Run(spark, "commit_after_write")
-    run.publish(views.delivered_envelopes(spark, folder))
+    run.publish(views.delivered_envelopes(spark, folder, dealt=True), dealt=True)
     run.ingest_failing("written")
     run.ingest()
     return _shown(run)
@@ -133,7 +133,7 @@ def commit_after_write(spark: SparkSession, folder: str) -> DataFrame:
 def redeliver_stuck(spark: SparkSession, folder: str) -> DataFrame:
     """Broken off between reading and writing, then started again."""
     run = Run(spark, "redeliver_stuck")
-    run.publish(views.delivered_envelopes(spark, folder))
+    run.publish(views.delivered_envelopes(spark, folder, dealt=True), dealt=True)
     run.ingest_failing("read")
     run.ingest()
     return _shown(run)
@@ -145,11 +145,12 @@ def ingest_job(spark: SparkSession, folder: str) -> DataFrame:
     The faulty and the unreadable ones have the same offsets, in two partitions.
     """
     run = Run(spark, "ingest_job")
-    run.publish(views.delivered_envelopes(spark, folder))
-    run.publish(views.faulty_envelopes(spark, folder, FAULTS).selectExpr("event_id as stream_seq", "payload"), partition=1)
+    run.publish(views.delivered_envelopes(spark, folder, dealt=True), dealt=True)
+    faulty = views.faulty_envelopes(spark, folder, FAULTS, dealt=True)
+    run.publish(faulty.selectExpr("event_id as stream_seq", "payload"), partition=1, dealt=True)
     torn = """element_at(array('null', substring(payload, 1, 60), concat(payload, '] tail'), concat(payload, ', ', payload),
         concat(payload, '],[', payload), concat(payload, '} x'), concat(payload, ' x')), cast(event_id % 7 + 1 as int)) as payload"""
-    run.publish(views.envelopes(spark, folder).selectExpr("event_id as stream_seq", torn), partition=2)
+    run.publish(views.envelopes(spark, folder, dealt=True).selectExpr("event_id as stream_seq", torn), partition=2, dealt=True)
     run.ingest()
     kept = run.logs().selectExpr("'stored' as verdict", "request_id as id", "input_preview", "pii_redacted")
     dead = spark.read.parquet(run.dead).selectExpr(

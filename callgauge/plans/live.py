@@ -28,8 +28,8 @@ def _ntz(rows: DataFrame, column: str = "bucket") -> DataFrame:
 def minute_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     """The minutes as the job keeps them, newest half first, compacted at the end."""
     run = Run(spark, "minute_tumbling")
-    for half in reversed(_halves(views.delivered_envelopes(spark, folder))):
-        run.publish(half)
+    for half in reversed(_halves(views.delivered_envelopes(spark, folder, dealt=True))):
+        run.publish(half, dealt=True)
         run.ingest()
     ingest.compact(spark, run.sink, keep=0)
     return metrics.series_of(_ntz(ingest.minute_counts(spark, run.sink)))
@@ -38,7 +38,7 @@ def minute_tumbling(spark: SparkSession, folder: str) -> DataFrame:
 def poll_refresh(spark: SparkSession, folder: str) -> DataFrame:
     """The ingest job on a clock, the series read from the counts it keeps."""
     run = Run(spark, "poll_refresh")
-    run.publish(views.delivered_envelopes(spark, folder))
+    run.publish(views.delivered_envelopes(spark, folder, dealt=True), dealt=True)
     query = ingest.start(run.entries(), run.sink, run.dead, run.checkpoint, {"processingTime": live.POLL})
     query.processAllAvailable()
     query.stop()
@@ -48,8 +48,8 @@ def poll_refresh(spark: SparkSession, folder: str) -> DataFrame:
 def trailing_window(spark: SparkSession, folder: str) -> DataFrame:
     """The presets out of the kept counts."""
     run = Run(spark, "trailing_window")
-    for half in _halves(views.delivered_envelopes(spark, folder)):
-        run.publish(half)
+    for half in _halves(views.delivered_envelopes(spark, folder, dealt=True)):
+        run.publish(half, dealt=True)
         run.ingest()
     as_of = metrics.latest(views.logs(spark, folder))
     # a minute more than the widest preset, whose window starts on a full minute
@@ -59,8 +59,8 @@ def trailing_window(spark: SparkSession, folder: str) -> DataFrame:
 def late_data(spark: SparkSession, folder: str) -> DataFrame:
     """Newest logs first, so that half of them are later than any watermark: kept counts and stored table have all."""
     run = Run(spark, "late_data")
-    for half in reversed(_halves(views.delivered_envelopes(spark, folder))):
-        run.publish(half)
+    for half in reversed(_halves(views.delivered_envelopes(spark, folder, dealt=True))):
+        run.publish(half, dealt=True)
         run.ingest()
     kept = metrics.series_of(ingest.minute_counts(spark, run.sink))
     stored = metrics.series(run.logs()).selectExpr("bucket", "requests as stored_requests", "p95 as stored_p95")
@@ -71,8 +71,8 @@ def _with_panes(spark: SparkSession, folder: str, name: str) -> tuple[Run, str]:
     """The job and the state behind it, newest half first, so that most of the other half is late."""
     run = Run(spark, name)
     feed, kept = f"{run.topic}_feed", f"{run.sink}_panes"
-    for half in reversed(_halves(views.delivered_envelopes(spark, folder))):
-        run.publish(half)
+    for half in reversed(_halves(views.delivered_envelopes(spark, folder, dealt=True))):
+        run.publish(half, dealt=True)
         run.ingest(feed=feed)
         panes.start(spark, feed, kept, f"{run.checkpoint}_panes").awaitTermination()
     return run, kept

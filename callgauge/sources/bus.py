@@ -13,6 +13,8 @@ from callgauge.streaming.sink import exists
 
 ENTRY = "partition INT, offset BIGINT, fields ARRAY<STRING>"
 STARTS = ("earliest", "latest")
+#: Most entries in a file of the folder.
+PER_FILE = 50_000
 
 
 def to_entries(rows: DataFrame, offset: str, payload: Column, partition: Column | None = None) -> DataFrame:
@@ -23,7 +25,8 @@ def to_entries(rows: DataFrame, offset: str, payload: Column, partition: Column
 
 
 def publish(entries: DataFrame, folder: str) -> None:
-    entries.write.mode("append").json(folder)
+    """Compressed, in files that one task reads."""
+    entries.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).json(folder)
 
 
 def read_folder(spark: SparkSession, folder: str, max_files: int | None = None, after: int | None = None) -> DataFrame:
@@ -47,7 +50,7 @@ def latest(spark: SparkSession, folder: str, home: str) -> int:
     """
     note = f"{home}/start_position"
     if not exists(spark, note):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder) if exists(spark, folder) else None
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(folder) if exists(spark, folder) else None
         newest = files.agg(F.max(F.unix_millis("modificationTime"))).first()[0] if files is not None else None
         spark.range(1).select(F.lit(newest or 0).cast("string")).coalesce(1).write.text(note)
     return int(spark.read.text(note).first()[0])

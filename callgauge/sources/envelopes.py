@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from callgauge.functions.json import strict
+from callgauge.functions.json import only_value, readings
 from callgauge.operators.once import once
 from callgauge.schemas import ENVELOPE
 
@@ -13,8 +13,10 @@ PAYLOAD = "payload"
 
 def parse(df: DataFrame, text: str = PAYLOAD, alias: str = "log", keep: bool = False) -> DataFrame:
     """Replaces a column of JSON text by its VARIANT, null if it is no JSON or has text after its value."""
-    read = once(df, **{alias: strict(F.col(text))})
-    return read if keep else read.drop(text)
+    rest = [c for c in df.columns if c != alias and (keep or c != text)]
+    listed, closed = readings(F.col(text))
+    read = once(df, _listed=listed, _closed=closed)
+    return read.select(*rest, only_value(F.col("_listed"), F.col("_closed")).alias(alias))
 
 
 def explode_batches(batches: DataFrame) -> DataFrame:

@@ -16,9 +16,12 @@ from callgauge.sources.tables import table
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
-def logs(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
-    """One row per call; ``extra`` keeps columns of ``events`` next to it."""
-    return table(spark, folder, "events").selectExpr(
+def logs(spark: SparkSession, folder: str, *extra: str, dealt: bool = False) -> DataFrame:
+    """One row per call; ``extra`` keeps columns of ``events`` next to it. ``dealt`` spreads them over all cores first."""
+    events = table(spark, folder, "events")
+    if dealt:
+        events = events.repartition(spark.sparkContext.defaultParallelism)
+    return events.selectExpr(
         *extra,
         "concat('evt-', cast(event_id as string)) as request_id",
         "user_id as conversation_id",
@@ -233,9 +236,9 @@ def uuid_of(number: str) -> str:
     return f"concat('00000000-0000-4000-8000-', lpad(lower(hex({number})), 12, '0'))"
 
 
-def sent_logs(spark: SparkSession, folder: str) -> DataFrame:
+def sent_logs(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
     """Logs as the producer sends them: typed rows with ``event_id``, personal data in some previews."""
-    return logs(spark, folder, "event_id").selectExpr(
+    return logs(spark, folder, "event_id", dealt=dealt).selectExpr(
         "event_id",
         "request_id",
         f"{uuid_of('conversation_id')} as conversation_id",
@@ -255,30 +258,32 @@ def sent_logs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def envelopes(spark: SparkSession, folder: str) -> DataFrame:
+def envelopes(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
     """``event_id`` and the envelope JSON of every log."""
-    sent = sent_logs(spark, folder)
+    sent = sent_logs(spark, folder, dealt)
     return sent.select("event_id", "requested_at", to_payload(sent).alias("payload"))
 
 
-def delivered_envelopes(spark: SparkSession, folder: str, *, exact: bool = False) -> DataFrame:
+def delivered_envelopes(spark: SparkSession, folder: str, *, exact: bool = False, dealt: bool = False) -> DataFrame:
     """Every ninth envelope arrives twice; unless ``exact``, the second copy claims another latency."""
-    sent = sent_logs(spark, folder).withColumn("copy", F.expr("explode(if(event_id % 9 = 0, array(0, 7), array(0)))"))
+    sent = sent_logs(spark, folder, dealt).withColumn("copy", F.expr("explode(if(event_id % 9 = 0, array(0, 7), array(0)))"))
     if not exact:
         sent = sent.withColumn("latency_ms", F.expr("latency_ms + copy"))
     return sent.select("event_id", "requested_at", F.expr("event_id * 10 + copy as stream_seq"), to_payload(sent).alias("payload"))
 
 
-def resent_envelopes(spark: SparkSession, folder: str, days: int) -> DataFrame:
+def resent_envelopes(spark: SparkSession, folder: str, days: int, dealt: bool = False) -> DataFrame:
     """Every envelope once more, ``days`` later and with another latency; some also under a new id."""
-    sent = sent_logs(spark, folder).withColumn("requested_at", F.expr(f"requested_at + interval '{days}' day"))
+    sent = sent_logs(spark, folder, dealt).withColumn("requested_at", F.expr(f"requested_at + interval '{days}' day"))
     new = sent.where("event_id % 13 = 0").withColumn("request_id", F.expr("concat('new-', event_id)"))
     both = sent.withColumn("latency_ms", F.expr("latency_ms + 1")).unionByName(new)
     number = F.expr(f"event_id * 10 + if(request_id like 'new-%', 1, 0) + {100 + days} * 1000000000000")
     return both.select("event_id", "requested_at", number.alias("stream_seq"), to_payload(both).alias("payload"))
 
 
-def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, str | None, str]]) -> DataFrame:
+def faulty_envelopes(
+    spark: SparkSession, folder: str, faults: list[tuple[str, str | None, str]], dealt: bool = False
+) -> DataFrame:
     """Every envelope with one key set to another JSON value (None takes it out), going through ``faults`` in turn."""
     listed = F.array(
         *[F.struct(F.lit(key).alias("key"), F.lit(value).cast("string").alias("value")) for key, value, _ in faults]
@@ -289,7 +294,7 @@ def faulty_envelopes(spark: SparkSession, folder: str, faults: list[tuple[str, s
     # of a repeated key the last value counts
     ended = F.concat(F.lit(',"'), F.col("_fault.key"), F.lit('":'), F.col("_fault.value"), F.lit("}"))
     changed = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), ended)
-    broken = envelopes(spark, folder).withColumn("_fault", F.get(listed, turn))
+    broken = envelopes(spark, folder, dealt).withColumn("_fault", F.get(listed, turn))
     return broken.select("event_id", F.when(F.col("_fault.value").isNull(), without).otherwise(changed).alias("payload"))
 
 

@@ -14,6 +14,7 @@ may be run again.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,8 @@ MAX_PATHS = 2_000
 PER_TASK = 1 << 20
 #: Ids a bucket has on average from which on no bucket can be empty (the odds are below 1 in 10 ** 40).
 FULL = 100
+#: Ids whose bits are worked out together; a bucket's would take hundreds of MB.
+AT_ONCE = 1 << 14
 DONE = ".done"
 BLOOM = "last BIGINT, bucket BIGINT, bits BINARY"
 
@@ -98,23 +101,27 @@ def _bucket(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def _places(rows: pd.DataFrame, size: int) -> np.ndarray:
-    """The bits of a filter of ``size`` that stand for each row."""
-    a, b = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
-    return (a[:, None] + np.arange(PROBES, dtype=np.uint64) * (b | np.uint64(1))[:, None]) % np.uint64(size)
+def _places(rows: pd.DataFrame, size: int) -> Iterator[np.ndarray]:
+    """The bits of a filter of ``size`` that stand for each row, for ``AT_ONCE`` rows at a time."""
+    for start in range(0, len(rows), AT_ONCE):
+        a, b = (rows[c].iloc[start : start + AT_ONCE].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
+        yield (a[:, None] + np.arange(PROBES, dtype=np.uint64) * (b | np.uint64(1))[:, None]) % np.uint64(size)
 
 
 def _filter(rows: pd.DataFrame) -> bytes:
     size = 8 * (len(rows) * BITS_PER_ID // 8 + 8)
     bits = np.zeros(size, bool)
-    bits[_places(rows, size)] = True
+    for place in _places(rows, size):
+        bits[place] = True
     return np.packbits(bits).tobytes()
 
 
 def _passes(rows: pd.DataFrame, bits: bytes) -> bool:
     known = np.frombuffer(bits, np.uint8)
-    place = _places(rows, len(known) * 8)
-    return bool((known[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1).all(axis=1).any())
+    for place in _places(rows, len(known) * 8):
+        if (known[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1).all(axis=1).any():
+            return True
+    return False
 
 
 def add(ids: DataFrame, index: str, first: int, last: int, n: int, level: int = 0) -> Segment:

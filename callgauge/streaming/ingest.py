@@ -135,7 +135,9 @@ def write_new(
     that column of the whole table. ``state`` leaves it to the stream's own state.
     """
     spark = batch.sparkSession
-    kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    # only a rejected entry is stored with its payload, the others need not be held with it
+    slim = batch.withColumn("payload", F.when(F.col("reason").isNotNull(), F.col("payload")))
+    kept = slim.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if on_batch:
             on_batch(batch_id, "read")
@@ -178,7 +180,7 @@ def write_new(
                 metaindex.add(spark, sink, f"{sink}_meta", batch_id)
         known_copies = dedupe_scope != "state"
         row = [(batch_id, received if known_copies else None, received - n_good, inserted, n_good - inserted if known_copies else None)]
-        files.write_batch(spark.createDataFrame(row, COUNTS).drop("batch_id"), batch_id, f"{sink}_counts")
+        files.write_batch(spark.createDataFrame(row, COUNTS).drop("batch_id").coalesce(1), batch_id, f"{sink}_counts")
         if on_batch:
             on_batch(batch_id, "written")
     finally:

@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from callgauge.plans.ingest import Run
@@ -126,3 +129,20 @@ def test_broken_run(spark, stage):
     publish(run, *by_day(2, 1, 2, 3))
     run.ingest()
     assert run.logs().count() == 5
+
+
+def test_a_filter_takes_little_more_memory_than_its_bits(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({c: rng.integers(-(2**63), 2**63 - 1, 200_000) for c in "ab"})
+    tracemalloc.start()
+    made = idindex._filter(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000
+    assert all(idindex._passes(rows.iloc[i : i + 1], made) for i in (0, 99_999, 199_999))
+    some = rows.head(100)
+    whole = idindex._filter(some)
+    monkeypatch.setattr(idindex, "AT_ONCE", 7)
+    assert idindex._filter(some) == whole
+    strange = pd.DataFrame({c: rng.integers(-(2**63), 2**63 - 1, 50) for c in "ab"})
+    assert not idindex._passes(strange, whole) and idindex._passes(pd.concat([strange, some.tail(1)]), whole)

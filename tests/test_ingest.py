@@ -281,3 +281,19 @@ def test_events_round_trip(spark):
 def test_unknown_scope_is_refused(spark):
     with pytest.raises(ValueError):
         ingest.start(spark.range(1), "a", "b", "c", dedupe_scope="some")
+
+
+def test_published_files_are_compressed_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bus, "PER_FILE", 3)
+    run = Run(spark, "bounded")
+    publish(run, *[(i, envelope(requestId=f"r{i}")) for i in range(40)])
+    names = [n for n in sink.names(spark, run.topic) if n.startswith("part-")]
+    assert len(names) >= 14 and all(n.endswith(".json.gz") for n in names)
+    assert bus.latest(spark, run.topic, run.checkpoint) > 0
+    run.ingest()
+    assert run.logs().count() == 40
+
+
+def test_a_payload_is_read_once_each_way(spark):
+    plan = envelopes.parse(spark.createDataFrame([("{}",)], "payload string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("variant_get") == 0

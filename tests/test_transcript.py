@@ -109,3 +109,10 @@ def test_not_stored(spark, n_rows):
     rows = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     stored = spark.createDataFrame([("b",), ("x",)], "k string")
     assert sorted(r.k for r in not_stored(rows, stored, "k", n_rows).collect()) == ["a", "c"]
+
+
+def test_many_rows_are_made_once_to_be_compared_with_the_stored_keys(spark):
+    rows, stored = spark.range(3).selectExpr("cast(id as string) as k"), spark.range(2).selectExpr("cast(id as string) as k")
+    found = not_stored(rows, stored, "k", 10**6)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert [r.k for r in found.collect()] == ["2"]
