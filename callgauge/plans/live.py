@@ -116,7 +116,7 @@ def reassemble_live(spark: SparkSession, folder: str) -> DataFrame:
     edges = [F.lit((first + (last - first) * k / 4).isoformat(sep=" ")).cast("timestamp_ntz") for k in range(5)]
     for k in range(4):
         upto = F.col("arrived_at") < edges[k + 1] if k < 3 else F.lit(True)
-        lines.where((F.col("arrived_at") >= edges[k]) & upto).coalesce(1).write.mode("append").json(run.topic)
+        lines.where((F.col("arrived_at") >= edges[k]) & upto).repartition(1).write.mode("append").json(run.topic)
     after = spark.sql(f"select -1L as call_id, 0L as seq, '' as data, timestamp'{last}' + interval '1' day as arrived_at")
     after.write.mode("append").json(run.topic)
     stream = spark.readStream.schema(LINE).option("maxFilesPerTrigger", 1).json(run.topic)
