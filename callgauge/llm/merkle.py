@@ -12,7 +12,7 @@ A node of one run is the hash of its children's digests as hexadecimal text; whi
 is hashed as well. A group of one leaf has that leaf for its root.
 
 Groups and orders may be of any size: numbering sorts by range, with rows that agree in everything spread as well, and a
-task holds one block. Null groups come first, null orders first within a group; rows with equal order go by their digest, so
+task holds the siblings of one run. Null groups come first, null orders first within a group; rows with equal order go by their digest, so
 equal rows may swap places and the proofs as a whole stay the same. A group text counts by its UTF-8 bytes. An empty table
 gives no rows. Very long values are hashed as they stand; only digests are moved.
 """
@@ -21,8 +21,7 @@ from __future__ import annotations
 
 from hashlib import sha256
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from callgauge.llm.shared import keep
 
@@ -59,34 +58,45 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return joined.withColumn("pos", F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift")
 
 
-def parents(digests: list[str], fanout: int) -> list[str]:
-    return [sha256("".join(digests[i : i + fanout]).encode()).hexdigest() for i in range(0, len(digests), fanout)]
+def _met(over: WindowSpec | None = None) -> Column:
+    """The nodes of a run in order, as an aggregate or over a window."""
+    listed = F.collect_list(F.struct("at", "digest"))
+    return F.array_sort(listed if over is None else listed.over(over))
 
 
-def local_levels(n: int, fanout: int, depth: int) -> int:
-    """Levels hashed within a block of a group of ``n`` leaves."""
-    levels = 0
-    while n > 1 and levels < depth:
-        n, levels = -(-n // fanout), levels + 1
-    return levels
+def _joined(met: Column) -> Column:
+    return F.array_join(F.transform(met, lambda m: m["digest"]), "")
 
 
-def subtree(digests: list[str], levels: int, fanout: int) -> list[list[str]]:
-    """The nodes of a block by level, leaves first."""
-    out = [digests]
-    for _ in range(levels):
+def parents(nodes: DataFrame, fanout: int) -> DataFrame:
+    """The next level of nodes (group, at, n, digest), ``n`` being the nodes of the group on its level; a root stays."""
+    runs = nodes.groupBy("group", F.expr(f"at div {fanout}L").alias("at")).agg(F.max("n").alias("_n"), _met().alias("_met"))
+    return runs.select(
+        "group",
+        "at",
+        F.expr(f"(_n + {fanout - 1}L) div {fanout}L").alias("n"),
+        F.when(F.col("_n") > 1, F.sha2(_joined(F.col("_met")), 256)).otherwise(F.col("_met")[0]["digest"]).alias("digest"),
+    )
+
+
+def levels(leaves: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
+    """The nodes of the blocks by level, leaves first; the last one holds a node per block."""
+    out = [leaves.select("group", F.col("pos").alias("at"), "n", "digest")]
+    for _ in range(depth):
         out.append(parents(out[-1], fanout))
     return out
 
 
-def siblings(nodes: list[list[str]], at: int, fanout: int) -> list[tuple[str, str]]:
-    """Digests to the left and to the right of a leaf's ancestors, joined, level by level."""
-    out = []
-    for level in nodes[:-1]:
-        low = at - at % fanout
-        out.append(("".join(level[low:at]), "".join(level[at + 1 : low + fanout])))
-        at //= fanout
-    return out
+def _below(nodes: DataFrame, above: DataFrame, fanout: int) -> DataFrame:
+    """``nodes`` with (left, right) of their run put in front of the ``path`` of their parents ``above``."""
+    run = nodes.withColumn("_run", F.expr(f"at div {fanout}L"))
+    met = _met(W.partitionBy("group", "_run"))
+    side = lambda keep_it: _joined(F.filter("_met", keep_it))
+    left, right = side(lambda m: m["at"] < F.col("at")), side(lambda m: m["at"] > F.col("at"))
+    told = run.withColumn("_met", met).withColumn("_own", F.struct(left.alias("left"), right.alias("right"))).drop("_met")
+    both = told.join(above.withColumnRenamed("at", "_run"), ["group", "_run"])
+    path = F.when(F.col("n") > 1, F.concat(F.array("_own"), "path")).otherwise(F.col("path"))
+    return both.withColumn("path", path).drop("_run", "_own")
 
 
 def fold(digest: str, path: list[tuple[str, str]]) -> str:
@@ -139,15 +149,9 @@ def _round(now: DataFrame, stride: int, fanout: int) -> DataFrame:
 def upper(leaves: DataFrame, fanout: int, depth: int) -> DataFrame:
     """(group, block, digest, path) for every block of numbered leaves: its group's root and the way there."""
 
-    def roots(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        n = int(rows["n"].iloc[0])
-        top = subtree(rows["digest"].tolist(), local_levels(n, fanout, depth), fanout)[-1][0]
-        return pd.DataFrame({"group": rows["group"].iloc[:1], "block": rows["block"].iloc[:1], "n": [n], "digest": [top]})
-
-    tops = leaves.select("group", "block", "pos", "n", "digest").groupBy("group", "block").applyInPandas(
-        roots, "group string, block long, n long, digest string"
-    )
+    tops = levels(leaves, fanout, depth)[-1].select("group", F.col("at").alias("block"), "digest")
+    sizes = leaves.groupBy("group").agg(F.max("n").alias("n"))
+    tops = tops.join(sizes, "group")
     size = fanout**depth
     return exchange(keep(tops.selectExpr("group", "block", f"(n + {size - 1}L) div {size}L as n_blocks", "digest"), "tops"), fanout)
 
@@ -196,35 +200,17 @@ def manifest(
 
 def _finish(leaves: DataFrame, way: DataFrame, with_siblings: bool, fanout: int, depth: int) -> DataFrame:
     """Every leaf's siblings: those in its block, then its block's way up."""
-    order_type = leaves.schema["order"].dataType
-
-    def proofs(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        known = above.iloc[0]
-        rest = [(p["left"], p["right"]) for p in known["path"]]
-        nodes = subtree(rows["digest"].tolist(), local_levels(int(rows["n"].iloc[0]), fanout, depth), fanout)
-        paths = [[*siblings(nodes, at, fanout), *rest] for at in range(len(rows))]
-        claims = [c if isinstance(c, str) else d for c, d in zip(rows["claimed"], rows["digest"])]
-        done = pd.DataFrame(
-            {
-                "group": rows["group"],
-                "order": rows["order"],
-                "leaf": rows["digest"],
-                "subroot": known["subroot"],
-                "root": known["root"],
-                "proof_sha256": [sha256("".join(a + b for a, b in path).encode()).hexdigest() for path in paths],
-                "folded_root": [fold(c, path) for c, path in zip(claims, paths)],
-            }
-        )
-        if with_siblings:
-            done["siblings"] = [[{"left": a, "right": b} for a, b in path] for path in paths]
-        return done
-
-    schema = "group string, `order` string, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
+    above = way.select("group", F.col("block").alias("at"), "subroot", "root", "path")
+    for nodes in levels(leaves, fanout, depth)[depth - 1 : 0 : -1]:
+        above = _below(nodes, above, fanout).select("group", "at", "subroot", "root", "path")
+    named = leaves.select("group", "order", F.col("pos").alias("at"), "n", "digest", "claimed")
+    done = _below(named, above, fanout)
+    folded = F.aggregate(
+        "path", F.coalesce("claimed", "digest"), lambda d, p: F.sha2(F.concat(p["left"], d, p["right"]), 256)
+    )
+    whole = F.array_join(F.transform("path", lambda p: F.concat(p["left"], p["right"])), "")
+    columns = ["group", "order", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(whole, 256).alias("proof_sha256")]
+    columns.append(folded.alias("folded_root"))
     if with_siblings:
-        schema += ", siblings array<struct<left:string,right:string>>"
-    # whole numbers would lose digits beside nulls
-    told = leaves.withColumn("order", F.col("order").cast("string"))
-    done = told.groupBy("group", "block").cogroup(way.groupBy("group", "block")).applyInPandas(proofs, schema)
-    return done.withColumn("order", F.col("order").cast(order_type))
-
+        columns.append(F.col("path").alias("siblings"))
+    return done.select(*columns)
