@@ -12,9 +12,9 @@ A node of one run is the hash of its children's digests as hexadecimal text; whi
 is hashed as well. A group of one leaf has that leaf for its root.
 
 Groups and orders may be of any size: numbering sorts by range, with rows that agree in everything spread as well, and a
-task holds the siblings of one run. Null groups come first, null orders first within a group; rows with equal order go by their digest, so
-equal rows may swap places and the proofs as a whole stay the same. A group text counts by its UTF-8 bytes. An empty table
-gives no rows. Very long values are hashed as they stand; only digests are moved.
+task holds the siblings of one run. Null groups come first, null orders first within a group; rows with equal order go by
+their digest, so equal rows may swap places and the proofs as a whole stay the same. A group text counts by its UTF-8 bytes.
+An empty table gives no rows. Very long values are hashed as they stand; only digests are moved.
 """
 
 from __future__ import annotations
