@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -297,3 +298,16 @@ def test_published_files_are_compressed_and_bounded(spark, monkeypatch):
 def test_a_payload_is_read_once_each_way(spark):
     plan = envelopes.parse(spark.createDataFrame([("{}",)], "payload string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and plan.count("variant_get") == 0
+
+
+def classified(spark, *payloads):
+    """Entries with the payloads, as the ingest job reads them."""
+    return ingest.classify(spark.createDataFrame([(0, i, ["payload", p]) for i, p in enumerate(payloads)], bus.ENTRY))
+
+
+def test_long_preview_is_judged_in_a_moment(spark):
+    rows = classified(spark, envelope(inputPreview="i" * 200_000, outputPreview="o" * 4000 + " 555 123 4567"), envelope(outputPreview="o" * 4000))
+    start = time.perf_counter()
+    told = [(r["reason"], r["output_preview"]) for r in rows.orderBy("offset").collect()]
+    assert time.perf_counter() - start < 10
+    assert told == [("invalid", "o" * 4000 + " [PHONE_REDACTED]"), (None, "o" * 4000)]
