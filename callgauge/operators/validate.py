@@ -129,10 +129,15 @@ def check(envelopes: DataFrame, with_columns: bool = False) -> DataFrame:
     """Adds ``issues`` to envelopes with the VARIANT column ``log``; the good ones have none.
 
     ``with_columns`` adds the stored columns too, out of the same reading.
+
+    They are worked out in a projection of their own and only opened by the generator: a generator with a lambda function in
+    it is interpreted, all of it, a projection is compiled around the lambda.
     """
     read = _read(envelopes)
     stored = typed(F.col("_read")) if with_columns else {}
-    return once(read, issues=_issues(F.col("_read")), **stored).drop("_read")
+    rest = [c for c in read.columns if c not in ("_read", "issues", *stored)]
+    made = F.struct(_issues(F.col("_read")).alias("issues"), *[value.alias(c) for c, value in stored.items()])
+    return once(read.select(*rest, made.alias("_checked")), **{c: F.col("_checked")[c] for c in ("issues", *stored)}).drop("_checked")
 
 
 def typed_rows(envelopes: DataFrame) -> DataFrame:

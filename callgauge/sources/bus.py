@@ -14,7 +14,7 @@ from callgauge.streaming.sink import exists
 ENTRY = "partition INT, offset BIGINT, fields ARRAY<STRING>"
 STARTS = ("earliest", "latest")
 #: Most entries in a file of the folder.
-PER_FILE = 50_000
+PER_FILE = 20_000
 
 
 def to_entries(rows: DataFrame, offset: str, payload: Column, partition: Column | None = None) -> DataFrame:

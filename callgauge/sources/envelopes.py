@@ -33,7 +33,8 @@ def payload_field(fields: Column, key: str = PAYLOAD) -> Column:
     """
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(fields) - 1, F.lit(0))), lambda i: i % 2 == 0)
     named = F.filter(starts, lambda i: F.get(fields, i) == key)
-    return F.get(fields, F.get(named, F.lit(0)) + 1)
+    # mostly it is the first name, which needs no search
+    return F.when(F.get(fields, F.lit(0)) == key, F.get(fields, F.lit(1))).otherwise(F.get(fields, F.get(named, F.lit(0)) + 1))
 
 
 def entries_with_payload(entries: DataFrame, fields: str = "fields") -> DataFrame:

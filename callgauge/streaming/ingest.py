@@ -38,14 +38,14 @@ def classify(entries: DataFrame) -> DataFrame:
     """
     parsed = envelopes.parse(envelopes.entries_with_payload(entries), keep=True)
     read = validate.check(parsed, with_columns=True)
-    is_object = F.coalesce(F.schema_of_variant("log").startswith("OBJECT"), F.lit(False))
+    # an issue without a path is about the whole entry: it is no object
     reason = (
-        F.when(~is_object, F.lit("corrupt"))
+        F.when(F.get("issues", F.lit(0))["path"] == "", F.lit("corrupt"))
         .when(F.size("issues") > 0, F.lit("invalid"))
         .when(validate.out_of_range(), F.lit("out_of_range"))
     )
     told = validate.first_issues(F.col("issues"))
-    return redaction.apply(once(read, reason=reason).withColumn("issues", told).drop("log", "fields"))
+    return redaction.apply(once(read.drop("log", "fields"), reason=reason).withColumn("issues", told))
 
 
 def to_rows(good: DataFrame) -> DataFrame:

@@ -311,3 +311,20 @@ def test_long_preview_is_judged_in_a_moment(spark):
     told = [(r["reason"], r["output_preview"]) for r in rows.orderBy("offset").collect()]
     assert time.perf_counter() - start < 10
     assert told == [("invalid", "o" * 4000 + " [PHONE_REDACTED]"), (None, "o" * 4000)]
+
+
+def test_what_is_no_object_is_corrupt(spark):
+    payloads = ["5", "null", "[]", "[{}]", '"{}"', "{}{}", "{bad", " x", "{}", envelope(status=...), envelope(latencyMs=3e9), envelope()]
+    want = ["corrupt"] * 8 + ["invalid", "invalid", "out_of_range", None]
+    assert [r["reason"] for r in classified(spark, *payloads).orderBy("offset").collect()] == want
+
+
+def test_reading_of_entries_is_compiled(spark):
+    """No generator but the one of ``from_json`` is interpreted (it has no star), and no method is too long for the JVM's compiler."""
+    plan = classified(spark, envelope())._jdf.queryExecution().executedPlan()
+    steps = [line for line in plan.toString().splitlines() if "Generate inline" in line]
+    interpreted = [line for line in steps if "*(" not in line.split("Generate inline")[0]]
+    assert len(steps) == 5 and ["from_json" in line for line in interpreted] == [True]
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(plan)
+    assert made.size() and all(made.apply(i)._3().maxMethodCodeSize() <= 8000 for i in range(made.size()))
